@@ -31,6 +31,25 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.neardup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"), words=5, percent=85)
+
+
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.topk import top_k
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.webtext import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.tokenfile import token_files
 
@@ -41,6 +60,9 @@ def queries() -> dict[str, Query]:
     return {
         "op3_exact_dedup": op3_exact_dedup,
         "op4_mixing": op4_mixing,
+        "op5_near_dedup": op5_near_dedup,
+        "op6_top_k": op6_top_k,
+        "op9_main_text": op9_main_text,
         "op10_token_files": op10_token_files,
     }
 
@@ -53,6 +75,15 @@ WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
+""",
+    "op6_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id,
+                  CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
 
