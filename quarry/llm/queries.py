@@ -44,6 +44,13 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import classify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.webtext import extract
 
@@ -62,6 +69,7 @@ def queries() -> dict[str, Query]:
         "op4_mixing": op4_mixing,
         "op5_near_dedup": op5_near_dedup,
         "op6_top_k": op6_top_k,
+        "op8_quality": op8_quality,
         "op9_main_text": op9_main_text,
         "op10_token_files": op10_token_files,
     }
