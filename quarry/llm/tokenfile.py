@@ -200,7 +200,6 @@ def write_token_files(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(F.col(id_col), [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
     bounds = sorted(set(cuts or []))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -210,16 +209,16 @@ def write_token_files(
         encoder, squeeze, edges = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1), np.array(bounds, dtype=np.int64)
         for whole in batches:
             for batch in pieces(whole, "text"):
-                ids = [np.frombuffer(x + end, dtype="<u4") for x in encoder.encode(batch.column("text").to_pylist())]
-                narrow = [x.astype("<u2") if not len(x) or x.max() < 65536 else x for x in ids]
+                end = np.array([] if end_id is None else [end_id], dtype=encoder.dtype).tobytes()
+                ids = [x.tobytes() + end for x in encoder.encode(batch.column("text"))]
                 keys = batch.column("doc_id").to_pylist()
                 part = [0 if k is None else int(np.searchsorted(edges, k, side="left")) for k in keys]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(part, pa.int32()),
                         "doc_id": pa.array(keys, pa.int64()),
-                        "width": pa.array([x.itemsize for x in narrow], pa.int32()),
-                        "ids": pa.array([squeeze.compress(x.tobytes()) for x in narrow], pa.binary()),
+                        "width": pa.array([encoder.dtype.itemsize] * len(ids), pa.int32()),
+                        "ids": pa.array([squeeze.compress(x) for x in ids], pa.binary()),
                     }
                 )
 
@@ -246,7 +245,7 @@ def write_token_files(
         if keys:
             yield flush()
 
-    coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         encode, "part int, doc_id long, width int, ids binary"
     )
     dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")

@@ -1,25 +1,39 @@
 """Word-wise use of a public tokenizer file.
 
-The tokenizer drops white space before it forms words, so a text's ids are the ids of its blank-separated chunks one
-after another. Only space and newline separate chunks here (both are white space to the tokenizer); other white space
-stays inside a chunk, where the tokenizer itself drops it. Special tokens hold no blank, so they stay whole too.
+The tokenizer drops white space, ignores the case of letters and keeps runs of letters apart from what follows them, so
+a text's ids are the ids of its pieces one after another. Texts are cut in NumPy: at white space, before a closing mark
+that follows a letter, and before a letter that follows a closing mark. Pieces are known by a 64-bit hash; a bounded
+open-addressing table leads from it to the ids, and only pieces not seen before reach the tokenizer library. A text that
+may hold a special token, or a combining mark (where case and composition interact), goes to the library whole.
 """
 
 from __future__ import annotations
 
-import array
 import os
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+import numpy as np
+import pyarrow as pa
 
-LONG_CHUNK = 64
-CACHE_ENTRIES = 800_000
+from quarry.llm.words import _BYTE, _LOWER, _SPACE, SLICE, _buffers, _power_tables, mix
 
-_encoders: dict[str, Encoder] = {}
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
+#: Marks that the tokenizer keeps apart from a letter on either side.
+CLOSING = b"!#$%&*,./:;?|"
+WORD_END = "</w>"
+TOGETHER = 1000
+TABLE_BITS = 22
+_U = np.uint64
+
+_closing = np.zeros(256, dtype=bool)
+_closing[list(CLOSING)] = True
+_letter = np.zeros(256, dtype=bool)
+_letter[ord("a") : ord("z") + 1] = True
+_second = np.zeros(256, dtype=bool)  # second bytes of two-byte Latin-1 letters
+_second[0x80:0xC0] = True
+_second[[0x97, 0xB7]] = False
 
-def chunks(text: str | None) -> list[str]:
-    return text.replace("\n", " ").split(" ") if text else []
+_encoders: dict[str, Encoder] = {}
 
 
 def load(path: str):
@@ -31,13 +45,84 @@ def load(path: str):
     return tokenizer
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``starts[0], starts[0] + 1, ...`` for ``sizes[0]`` entries, and so on."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+class Table:
+    """Open addressing from 64-bit hashes to entry numbers."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.mask = _U((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, dtype=_U)
+        self.entry = np.full(1 << bits, -1, dtype=np.int32)
+        self.room = 1 << (bits - 1)
+        self.size = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry numbers; -1 where a key is not known."""
+        slot = (keys & self.mask).astype(np.int64)
+        out = self.entry[slot]
+        open_ = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & int(self.mask)
+            at = slot[open_]
+            out[open_] = self.entry[at]
+            open_ = open_[(self.keys[at] != keys[open_]) & (out[open_] >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Give distinct unknown keys the next entry numbers, in order."""
+        entry = np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        slot = (keys & self.mask).astype(np.int64)
+        self.size += len(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = left[self.entry[slot[left]] < 0]
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.entry[slot[won]], self.keys[slot[won]] = entry[won], keys[won]
+            lost = np.ones(len(keys), dtype=bool)
+            lost[won] = False
+            left = left[lost[left]]
+            slot[left] = (slot[left] + 1) & int(self.mask)
+
+
+def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of consecutive texts in a lower-cased buffer: hashes, starts, ends, and the piece at which each text
+    begins. ``at`` holds the texts' offsets and the buffer's length."""
+    n = len(data)
+    inside = ~_SPACE[data]
+    opens = inside.copy()
+    mark, letter = _closing[data], _letter[data]
+    after = np.zeros(n, dtype=bool)  # the byte before ends a letter
+    after[1:] = letter[:-1]
+    after[2:] |= _second[data[1:-1]] & (data[:-2] == 0xC3)
+    before = np.zeros(n + 1, dtype=bool)  # a text begins here
+    before[at] = True
+    opens[1:] &= ~inside[:-1] | before[1:n] | (mark[1:] & after[1:]) | (letter[1:] & mark[:-1])
+    starts = np.flatnonzero(opens)
+    first = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros(0, _U), starts, starts, first
+    last = np.flatnonzero(np.concatenate([opens[1:] | ~inside[1:] | before[1:n], [True]]) & inside)
+    power, inverse = _power_tables(n)
+    hashes = mix(np.add.reduceat(_BYTE[data] * power[:n], starts) * inverse[starts])
+    return hashes, starts, last + 1, first
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes. Chunks of up to ``LONG_CHUNK`` characters are kept in a bounded
-    table that lives as long as the Python worker; it is emptied when full. Longer chunks are encoded each time."""
+    """Ids of texts with one tokenizer. The table lives as long as the Python worker and is emptied when full."""
 
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.known: dict[str, bytes] = {"": b""}
+        vocab = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocab.items() if piece.endswith(WORD_END)]] = True
+        self._empty()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -45,22 +130,79 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def ids(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [array.array("I", e.ids).tobytes() for e in found]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [chunks(t) for t in texts]
-        new: set[str] = set()
-        for words in split:
-            new.update(words)
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known = {"": b""}
-        new = list(new.difference(self.known))
-        here = dict(zip(new, self.ids(new), strict=True))
-        self.known.update(here)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONG_CHUNK:
-                del self.known[w]
+    def _empty(self) -> None:
+        self.table = Table()
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.dtype) for e in found]
+
+    def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces. Words of letters go through the library many in one call."""
+        words = [w.decode("utf-8", "replace") for w in pieces]
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        odd = [i for i, w in enumerate(words) if not w.isalpha()]
+        out: list[np.ndarray] = [None] * len(words)
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            ids = np.array(self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False).ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                for i, x in zip(some, np.split(ids, ends[:-1]), strict=True):
+                    out[i] = x
+            else:  # a letter here that is none to the tokenizer
+                odd += some
+        for i, x in zip(odd, self.whole([words[i] for i in odd]), strict=True):
+            out[i] = x
+        return out
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        ids = self.pieces(pieces)
+        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        total = int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + total] = np.concatenate(ids)
+        self.starts = np.concatenate([self.starts, self.used + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.used += total
+        self.table.add(keys)
+
+    def encode(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+        """The ids of each text. Null counts as an empty text."""
+        offsets, data = _buffers(column)
+        n, d, out = len(offsets) - 1, 0, []
+        while d < n:
+            e = max(d + 1, int(np.searchsorted(offsets, offsets[d] + SLICE, side="right")) - 1)
+            out += self._slice(data[offsets[d] : offsets[e]], offsets[d : e + 1] - offsets[d])
+            d = e
+        return out
+
+    def _slice(self, raw: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        if not len(raw):
+            return [np.zeros(0, self.dtype)] * (len(at) - 1)
+        apart = (raw == 0xCC) | (raw == 0xCD)
+        apart[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+        whole = set((np.searchsorted(at, np.flatnonzero(apart), side="right") - 1).tolist())
+        data = _LOWER[raw]
+        keys, starts, ends, first = cut(data, at)
+        entry = self.table.find(keys)
+        if (entry < 0).any():
+            new, where = np.unique(keys[entry < 0], return_index=True)
+            if self.table.size + len(new) > self.table.room:
+                self._empty()
+                new, where = np.unique(keys, return_index=True)
+            else:
+                where = np.flatnonzero(entry < 0)[where]
+            text = data.tobytes()
+            self._learn(new, [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
+            entry = self.table.find(keys)
+        sizes = self.sizes[entry]
+        ids = self.flat[spread(self.starts[entry], sizes)]
+        edges = np.concatenate([[0], np.cumsum(sizes)])[first]
+        out = [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        for i in whole:
+            out[i] = self.whole([raw[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")])[0]
         return out
