@@ -19,6 +19,12 @@ def _tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.bpe import bpe, digests
+
+    return digests(bpe(_table(spark, sf_dir, "documents"), _tokenizer()))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.exact import exact_groups
 
@@ -44,6 +50,12 @@ def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.repeats import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality import classify, train
 
@@ -65,10 +77,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bpe": op1_bpe,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_mixing": op4_mixing,
         "op5_near_dedup": op5_near_dedup,
         "op6_top_k": op6_top_k,
+        "op7_repeats": op7_repeats,
         "op8_quality": op8_quality,
         "op9_main_text": op9_main_text,
         "op10_token_files": op10_token_files,
