@@ -25,6 +25,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(bpe(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/thousand/id.txt``; one whose whole text is a notice counts for its directory."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm.licences import licence_scan
+
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 1000).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licence_scan(docs.withColumn("path", path), whole_file=F.lit(True))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.exact import exact_groups
 
@@ -78,6 +89,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_licences": op2_licences,
         "op3_exact_dedup": op3_exact_dedup,
         "op4_mixing": op4_mixing,
         "op5_near_dedup": op5_near_dedup,
