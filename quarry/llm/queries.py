@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
@@ -22,7 +22,7 @@ def _tokenizer() -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.bpe import bpe, digests
 
-    return digests(bpe(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return digests(bpe(_table(spark, sf_dir, "documents"), word_tokenizer()))
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.tokenfile import token_files
 
-    return token_files(_table(spark, sf_dir, "documents"), _tokenizer())
+    return token_files(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def queries() -> dict[str, Query]:
