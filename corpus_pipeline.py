@@ -3,25 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quarry.llm import store
+from quarry.llm.queries import word_tokenizer
 
+#: Tokenization cannot be expressed in SQL; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, with their columns."""
+    from quarry.llm.quality import keep_good, train
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return keep_good(docs, train(docs, labels))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each set of equal texts."""
     from quarry.llm.exact import drop_exact
 
     return drop_exact(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    from quarry.llm.neardup import drop_near
+
+    return drop_near(docs, words=5, percent=85)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each reading of a document in the mix; a document that the mix cuts keeps the words taken."""
     from quarry.llm.mixing import apply_mix
 
     return apply_mix(docs)
 
 
-STAGES = [("exact dedup", exact_dedup), ("mixing", mixing)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row."""
+    from quarry.llm.bpe import bpe
+
+    coded = bpe(docs, word_tokenizer())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact_dedup),
+    ("minhash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing),
+    ("bpe encoding and decoding", tokens),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
