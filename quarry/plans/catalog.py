@@ -1,11 +1,280 @@
-"""Registered queries of the library and the SQL that gives the same rows."""
+"""Registered queries of the library and the SQL that gives the same rows.
+
+Queries that take a graph build it from the driver's tables: ``events`` gives a user-to-user graph (each user's row points
+to the next row's user of that day), ``pages`` a graph of titles' first words linked by ``href="/word"``, and the order
+tables a nation graph weighted by the cheapest line item.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarry.functions import text as T
+from quarry.operators import counting as C
+from quarry.operators import grid as G
+from quarry.operators import linkgraph as L
+from quarry.operators import numeric as N
+from quarry.operators import pagerank as R
+from quarry.operators import paths as P
+from quarry.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+HREF = 'href="/([^"]+)"'
+STEPS = 5
+
+
+# -- words ----------------------------------------------------------------------------------------------------------
+
+
+def first_letter_count(spark: SparkSession, sf: str) -> DataFrame:
+    return C.first_letter_count(table(spark, sf, "documents"), "text")
+
+
+def first_letter_partitioned(spark: SparkSession, sf: str) -> DataFrame:
+    return first_letter_count(spark, sf).withColumn("part", C.letter_partition(F.col("ch")))
+
+
+def first_letter_ordered(spark: SparkSession, sf: str) -> DataFrame:
+    return C.ranked(first_letter_count(spark, sf), *C.case_paired(F.col("ch")))
+
+
+def _word_counts(spark: SparkSession, sf: str) -> DataFrame:
+    words = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("key"))
+    return words.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("value"))
+
+
+def word_average(spark: SparkSession, sf: str) -> DataFrame:
+    return C.average(_word_counts(spark, sf)).select("key", F.round("average", 9).alias("average"))
+
+
+def word_average_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return C.positions(word_average(spark, sf), F.col("average").desc(), F.col("key").asc()).withColumn("pos", F.col("pos") + 1)
+
+
+def key_mod_partition(spark: SparkSession, sf: str) -> DataFrame:
+    keys = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("key")).distinct()
+    return keys.select("key", C.key_modulo(F.col("key"), 3).alias("part"))
+
+
+def average_range_partition(spark: SparkSession, sf: str) -> DataFrame:
+    averages = C.average(table(spark, sf, "lineitem"), "l_partkey", "l_quantity")
+    return averages.select("key", F.round("average", 9).alias("average"), C.range_partition(F.round("average", 9), 8, 10.0, 30.0).alias("part"))
+
+
+# -- pages ----------------------------------------------------------------------------------------------------------
+
+
+def xml_unescape(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.xml_unescape(F.col("html")).alias("body"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    body = xml_unescape(spark, sf).withColumn("whole_title", T.page_title(F.col("body"))).filter("whole_title <> ''")
+    return body.select(F.col("page_id").alias("page"), F.regexp_extract("whole_title", "^[^ ]*", 0).alias("title"), "body")
+
+
+def page_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).select("title").distinct()
+
+
+def title_count(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def page_links(spark: SparkSession, sf: str) -> DataFrame:
+    return L.links(_pages(spark, sf), HREF).groupBy("page", "title", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _valid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    pages = _pages(spark, sf)
+    return pages, L.valid_links(L.links(pages, HREF), pages)
+
+
+def valid_links(spark: SparkSession, sf: str) -> DataFrame:
+    return _valid(spark, sf)[1].groupBy("page", "title", "link").agg(F.count(F.lit(1)).alias("n"))
+
+
+def dangling_pages(spark: SparkSession, sf: str) -> DataFrame:
+    pages, valid = _valid(spark, sf)
+    return L.dangling_pages(pages, valid)
+
+
+def _page_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return _valid(spark, sf)[1].select(F.col("title").alias("src"), F.col("link").alias("dst"))
+
+
+def out_degree(spark: SparkSession, sf: str) -> DataFrame:
+    return L.out_degree(_page_edges(spark, sf))
+
+
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    return L.adjacency(_page_edges(spark, sf)).select("src", F.array_join("links", "|").alias("links"))
+
+
+# -- PageRank -------------------------------------------------------------------------------------------------------
+
+
+def page_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
+    pages, valid = _valid(spark, sf)
+    return L.LinkGraph(
+        pages.select(F.col("title").alias("id")).distinct(),
+        valid.select(F.col("title").alias("src"), F.col("link").alias("dst")),
+        pages.count(),
+        L.dangling_pages(pages, valid).count(),
+    )
+
+
+def event_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
+    """Purchases only; every seventh user has no out-links."""
+    events = table(spark, sf, "events").filter("event_type = 'purchase'")
+    order = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
+    after = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).filter("dst IS NOT NULL")
+    nodes = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
+    edges = after.filter("src % 7 <> 0")
+    lone = nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").count()
+    return L.LinkGraph(nodes, edges, nodes.count(), lone)
+
+
+def _rounded(ranks: DataFrame) -> DataFrame:
+    return ranks.select("id", F.round("rank", 9).alias("pr"))
+
 
-def queries() -> dict:
-    return {}
+def pagerank_pages_k5(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.pagerank(page_graph(spark, sf), STEPS).ranks)
+
+
+def pagerank_events_k5(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.pagerank(event_graph(spark, sf), STEPS).ranks)
+
+
+def pagerank_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return C.positions(pagerank_events_k5(spark, sf), F.col("pr").desc(), F.col("id").asc()).withColumn("pos", F.col("pos") + 1)
+
+
+def pagerank_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = pagerank_events_k5(spark, sf)
+    return ranks.withColumn("bucket", C.rank_bucket(F.col("pr"), 32, 0.001))
+
+
+def pagerank_error_trace(spark: SparkSession, sf: str) -> DataFrame:
+    errors = R.pagerank(event_graph(spark, sf), STEPS).errors
+    rows = spark.createDataFrame(list(enumerate(errors)), "step int, error double")
+    return rows.select("step", F.round("error", 9).alias("error"))
+
+
+def pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.pagerank(event_graph(spark, sf), None).ranks)
+
+
+# -- paths ----------------------------------------------------------------------------------------------------------
+
+
+def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Supplier nation to customer nation of urgent orders, by the smallest whole price of a line item. Spark joins the
+    small tables by broadcast where their size allows."""
+    item, order = table(spark, sf, "lineitem"), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
+    joined = (
+        item.join(order, item["l_orderkey"] == order["o_orderkey"])
+        .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
+    edges = joined.filter("s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4")
+    return edges.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.min(F.floor("l_extendedprice")).cast("long").alias("weight"))
+
+
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
+
+
+def apsp_nation(spark: SparkSession, sf: str) -> DataFrame:
+    return P.all_pairs(nation_edges(spark, sf), _nations(spark, sf))
+
+
+def apsp_nation_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return P.dense(apsp_nation(spark, sf), _nations(spark, sf))
+
+
+def apsp_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    return P.all_pairs_blocked(nation_edges(spark, sf), _nations(spark, sf), size=16).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "dist")
+
+
+def sssp_nation(spark: SparkSession, sf: str) -> DataFrame:
+    return P.single_source(nation_edges(spark, sf), 0)
+
+
+# -- sorting --------------------------------------------------------------------------------------------------------
+
+
+def float_sort(spark: SparkSession, sf: str) -> DataFrame:
+    values = table(spark, sf, "events").select(F.col("value").cast("float").alias("value"))
+    return C.positions(values, F.col("value").asc()).select("pos", F.col("value").cast("double").alias("value"))
+
+
+def block_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return C.blocks(float_sort(spark, sf), 7).select("pos", "block")
+
+
+def position_diff(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("value"), "p_size", "p_retailprice")
+    first = C.positions(part, F.col("p_size").asc(), F.col("value").asc())
+    second = C.positions(part.filter("value % 10 <> 0"), F.col("p_size").asc(), F.col("value").desc())
+    return C.positional_difference(first.select("pos", "value"), second.select("pos", "value"))
+
+
+# -- grids and numbers ----------------------------------------------------------------------------------------------
+
+WIDTH, HEIGHT, MOST = 48, 32, 60
+
+
+def mandelbrot_iters(spark: SparkSession, sf: str) -> DataFrame:
+    return G.mandelbrot(G.grid(spark, WIDTH, HEIGHT, -2.0, 1.0, -1.0, 1.0), MOST)
+
+
+def mandelbrot_rgb(spark: SparkSession, sf: str) -> DataFrame:
+    return G.coloured(mandelbrot_iters(spark, sf), HEIGHT, MOST)
+
+
+def _image(spark: SparkSession) -> DataFrame:
+    x, y = F.col("id") % WIDTH, F.floor(F.col("id") / WIDTH)
+    value = lambda a, b: ((x * a + y * b + x * y) % 256).cast("int")
+    return spark.range(WIDTH * HEIGHT).select(x.cast("int").alias("x"), y.cast("int").alias("y"), value(7, 3).alias("r"), value(2, 11).alias("g"), value(5, 5).alias("b"))
+
+
+def sobel_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return G.sobel_bands(_image(spark), WIDTH, HEIGHT, band=8)
+
+
+def sobel_join(spark: SparkSession, sf: str) -> DataFrame:
+    return G.sobel(_image(spark), WIDTH, HEIGHT)
+
+
+def pi_riemann(spark: SparkSession, sf: str) -> DataFrame:
+    return N.pi_riemann(spark, 1_000_000).select(F.round("pi", 9).alias("pi"))
+
+
+def prime_count(spark: SparkSession, sf: str) -> DataFrame:
+    return N.prime_count(spark, 20_000)
+
+
+def primes(spark: SparkSession, sf: str) -> DataFrame:
+    return N.primes(spark, 20_000, segment=4096)
+
+
+def queries() -> dict[str, Query]:
+    listed = [
+        first_letter_count, first_letter_partitioned, first_letter_ordered, word_average, word_average_sorted, key_mod_partition,
+        average_range_partition, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages, out_degree, adjacency,
+        pagerank_pages_k5, pagerank_events_k5, pagerank_ranked, pagerank_buckets, pagerank_error_trace, pagerank_converged,
+        apsp_nation, apsp_nation_dense, apsp_blocked, sssp_nation, float_sort, block_assign, position_diff,
+        mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, pi_riemann, prime_count, primes,
+    ]
+    return {f.__name__: f for f in listed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quarry.plans import oracles
+
+    return oracles.sql()
