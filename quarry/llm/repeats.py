@@ -107,9 +107,20 @@ def _suffixes(docs: DataFrame, seed: int, min_words: int) -> DataFrame:
 
 
 def _compare_sorted(rows: pa.Table) -> pa.RecordBatch:
-    """Pairs of each row with the nearest row above it that has the same seed and another document."""
+    """Pairs of each row with the nearest row above it that has the same seed and another document. Suffixes whose next
+    words no other document shares stand in the order of documents, not of their hashes, so that documents alike in many
+    places meet the same neighbour in each."""
     seed, nxt, doc, pos = (np.asarray(rows[c], dtype=np.int64) for c in ("seed", "next", "doc_id", "pos"))
     n = len(seed)
+    turn = np.ones(n, dtype=bool)
+    turn[1:] = (seed[1:] != seed[:-1]) | (nxt[1:] != nxt[:-1])
+    run = np.cumsum(turn) - 1
+    other = np.zeros(n, dtype=np.int64)
+    other[1:] = ~turn[1:] & (doc[1:] != doc[:-1])
+    shared = np.bincount(run, weights=other)[run] > 0
+    nxt = np.where(shared, nxt, 0)
+    order = np.lexsort((pos, doc, nxt, seed))
+    seed, nxt, doc, pos = seed[order], nxt[order], doc[order], pos[order]
     change = np.ones(n, dtype=bool)
     change[1:] = (seed[1:] != seed[:-1]) | (nxt[1:] != nxt[:-1]) | (doc[1:] != doc[:-1])
     above = np.maximum.accumulate(np.where(change, np.arange(n), 0)) - 1
@@ -181,6 +192,23 @@ def extend(a: np.ndarray, b: np.ndarray, seeds_: list[tuple[int, int]], min_word
     return out
 
 
+def merged_spans(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Overlapping or touching ``(start, end, other)`` joined, each with its smallest ``other``."""
+    out: list[tuple[int, int, int]] = []
+    for s, e, other in sorted(spans):
+        if out and s <= out[-1][1]:
+            a, b, o = out[-1]
+            out[-1] = (a, max(b, e), min(o, other))
+        else:
+            out.append((s, e, other))
+    return out
+
+
+def _columns(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(names, columns, strict=True)})
+
+
 def repeated_passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed_words: int = SEED_WORDS
 ) -> DataFrame:
@@ -216,13 +244,13 @@ def repeated_passages(
         for whole in batches:
             for batch in pieces(whole, "text_b", 2 << 20):
                 sides = [[w.hashes[i:j] for w in scan(batch.column(c), lower=True) for i, j in zip(w.first[:-1], w.first[1:], strict=True)] for c in ("text_a", "text_b")]
-                out: dict[str, list[int]] = {"doc_id": [], "start": [], "end": [], "other_id": []}
+                found: dict[int, list[tuple[int, int, int]]] = {}
                 for a, b, at, wa, wb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "at")), *sides, strict=True):
                     for s, t, n in extend(wa, wb, [(x["pos_a"], x["pos_b"]) for x in at], min_words):
-                        for doc, start, other in ((a, s, b), (b, t, a)):
-                            for c, v in zip(out, (doc, start, start + n, other), strict=True):
-                                out[c].append(v)
-                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+                        found.setdefault(a, []).append((s, s + n, b))
+                        found.setdefault(b, []).append((t, t + n, a))
+                out = [(doc, *x) for doc, listed in found.items() for x in merged_spans(listed)]
+                yield _columns(out, ("doc_id", "start", "end", "other_id"))
 
     left = held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
@@ -234,21 +262,12 @@ def repeated_passages(
         for batch in batches:
             out = []
             for doc, listed in zip(batch.column("doc_id").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                s = e = other = None
-                for x in listed:
-                    if s is not None and x["start"] <= e:
-                        e, other = max(e, x["end"]), min(other, x["other_id"])
-                        continue
-                    if s is not None:
-                        out.append((doc, s, e, other))
-                    s, e, other = x["start"], x["end"], x["other_id"]
-                out.append((doc, s, e, other))
-            columns = list(zip(*out, strict=True)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("doc_id", "start_word", "end_word", "other_id"), columns, strict=True)})
+                out += [(doc, *x) for x in merged_spans([(y["start"], y["end"], y["other_id"]) for y in listed])]
+            yield _columns(out, ("doc_id", "start_word", "end_word", "other_id"))
 
     listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "other_id"))).alias("spans"))
-    merged = listed.mapInArrow(merge, "doc_id long, start_word long, end_word long, other_id long")
-    return merged.select(
+    out = listed.mapInArrow(merge, "doc_id long, start_word long, end_word long, other_id long")
+    return out.select(
         "doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "other_id",
         (F.col("other_id") < F.col("doc_id")).alias("removable"),
     )
