@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 2 << 20
+SLICE = 1 << 19
 _U = np.uint64
 
 _SPACE = np.zeros(256, dtype=bool)
