@@ -84,10 +84,14 @@ def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows that an equal text with a larger id replaces; all columns stay. Repeated rows with
     one id keep one row."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
-    repeated = gone.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    gone = gone.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
-    again = repeated.select(F.col("doc_id").alias("_again"))
-    twice = left.join(again, left[id_col].eqNullSafe(again["_again"]), "left_semi").dropDuplicates([id_col, text_col])
-    once = left.join(again, left[id_col].eqNullSafe(again["_again"]), "left_anti")
-    return once.unionByName(twice)
+    twin = F.col("doc_id").eqNullSafe(F.col("keep_id"))  # the row that stays has this id too
+    key = [F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")]
+    others, twins = gone.filter(~twin).select(*key).distinct(), gone.filter(twin).select(*key).distinct()
+    marked = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
+    same = lambda t: (F.col("_sha") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_gone"))
+    left = marked.join(others, same(others), "left_anti")
+    if twins.limit(1).count():
+        left = left.join(twins, same(twins), "left_anti").unionByName(
+            left.join(twins, same(twins), "left_semi").dropDuplicates([id_col, "_sha"])
+        )
+    return left.drop("_sha")

@@ -164,16 +164,17 @@ def mix(
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each reading of a document. A document that a run cuts
-    has a row with the words taken; words taken twice make two rows. Rows that repeat share one decision."""
-    columns, key = docs.columns, [F.col(id_col), F.xxhash64(F.col(text_col))]
-    marked = docs.withColumns({"_text": key[1]})
-    plan = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_doc"), "passes", "from1", "to1", "from2", "to2", "size").dropDuplicates(["_doc"])
-    joined = marked.join(plan, F.col(id_col).eqNullSafe(F.col("_doc")))
-    none = F.array().cast("array<struct<a:long,b:long>>")
-    span = lambda a, b: F.when(F.col(b) > F.col(a), F.array(F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")))).otherwise(none)
-    whole = F.when(F.col("passes") > 0, F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes"))).otherwise(none)
-    readings = joined.withColumn("_span", F.explode(F.concat(whole, span("from1", "to1"), span("from2", "to2"))))
-    some = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.col("_span.a").cast("int") + 1, (F.col("_span.b") - F.col("_span.a")).cast("int")), " ")
-    text = F.when(F.col("_span.b") - F.col("_span.a") >= F.col("size"), F.col(text_col)).otherwise(some)
-    return readings.withColumn(text_col, text).select(*columns)
+    has a row with the words taken; words taken twice make two rows. Rows of one id and size share one decision."""
+    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.col(text_col).alias("text"))
+    plan = mix(docs, id_col, text_col, source_col, **options).filter("taken > 0").dropDuplicates(["doc_id", "size"])
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    joined = boxed.withColumn("words", size).join(plan, F.col("own").eqNullSafe(F.col("doc_id")) & (F.col("words") == F.col("size")))
+    spans = "array<struct<a:long,b:long>>"
+    one = lambda a, b: F.struct(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
+    span = lambda a, b: F.when(F.col(b) > F.col(a), F.array(one(a, b))).otherwise(F.array().cast(spans))
+    whole = F.array_repeat(F.struct(F.lit(0).cast("long").alias("a"), F.col("size").alias("b")), F.col("passes"))
+    readings = joined.withColumn("span", F.explode(F.concat(whole, span("from1", "to1"), span("from2", "to2"))))
+    length = F.col("span.b") - F.col("span.a")
+    some = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.col("span.a").cast("int") + 1, length.cast("int")), " ")
+    text = F.when(length >= F.col("size"), F.col("text")).otherwise(some)
+    return readings.withColumn("row", F.col("row").withField(text_col, text)).select("row.*")

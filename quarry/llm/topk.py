@@ -44,6 +44,10 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(sq, 0))
 
 
+def _bounded(score: int) -> int:
+    return max(-(1 << 63) + 1, min((1 << 63) - 1, score))
+
+
 def search_block(
     qid: np.ndarray, q: np.ndarray, qd: np.ndarray, xid: np.ndarray, x: np.ndarray, xd: np.ndarray, k: int, step: int = 512
 ) -> Iterator[tuple[int, int, int]]:
@@ -75,10 +79,10 @@ def search_block(
                 found = [(-int(s), int(j)) for s, j in zip(score, xid[some], strict=True)]
             else:
                 whole = [int(v) for v in q[i]]
-                found = [(-sum(a * int(b) for a, b in zip(whole, x[r], strict=True)), int(xid[r])) for r in some]
+                found = [(-_bounded(sum(a * int(b) for a, b in zip(whole, x[r], strict=True))), int(xid[r])) for r in some]
             best = sorted(best + found)[:k]
         for score, j in best:
-            yield int(qid[i]), j, max(-(1 << 63), min((1 << 63) - 1, -score))
+            yield int(qid[i]), j, -score
 
 
 def _pack(rows: DataFrame, scale: float, pivots: int, size: int) -> DataFrame:
