@@ -1,18 +1,19 @@
 """Operator 1: BPE encoding and decoding with a distinct-word table.
 
 1. Texts are split into words (the pieces of ``vocab.cut``); each task counts its distinct words, a shuffle makes the
-   table of all distinct words, and each is encoded once. Its decoded form comes from joining its ids to the
-   tokenizer's id-to-piece table (as long as the vocabulary, hence broadcast).
+   table of all distinct words, and each is encoded once.
 2. The ``hot_words`` most frequent words, a fixed bound, are sent to all tasks; a text becomes the list of their numbers
    with holes at other words. A frequent word therefore never is a join key.
 3. The words in the holes, the rare tail, join the table by word and return to their text by key and position.
-4. Ids and decoded text are put together for each text.
+4. Ids are put together for each text and joined to the tokenizer's id-to-piece table, which is as long as the
+   vocabulary and hence held by each task, to give the decoded text.
 
 All texts are covered; the bound only says which of two ways a word takes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import pieces
+from quarry.llm.arrow import pieces, release
 from quarry.llm.store import materialise
 from quarry.llm.words import _BYTE, _LOWER, SLICE, _buffers, _power_tables, mix
 
@@ -70,13 +71,13 @@ def split_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, byte
         yield keys, first, low.tobytes(), starts, ends, at
 
 
-def count_words(docs: DataFrame, text_col: str, flush: int = 1 << 20) -> DataFrame:
+def count_words(docs: DataFrame, text_col: str, bits: int = 20) -> DataFrame:
     """``word, n`` of all texts, counted in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.llm.vocab import Table
 
-        table, counts, words = Table(), np.zeros(1 << 21, np.int64), []
+        table, counts, words = Table(bits), np.zeros(1 << (bits - 1), np.int64), []
 
         def rows() -> Iterator[pa.RecordBatch]:
             for k in range(0, len(words), 50_000):
@@ -92,7 +93,7 @@ def count_words(docs: DataFrame, text_col: str, flush: int = 1 << 20) -> DataFra
                         where = np.flatnonzero(entry < 0)[where]
                         if table.size + len(new) > table.room:
                             yield from rows()
-                            table, words = Table(), []
+                            table, words = Table(bits), []
                             counts[:] = 0
                             new, where = np.unique(keys, return_index=True)
                         table.add(new)
@@ -105,12 +106,21 @@ def count_words(docs: DataFrame, text_col: str, flush: int = 1 << 20) -> DataFra
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
-    """``id, piece`` of a tokenizer file."""
+def piece_names(tokenizer: str) -> list[bytes]:
+    """The id-to-piece table of a tokenizer file."""
     from quarry.llm.vocab import load
 
     vocab = load(tokenizer).get_vocab(with_added_tokens=True)
-    return spark.createDataFrame(pa.table({"id": pa.array(list(vocab.values()), pa.int32()), "piece": pa.array(list(vocab))}))
+    out = [b""] * (max(vocab.values()) + 1)
+    for piece, i in vocab.items():
+        out[i] = piece.encode()
+    return out
+
+
+def piece_table(spark: SparkSession, tokenizer: str) -> DataFrame:
+    """The same table as rows ``id, piece``."""
+    names = piece_names(tokenizer)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(names)), pa.int32()), "piece": pa.array([x.decode() for x in names])}))
 
 
 def decode(coded: DataFrame, tokenizer: str, key: str, ids_col: str = "ids") -> DataFrame:
@@ -123,7 +133,7 @@ def decode(coded: DataFrame, tokenizer: str, key: str, ids_col: str = "ids") ->
 
 
 def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
-    """``word, n, ids`` of distinct words, each encoded once."""
+    """``word, n, ids`` of distinct words, each encoded once; ids as little-endian bytes of the encoder's width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.llm.vocab import Encoder
@@ -131,51 +141,64 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             ids = encoder.pieces(batch.column("word").to_pylist())
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
-            flat = np.concatenate(ids) if ids else np.zeros(0)
-            yield pa.RecordBatch.from_pydict(
-                {"word": batch.column("word"), "n": batch.column("n"), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}
-            )
+            yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+            release()
+
+    return words.mapInArrow(run, "word binary, n long, ids binary")
 
-    return words.mapInArrow(run, "word binary, n long, ids array<int>")
+
+def id_bytes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of id bytes in a row, and how many each value holds."""
+    offsets, data = _buffers(column)
+    flat = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), dtype=f"<u{width}") if len(offsets) > 1 else np.zeros(0, np.uint32)
+    return flat.astype(np.int32), np.diff(offsets) // width
+
+
+def pieces_of(flat: np.ndarray, sizes: np.ndarray, names: list[bytes]) -> list[bytes]:
+    """The decoded bytes of each group of ids: its pieces, looked up by id, each followed by a blank."""
+    found, ends = [names[i] for i in flat.tolist()], np.cumsum(sizes).tolist()
+    return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 class HotTable:
     """The frequent words' numbers, ids and decoded bytes in a Python worker; the last table used is kept."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, data: bytes, names: list[bytes], width: int):
         from quarry.llm.vocab import Table
 
-        self.size = table.num_rows
-        self.table = Table(max(8, (2 * self.size).bit_length() + 1))
-        keys = hash_words(table["word"].combine_chunks()) if self.size else np.zeros(0, _U)
-        _, one = np.unique(keys, return_index=True)
-        order = np.sort(one)
-        self.rows, self.number = table, order
+        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+        self.names, self.width = [x + b" " for x in names], width
+        self.ids, self.sizes = id_bytes(rows["ids"], width)
+        self.table = Table(max(8, (2 * rows.num_rows).bit_length() + 1))
+        keys, one = np.unique(hash_words(rows["word"]), return_index=True)
+        order = np.argsort(one)
+        if len(order) != rows.num_rows:
+            raise ValueError("two frequent words share a hash")
         self.table.add(keys[order])
-        self._ids = None
+        self._texts = None
 
     @classmethod
-    def of(cls, name: str, data: bytes) -> HotTable:
+    def of(cls, name: str, data: tuple) -> HotTable:
         if name not in _tables:
             _tables.clear()
-            _tables[name] = cls(pa.ipc.open_stream(data).read_all())
+            _tables[name] = cls(*data)
         return _tables[name]
 
     @property
-    def ids(self) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """All ids in a row, their number for each word, and the decoded words."""
-        if self._ids is None:
-            rows = self.rows.take(pa.array(self.number))
-            ids = rows["ids"].combine_chunks() if self.size else pa.array([], pa.list_(pa.int32()))
-            flat = np.asarray(ids.flatten(), dtype=np.int32)
-            sizes = np.diff(np.asarray(ids.offsets, dtype=np.int64)) if self.size else np.zeros(0, np.int64)
-            self._ids = flat, sizes, [_ended(x) for x in rows["decoded"].cast(pa.binary()).to_pylist()]
-        return self._ids
+    def texts(self) -> list[bytes]:
+        if self._texts is None:
+            self._texts = pieces_of(self.ids, self.sizes, self.names)
+        return self._texts
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Word numbers (-1 for a hole) as three planes of bytes; frequent words have small numbers."""
+    return (numbers + 1).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()
 
 
-def _ended(piece: bytes | None) -> bytes:
-    return piece + b" " if piece else b""
+def unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(3, -1).astype(np.int64)
+    return planes[0] + (planes[1] << 8) + (planes[2] << 16) - 1
 
 
 def _hot(table: DataFrame, most: int) -> tuple[bytes, DataFrame]:
@@ -187,8 +210,7 @@ def _hot(table: DataFrame, most: int) -> tuple[bytes, DataFrame]:
         if r["level"] < 0 or held + r["count"] > most:
             break
         cut, held = r["level"], held + r["count"]
-    found = table.filter(level >= cut).select("word", "ids", "decoded").toArrow()
-    found = found.cast(pa.schema([("word", pa.binary()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
+    found = table.filter(level >= cut).toArrow().sort_by([("n", "descending"), ("word", "ascending")]).select(["word", "ids"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, found.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(found.combine_chunks())
@@ -203,10 +225,11 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     empty result and further columns are not read.
     """
     spark = docs.sparkSession
-    coded = materialise(encode_words(count_words(docs, text_col), tokenizer), "words")
-    table = materialise(coded.join(decode(coded.select("word", "ids"), tokenizer, "word"), "word"), "word-table")
+    table = materialise(encode_words(count_words(docs, text_col), tokenizer), "word-table")
     data, rare = _hot(table, hot_words)
-    name, hot = f"hot-{id(data)}-{len(data)}", spark.sparkContext.broadcast(data)
+    names = piece_names(tokenizer)
+    width = 2 if len(names) <= 65536 else 4
+    name, hot = uuid.uuid4().hex, spark.sparkContext.broadcast((data, names, width))
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
         {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")}
@@ -221,7 +244,7 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 out = []
                 for keys, first, *_ in split_words(part.column("text")):
                     entry = known.table.find(keys)
-                    out += [squeeze.compress(entry[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+                    out += [squeeze.compress(squeezed(entry[a:b])) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("doc_id", "k1", "k2")}, "numbers": pa.array(out, pa.binary())})
 
     def holes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,43 +269,40 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         from quarry.llm.vocab import spread
 
         known, open_ = HotTable.of(name, hot.value), zstandard.ZstdDecompressor()
-        flat, sizes, texts = known.ids
+        flat, sizes, texts = known.ids, known.sizes, known.texts
         starts = np.cumsum(sizes) - sizes
         for batch in batches:
-            for part in pieces(batch, "numbers", 1 << 20):
-                entries = [np.frombuffer(open_.decompress(z), dtype=np.int32) for z in part.column("numbers").to_pylist()]
-                edges = np.concatenate([[0], np.cumsum([len(e) for e in entries])])
-                entry = np.concatenate(entries).astype(np.int64) if entries else np.zeros(0, np.int64)
+            for part in pieces(batch, "numbers", 1 << 18):
+                entries = [unsqueezed(open_.decompress(z)) for z in part.column("numbers").to_pylist()]
+                edges = np.concatenate([[0], np.cumsum([len(e) for e in entries], dtype=np.int64)])
+                entry = np.concatenate(entries)
                 rest = part.column("rest")
-                owner = np.repeat(np.arange(len(rest)), np.diff(np.asarray(rest.offsets, dtype=np.int64)) if len(rest) else [])
+                owner = np.repeat(np.arange(len(rest)), np.diff(np.asarray(rest.offsets, dtype=np.int64)))
                 tail = rest.flatten()
                 at = edges[owner] + np.asarray(tail.field("pos"), dtype=np.int64)
-                own = tail.field("ids")
-                own_sizes = np.diff(np.asarray(own.offsets, dtype=np.int64))
+                own, own_sizes = id_bytes(tail.field("ids"), width)
                 entry[at] = len(sizes) + np.arange(len(at))
-                all_flat = np.concatenate([flat, np.asarray(own.flatten(), dtype=np.int32)])
-                all_sizes = np.concatenate([sizes, own_sizes])
-                all_starts = np.concatenate([starts, len(flat) + np.cumsum(own_sizes) - own_sizes])
-                words = [_ended(x) for x in tail.field("decoded").cast(pa.binary()).to_pylist()]
+                ids_of = np.concatenate([flat, own])
+                size_of = np.concatenate([sizes, own_sizes])[entry]
+                start_of = np.concatenate([starts, len(flat) + np.cumsum(own_sizes) - own_sizes])[entry]
+                words = pieces_of(own, own_sizes, known.names)
                 n, listed = len(texts), entry.tolist()
-                decoded = []
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    decoded.append(b"".join([texts[e] if e < n else words[e - n] for e in listed[a:b]])[:-1])
-                ids = all_flat[spread(all_starts[entry], all_sizes[entry])]
-                ends = np.concatenate([[0], np.cumsum(all_sizes[entry])])[edges]
+                said = [texts[e] if e < n else words[e - n] for e in listed]
+                decoded = [b"".join(said[a:b])[:-1] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+                ends = np.concatenate([[0], np.cumsum(size_of)])[edges]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),
-                        "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
+                        "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids_of[spread(start_of, size_of)], pa.int32())),
                         "decoded": pa.array(decoded, pa.binary()).cast(pa.string()),
                     }
                 )
 
     found = keyed.select("k1", "k2", "text").mapInArrow(holes, "k1 long, k2 long, pos int, word binary")
-    found = found.join(rare.select("word", "ids", "decoded"), "word")
-    found = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids", "decoded")).alias("rest"))
+    found = found.join(rare.select("word", "ids"), "word")
+    found = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("rest"))
     rows = keyed.mapInArrow(numbers, "doc_id long, k1 long, k2 long, numbers binary").join(found, ["k1", "k2"], "left")
-    nothing = F.array().cast("array<struct<pos:int,ids:array<int>,decoded:string>>")
+    nothing = F.array().cast("array<struct<pos:int,ids:binary>>")
     rows = rows.select("doc_id", "numbers", F.coalesce("rest", nothing).alias("rest"))
     return rows.mapInArrow(assemble, "doc_id long, ids array<int>, decoded string")
 

@@ -122,7 +122,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 65536 else "<u4")
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith(WORD_END)]] = True
-        self._empty()
+        self.table = None
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -172,6 +172,8 @@ class Encoder:
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
         """The ids of each text. Null counts as an empty text."""
+        if self.table is None:
+            self._empty()
         offsets, data = _buffers(column)
         n, d, out = len(offsets) - 1, 0, []
         while d < n:
