@@ -60,12 +60,12 @@ ASIDE_ROLES = frozenset(
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion "
     "banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
-    "subscription signup login sidebar sidebars aside rail widget widgets menu menus nav navbar navigation breadcrumb "
+    "subscription signup login sidebar sidebars side aside rail menu menus nav navbar navigation breadcrumb "
     "breadcrumbs masthead topbar header footer foot copyright legal comment comments commentlist reply replies disqus "
     "respond discussion related recommended recommendations share sharing social pagination pager paging search toolbar "
-    "disclaimer alert form".split()
+    "disclaimer alert form topnav subnav sitenav mainnav mainmenu submenu megamenu adbox adslot adunit".split()
 )
-NEGATED = frozenset("has with no without not non pre post is".split())
+NEGATED = frozenset("has with no without not non".split())
 KEEPERS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPREAD, HELD, LINKS = 0.25, 0.9, 0.8

@@ -237,6 +237,8 @@ FRAME = "<nav><ul><li><a href=x>Home</a></li></ul></nav>{}<footer>&copy; Someone
         FRAME.format(f"<div class='cookie-notice'>We use cookies, as everybody does.</div><article class='has-sidebar'>{STORY}"),
         FRAME.format(f"<article><header>{STORY[:STORY.index('<p>')]}<p>By me</p></header>{STORY[STORY.index('<p>'):]}</article>"),
         FRAME.format(f"<article>{STORY.replace('</p>', '')}</article>"),
+        FRAME.format(f"<article>{STORY}<div class='post-comments'><p>First, wrote somebody, at once.</p></div></article>"),
+        FRAME.format(f"<div class=wrap><div class=sideBar><p>Teaser, with some more words.</p></div><div class=text>{STORY}</div></div>"),
     ],
 )
 def test_main_text(page):
