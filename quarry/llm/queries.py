@@ -109,6 +109,19 @@ WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
      g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
 FROM d JOIN g USING (t)
+""",
+    "op5_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE
+               WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM d)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+     l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+     e AS (SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l),
+     r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, min(c) = doc_id AS kept
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """,
     "op6_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
@@ -122,5 +135,39 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 }
 
 
+def _licence_sql() -> str:
+    from quarry.llm.licences import TEMPLATES, TERM
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for n, texts in TEMPLATES.items() for i, t in enumerate(texts))
+    terms = lambda x: f"unnest(regexp_extract_all(lower({x}), '{TERM}'))"
+    return f"""
+WITH t(licence, k, txt) AS (VALUES {values}),
+tt AS (SELECT licence, k, term, count(*) AS tf FROM (SELECT licence, k, {terms("txt")} AS term FROM t) GROUP BY ALL),
+d AS (SELECT doc_id, coalesce(text, '') AS text,
+             concat_ws('/', source, lang, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), doc_id || '.txt') AS path FROM documents),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, {terms("text")} AS term FROM d) GROUP BY term),
+idf AS (SELECT DISTINCT tt.term, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1 AS idf FROM tt LEFT JOIN df USING (term)),
+w AS (SELECT licence, k, term, tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY licence, k)) AS weight FROM tt JOIN idf USING (term)),
+u AS (SELECT doc_id, kind, row_number() OVER () AS spot, unit FROM (
+        SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS unit FROM d
+        UNION ALL SELECT doc_id, 1, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM d) WHERE contains(trim(p), chr(10))
+        UNION ALL SELECT doc_id, 2, text FROM d)),
+tf AS (SELECT doc_id, kind, spot, term, count(*) AS tf FROM (SELECT doc_id, kind, spot, {terms("unit")} AS term FROM u) GROUP BY ALL),
+norm AS (SELECT spot, sqrt(sum(pow(tf * coalesce(idf, ln((SELECT count(*) FROM d) + 1) + 1), 2))) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY spot),
+hit AS (SELECT doc_id, kind, licence, round(sum(tf * idf * weight) / any_value(norm), 9) AS cosine
+        FROM tf JOIN w USING (term) JOIN idf USING (term) JOIN norm USING (spot) GROUP BY doc_id, kind, spot, licence, k),
+own AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence, max(cosine) AS cosine FROM hit WHERE cosine >= 6e-1 GROUP BY doc_id),
+file AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS file_licence, max(cosine) AS file_cosine FROM hit WHERE cosine >= 6e-1 AND kind = 2 GROUP BY doc_id),
+dir AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(path, {{'c': -file_cosine, 'p': path}}) AS inherited_from, arg_min(file_licence, {{'c': -file_cosine, 'p': path}}) AS inherited
+        FROM d JOIN file USING (doc_id) GROUP BY 1),
+near AS (SELECT path, arg_max(inherited, length(dir)) AS inherited, arg_max(inherited_from, length(dir)) AS inherited_from
+         FROM d JOIN dir ON dir = '' OR starts_with(path, dir || '/') GROUP BY path)
+SELECT d.doc_id, d.path, own.licence, own.cosine, file_licence IS NOT NULL AS licence_file,
+       CASE WHEN own.licence IS NULL THEN near.inherited END AS inherited, CASE WHEN own.licence IS NULL THEN near.inherited_from END AS inherited_from
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN file USING (doc_id) LEFT JOIN near USING (path)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return ORACLE_SQL | {"op2_licences": _licence_sql()}

@@ -63,7 +63,7 @@ def test_stages(spark, small):
     assert len(whole) == len(outputs[4])
 
 
-@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_top_k"])
+@pytest.mark.parametrize("name", ["op2_licences", "op3_exact_dedup", "op5_near_dedup", "op6_top_k"])
 def test_query_equals_sql(spark, small, name):
     from oracle import assert_same, duck
 
