@@ -222,3 +222,14 @@ def test_image_round_trip(spark, tmp_path, write, name):
     write(spark.createDataFrame(rows, "x int, y int, r int, g int, b int"), str(tmp_path / name), 5, 3)
     found = images.read_pixels(spark, str(tmp_path / name)).drop("path").collect()
     assert sorted(map(tuple, found)) == sorted(rows)
+
+
+def test_store_follows_the_session_and_clears(spark):
+    from quarry import store
+
+    table = store.materialise(spark.range(5), "five")
+    assert sorted(r[0] for r in table.collect()) == [0, 1, 2, 3, 4]
+    assert store.fresh_path(spark, "x").startswith(store.shared_dir(spark))
+    store.clear(spark)
+    with pytest.raises(Exception, match="exist|FAILED_READ_FILE|PATH"):
+        table.collect()
