@@ -1,38 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share.
+"""Intermediate tables in the folder that driver and executors share (see ``quarry.store``)."""
 
-Iterative operators cut their lineage by writing a Parquet table below ``spark.checkpoint.dir`` and reading it
-again: a lost executor then costs a re-read, never a replay of the whole job. ``localCheckpoint`` is not used.
-"""
+from quarry.store import clear, fresh_path, materialise, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-KEY = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests, one machine) a folder of our own."""
-    given = spark.conf.get(KEY, None)
-    if given:
-        return given
-    app = spark.sparkContext.applicationId
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"{KEY} must name a folder that all executors share")
-    return _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quarry-"))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table (same columns and types)."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clear", "fresh_path", "materialise", "shared_dir"]
