@@ -2,16 +2,18 @@
 
 One pass hashes the five-word shingles of each text. The distinct hashes fall into ``BUCKETS`` buckets; of each
 bucket's smallest hash the leading-zero count (6 bits) and the next 10 bits are kept as a 16-bit register. Eight
-consecutive registers form a band. At a similarity of 0.85 two texts share none of the 48 bands with a probability
+consecutive registers form a band; for bands, empty buckets borrow a full one's register. At a similarity of 0.85 two texts share none of the 48 bands with a probability
 below 3e-7, at 0.5 they share one in six.
 
 1. Texts with equal sets collapse into one class; only its smallest id goes on.
-2. In every band bucket each member is compared with the bucket's smallest id (a star, never all pairs).
-3. Registers give a Jaccard estimate, corrected for chance collisions; pairs five standard errors too low go.
-4. The rest is verified on the full sets and links are closed into components.
-5. Buckets that still hold several components are the only places where a link can hide. Their members are paired
-   across components; where a bucket holds many components, pairs come from a prefix filter instead (texts that reach
-   the threshold must share one of their rarest shingles), which is exact. Verified links join components again.
+2. Each member of the first six bands' buckets is compared with one bucket's smallest id, the one it meets most often
+   (a star, never all pairs), then in the buckets of all bands the members of the smallest and the largest component.
+3. Registers give a Jaccard estimate, corrected for chance collisions; pairs five standard errors too low go. The rest
+   is verified on the full sets, and links are closed into components.
+4. Buckets that still hold several components are the only places where a link can hide. Their members are paired
+   across components; where a bucket holds many members or components, a prefix filter takes over (texts that reach
+   the threshold must share one of their rarest shingles), which is exact: texts that share one are compared in chunks
+   on their full sets. Links found here join components again.
 """
 
 from __future__ import annotations
@@ -23,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.arrow import pieces
+from quarry.llm.arrow import pieces, release
 from quarry.llm.components import components
 from quarry.llm.store import materialise
 from quarry.llm.words import mix, scan, shingle_sets
 
 BAND, BANDS = 8, 48
 BUCKETS = BAND * BANDS
-CROWD = 40
+STAR_BANDS = 6
+CROWD = 12
+MEMBERS = 24
 _U = np.uint64
 
 
@@ -53,6 +57,21 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+_ORDER = np.random.default_rng(17).permuted(np.tile(np.arange(BUCKETS, dtype=np.uint16), (BUCKETS, 1)), axis=1)
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers whose empty buckets borrow from the first full one in an order of their own (the same for every text).
+    A register then agrees between two texts as often as they are similar, for short texts too, and a band of a short
+    text tells as much as that of a long one."""
+    full, empty = np.flatnonzero(regs), np.flatnonzero(regs == 0)
+    if not len(full) or not len(empty):
+        return regs
+    out = regs.copy()
+    out[empty] = regs[full[_ORDER[np.ix_(empty, full)].argmin(axis=1)]]
+    return out
+
+
 def band_keys(regs: np.ndarray) -> list[int | None]:
     """A 64-bit key for each band; None for a band without a shingle."""
     grid = regs.reshape(BANDS, BAND).astype(_U)
@@ -91,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                                 ends = [s.sum(dtype=_U), mix(s + _U(0x632BE59BD9B4E019)).sum(dtype=_U), _U(len(s))]
                             key.append(np.array(ends, dtype=_U).tobytes())
                             regs.append(r.tobytes())
-                            bands.append(band_keys(r))
+                            bands.append(band_keys(filled(r)))
                         else:
                             key.append(None), regs.append(None), bands.append(None)
                 yield pa.RecordBatch.from_pydict(
@@ -143,6 +162,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                         keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(at), "b": batch.column("b").take(at)})
+            release()
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long")
 
@@ -167,47 +187,135 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
-def _across(keyed: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+def _across(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From ``key, node, comp``: pairs of nodes under one key but in different components, and the keys with more than
-    ``most`` components, which give no pairs here."""
-    held = keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.approx_count_distinct("comp").alias("n")).filter("lo <> hi")
-    crowded = held.filter(F.col("n") > most) if most else held.filter("false")
-    few = held.filter(F.col("n") <= most) if most else held
-    rows = keyed.join(few.select("key"), "key")
+    ``CROWD`` components or ``MEMBERS`` nodes, which give no pairs here."""
+    held = keyed.groupBy("key").agg(F.count_distinct("comp").alias("n"), F.count(F.lit(1)).alias("m")).filter("n > 1")
+    crowded = (F.col("n") > CROWD) | (F.col("m") > MEMBERS)
+    rows = keyed.join(held.filter(~crowded).select("key"), "key")
     left = rows.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
     right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
     pairs = left.join(right, "key").filter("comp_a < comp_b").select("a", "b").distinct()
-    return pairs, crowded.select("key")
+    return pairs, held.filter(crowded).select("key")
+
+
+def _frequent(sets: DataFrame, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in many of ``sets`` with their counts, sorted by shingle. Only those in at least
+    ``shingles / most`` sets are listed, which bounds the list by ``most``; a batch reports what it holds twice. Counts
+    only order shingles: they bear on how much is compared, not on what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                key, n = np.unique(np.frombuffer(b"".join(batch.column("full").to_pylist()), np.int64), return_counts=True)
+                twice = n > 1
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key[twice]), "n": pa.array(n[twice].astype(np.int64))})
+
+    total = sets.agg(F.sum(F.octet_length("full"))).head()[0] or 0
+    least = max(2, -(-total // 8 // most))
+    counted = sets.select("full").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    key, n = np.asarray(counted["key"], dtype=np.int64), np.asarray(counted["n"], dtype=np.int64)
+    order = np.argsort(key)
+    return key[order], n[order]
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``key, node``: each set's rarest shingles, so many that similar sets must share one. Rarity is counted over
-    ``sets``; ties go by hash."""
+    """``key, node, comp``: each set's rarest shingles, so many that similar sets must share one. Frequent shingles rank
+    by how many of ``sets`` hold them, all others come before them; ties go by hash."""
+    frequent = sets.sparkSession.sparkContext.broadcast(_frequent(sets))
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = frequent.value
         for batch in batches:
-            for node, raw in zip(batch.column("doc_id").to_pylist(), batch.column("full").to_pylist(), strict=True):
+            found: list[tuple[np.ndarray, ...]] = []
+            for node, comp, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "comp", "full")), strict=True):
                 s = np.frombuffer(raw, dtype=np.int64)
+                rank = np.zeros(len(s), np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+                    rank = np.where(keys[at] == s, counts[at], 0)
                 need = len(s) - -(-percent * len(s) // 100) + 1
-                yield pa.RecordBatch.from_pydict(
-                    {"node": pa.array(np.full(len(s), node)), "need": pa.array(np.full(len(s), need)), "key": pa.array(s)}
-                )
+                found.append((s[np.lexsort((s, rank))[:need]], np.full(need, node), np.full(need, comp)))
+            if found:
+                yield pa.RecordBatch.from_pydict({c: pa.array(np.concatenate(x)) for c, x in zip(("key", "node", "comp"), zip(*found, strict=True), strict=True)})
+            release()
+
+    return sets.mapInArrow(run, "key long, node long, comp long")
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Sizes of the intersections of every set of ``a`` with every set of ``b``, by products of 0/1 matrices over slices
+    of the shingles they hold."""
+    flat = np.concatenate([*a, *b])
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    kinds, place = np.unique(flat, return_inverse=True)
+    out = np.zeros((len(a), len(b)), dtype=np.float32)
+    order = np.argsort(place, kind="stable")
+    place, owner = place[order], owner[order]
+    for k in range(0, len(kinds), columns):
+        lo, hi = np.searchsorted(place, [k, k + columns])
+        grid = np.zeros((len(a) + len(b), min(columns, len(kinds) - k)), dtype=np.float32)
+        grid[owner[lo:hi], place[lo:hi] - k] = 1
+        out += grid[: len(a)] @ grid[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _linked(rows: DataFrame, sets: DataFrame, percent: int, chunk: int = 256) -> DataFrame:
+    """Links ``(a, b)`` between nodes that share a key of ``key, node, comp`` but no component, enough to join the
+    components. Nodes of a key are dealt into chunks of about ``chunk``; each pair of chunks is compared in one place,
+    so no group is ever held whole and no pair is written that is not a link."""
+    held = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    near = rows.join(held.select("key", F.ceil(F.col("m") / chunk).alias("ways")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("ways")))
+    spread = near.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
+    placed = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"), "node")
+    full = placed.join(sets.select(F.col("doc_id").alias("node"), "comp", "full"), "node")
+    dealt = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    def verify(group: list[tuple]) -> list[tuple[int, int]]:
+        nodes, comps, sets_ = [g[4] for g in group], [g[5] for g in group], [np.frombuffer(g[6], np.int64) for g in group]
+        inside = group[0][1] == group[0][2]
+        left = [k for k, g in enumerate(group) if inside or not g[3]]
+        right = [k for k, g in enumerate(group) if inside or g[3]]
+        if not left or not right:
+            return []
+        size = np.array([len(x) for x in sets_])
+        common = intersections([sets_[k] for k in left], [sets_[k] for k in right])
+        close = 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+        top: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in top:
+                c = top[c]
+            return c
+
+        out = []
+        for x, y in zip(*np.nonzero(close), strict=True):
+            p, q = left[x], right[y]
+            r, t = root(comps[p]), root(comps[q])
+            if r != t:
+                top[max(r, t)] = min(r, t)
+                out.append((min(nodes[p], nodes[q]), max(nodes[p], nodes[q])))
+        return out
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, taken = None, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, group, links = ("key", "i", "j", "second", "node", "comp", "full"), [], []
         for batch in batches:
-            keep = []
-            for i, (x, need) in enumerate(zip(batch.column("node").to_pylist(), batch.column("need").to_pylist(), strict=True)):
-                node, taken = (node, taken + 1) if x == node else (x, 1)
-                if taken <= need:
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_pydict({"key": batch.column("key").take(at), "node": batch.column("node").take(at)})
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    links += verify(group)
+                    group = []
+                group.append(row)
+            yield _pairs_batch(links)
+            links = []
+            release()
+        if group:
+            yield _pairs_batch(verify(group))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
-    rows = sets.dropDuplicates(["doc_id"]).mapInArrow(expand, "node long, need long, key long")
-    seen = rows.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
-    ranked = rows.join(seen, "key").repartition("node").sortWithinPartitions("node", "seen", "key")
-    return ranked.select("node", "need", "key").mapInArrow(cut, "key long, node long")
+
+def _pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
@@ -225,29 +333,37 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rep = classes.select(F.col("rep").alias("doc_id"), "set_key")
     nodes = sig.join(rep, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
     nodes = materialise(nodes, "nodes")
-    bands = nodes.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key")).filter("key IS NOT NULL")
-
-    shared = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("key", "a")
-    members = materialise(bands.join(shared, "key"), "buckets")
-    star = members.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    star = materialise(_estimated(star, nodes, percent), "star")
-    wanted = star.select(F.col("a").alias("doc_id")).union(star.select("b")).distinct()
-    sets = full_sets(docs, wanted, id_col, text_col, words)
-    links = materialise(_similar(star, sets, percent).distinct(), "links")
+    sets = lambda pairs: full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), id_col, text_col, words)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        close = materialise(_estimated(pairs, nodes, percent), f"{name}-pairs")
+        return materialise(_similar(close, sets(close), percent).distinct(), f"{name}-links")
+
+    first = nodes.select(F.col("doc_id").alias("node"), F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key")).filter("key IS NOT NULL")
+    shared = first.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("key", "a")
+    star = first.join(shared, "key").filter("a <> node").groupBy(F.col("node").alias("b")).agg(F.mode("a", True).alias("a")).select("a", "b")
+    links = verified(star, "star")
+    comps = components(links)
+
+    def keyed() -> DataFrame:
+        at = nodes.select(F.col("doc_id").alias("node"), "bands").join(comps, "node", "left")
+        return at.select("node", F.coalesce("comp", "node").alias("comp"), F.explode("bands").alias("key")).filter("key IS NOT NULL")
+
+    ends = keyed().groupBy("key").agg(F.min(F.struct("comp", "node")).alias("lo"), F.max(F.struct("comp", "node")).alias("hi"))
+    ends = ends.filter("lo.comp <> hi.comp").select(F.least("lo.node", "hi.node").alias("a"), F.greatest("lo.node", "hi.node").alias("b"))
+    links = links.unionByName(verified(ends.distinct(), "ends"))
     comps = components(links)
 
-    keyed = members.select("key", "node").join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    keyed = materialise(keyed, "keyed")
-    pairs, crowded = _across(keyed, CROWD)
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    crowd = materialise(keyed.join(crowded, "key", "left_semi").select("node", "comp").distinct(), "crowd")
+    open_ = materialise(keyed().groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "open")
+    held = materialise(keyed().join(open_, "key"), "held")
+    pairs, crowded = _across(held)
+    more = verified(pairs, "rest")
+    crowd = materialise(held.join(crowded, "key", "left_semi").select(F.col("node").alias("doc_id"), "comp").distinct(), "crowd")
     if crowd.limit(1).count():
-        rare = _prefixes(full_sets(docs, crowd.select(F.col("node").alias("doc_id")), id_col, text_col, words), percent)
-        rare = materialise(rare.join(crowd, "node").select("key", "node", "comp"), "rare")
-        pairs = pairs.unionByName(_across(rare)[0]).distinct()
-    pairs = materialise(_estimated(pairs, nodes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    more = materialise(_similar(pairs, full_sets(docs, wanted, id_col, text_col, words), percent).distinct(), "more")
+        own = full_sets(docs, crowd.select("doc_id"), id_col, text_col, words).dropDuplicates(["doc_id"]).join(crowd, "doc_id")
+        own = materialise(own, "crowd-sets")
+        rare = materialise(_prefixes(own, percent), "prefixes")
+        more = more.unionByName(materialise(_linked(rare, own, percent), "crowd-links"))
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
