@@ -26,7 +26,7 @@ from quarry.llm.store import materialise
 from quarry.llm.words import _BYTE, _LOWER, SLICE, _buffers, _power_tables, mix
 
 LONGEST_HOT = 64
-HOT_WORDS = 1 << 19
+HOT_WORDS = 1 << 18
 _U = np.uint64
 _tables: dict[str, HotTable] = {}
 
@@ -71,8 +71,14 @@ def split_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, byte
         yield keys, first, low.tobytes(), starts, ends, at
 
 
-def count_words(docs: DataFrame, text_col: str, bits: int = 20) -> DataFrame:
-    """``word, n`` of all texts, counted in each task before the shuffle."""
+def _counted(text: bytes, starts: np.ndarray, ends: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array(times, pa.int64())})
+
+
+def count_words(docs: DataFrame, text_col: str, bits: int = 18) -> DataFrame:
+    """``word, n`` of all texts, counted in each task before the shuffle. A task's table of ``2 ** (bits - 1)`` words is
+    emitted and begun anew when full; Spark's partial sums then merge what it emitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.llm.vocab import Table
@@ -89,18 +95,24 @@ def count_words(docs: DataFrame, text_col: str, bits: int = 20) -> DataFrame:
                 for keys, _, text, starts, ends, _ in split_words(part.column("text")):
                     entry = table.find(keys)
                     if (entry < 0).any():
-                        new, where = np.unique(keys[entry < 0], return_index=True)
-                        where = np.flatnonzero(entry < 0)[where]
-                        if table.size + len(new) > table.room:
+                        new, where, times = np.unique(keys, return_index=True, return_counts=True)
+                        if len(new) > table.room:  # one very long text
+                            yield _counted(text, starts[where], ends[where], times)
+                            continue
+                        fresh = table.find(new) < 0
+                        if table.size + int(fresh.sum()) > table.room:
                             yield from rows()
                             table, words = Table(bits), []
                             counts[:] = 0
-                            new, where = np.unique(keys, return_index=True)
-                        table.add(new)
+                            fresh[:] = True
+                        table.add(new[fresh])
+                        where = where[fresh]
                         words += [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
                         entry = table.find(keys)
                     counts[: table.size] += np.bincount(entry, minlength=table.size)
         yield from rows()
+        del table, words
+        release()
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
@@ -138,7 +150,7 @@ def encode_words(words: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quarry.llm.vocab import Encoder
 
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder(tokenizer)  # freed with the task, as later stages need the room
         for batch in batches:
             ids = encoder.pieces(batch.column("word").to_pylist())
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "n": batch.column("n"), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})

@@ -54,7 +54,7 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Table:
     """Open addressing from 64-bit hashes to entry numbers."""
 
-    def __init__(self, bits: int = TABLE_BITS):
+    def __init__(self, bits: int):
         self.mask = _U((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, dtype=_U)
         self.entry = np.full(1 << bits, -1, dtype=np.int32)
@@ -130,8 +130,9 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def _empty(self) -> None:
-        self.table = Table()
+    def _empty(self, pieces: int = 0) -> None:
+        """Begin anew, with room for at least so many pieces (a very long text may hold more than the usual table)."""
+        self.table = Table(max(TABLE_BITS, (2 * pieces).bit_length()))
         self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat, self.used = np.zeros(1 << 20, self.dtype), 0
 
@@ -194,8 +195,8 @@ class Encoder:
         if (entry < 0).any():
             new, where = np.unique(keys[entry < 0], return_index=True)
             if self.table.size + len(new) > self.table.room:
-                self._empty()
                 new, where = np.unique(keys, return_index=True)
+                self._empty(len(new))
             else:
                 where = np.flatnonzero(entry < 0)[where]
             text = data.tobytes()

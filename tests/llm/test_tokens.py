@@ -37,15 +37,23 @@ def test_encoder_equals_library_on_random_texts(text):
 
 
 def test_full_table_starts_anew(monkeypatch):
-    encoder = vocab.Encoder(PATH)
-    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}q" for i in range(40)) + f" z{j}" for j in range(30)])
-    want = [x.tolist() for x in encoder.encode(texts)]
-    monkeypatch.setattr(vocab, "TABLE_BITS", 7)
+    texts = pa.array([" ".join(f"{chr(97 + i % 26)}{chr(97 + j % 26)}q" for i in range(26)) + f" z{j}" for j in range(26)])
+    want = [library(x)[0] for x in texts.to_pylist()]
+    monkeypatch.setattr(vocab, "TABLE_BITS", 6)
+    monkeypatch.setattr(vocab, "SLICE", 100)
     small = vocab.Encoder(PATH)
-    small.table = vocab.Table(7)
-    monkeypatch.setattr(vocab.Encoder, "_empty", lambda self, old=vocab.Encoder._empty: (old(self), setattr(self, "table", vocab.Table(12)))[0])
-    small._empty()
     assert [x.tolist() for x in small.encode(texts)] == want
+    long = pa.array([" ".join(x for x in texts.to_pylist())])
+    assert small.encode(long)[0].tolist() == [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("bits", [4, 18])
+def test_word_counts_merge(spark, bits):
+    from collections import Counter
+
+    docs = spark.createDataFrame([("a b a C",), ("c d e f g h i j k l m n",), ("a",), (None,)], "text string").coalesce(1)
+    found = {r["word"].decode(): r["n"] for r in bpe.count_words(docs, "text", bits=bits).collect()}
+    assert found == Counter("abaccdefghijklmna")
 
 
 @pytest.mark.parametrize("hot", [bpe.HOT_WORDS, 20, 0])
