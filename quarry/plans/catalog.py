@@ -129,11 +129,21 @@ def page_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
 
 def event_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
     """Purchases only; every seventh user has no out-links."""
-    events = table(spark, sf, "events").filter("event_type = 'purchase'")
+    return _event_graph(spark, sf, _successors(table(spark, sf, "events").filter("event_type = 'purchase'")).filter("src % 7 <> 0"))
+
+
+def all_event_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
+    """Every event of every user."""
+    return _event_graph(spark, sf, _successors(table(spark, sf, "events")))
+
+
+def _successors(events: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    after = events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).filter("dst IS NOT NULL")
+    return events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).filter("dst IS NOT NULL")
+
+
+def _event_graph(spark: SparkSession, sf: str, edges: DataFrame) -> L.LinkGraph:
     nodes = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
-    edges = after.filter("src % 7 <> 0")
     lone = nodes.join(edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti").count()
     return L.LinkGraph(nodes, edges, nodes.count(), lone)
 
@@ -169,20 +179,53 @@ def pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.pagerank(event_graph(spark, sf), None).ranks)
 
 
+def pagerank_all_events_k5(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.pagerank(all_event_graph(spark, sf), STEPS).ranks)
+
+
+def pagerank_all_events_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    return C.positions(pagerank_all_events_k5(spark, sf), F.col("pr").desc(), F.col("id").asc()).withColumn("pos", F.col("pos") + 1)
+
+
+def pagerank_all_events_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return pagerank_all_events_k5(spark, sf).withColumn("bucket", C.rank_bucket(F.col("pr"), 32, 0.001))
+
+
+def pagerank_all_events_error_trace(spark: SparkSession, sf: str) -> DataFrame:
+    errors = R.pagerank(all_event_graph(spark, sf), STEPS).errors
+    rows = spark.createDataFrame(list(enumerate(errors)), "step int, error double")
+    return rows.select("step", F.round("error", 9).alias("error"))
+
+
+def pagerank_all_events_converged(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(R.pagerank(all_event_graph(spark, sf), None).ranks)
+
+
 # -- paths ----------------------------------------------------------------------------------------------------------
 
 
 def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Supplier nation to customer nation of urgent orders, by the smallest whole price of a line item. Spark joins the
     small tables by broadcast where their size allows."""
-    item, order = table(spark, sf, "lineitem"), table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT'")
-    joined = (
+    return _cheapest(_sales(spark, sf).filter("o_orderpriority = '1-URGENT' AND s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4"))
+
+
+def all_nation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of all orders and nations; sales within a nation are self loops."""
+    return _cheapest(_sales(spark, sf))
+
+
+def _sales(spark: SparkSession, sf: str) -> DataFrame:
+    item, order = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    return (
         item.join(order, item["l_orderkey"] == order["o_orderkey"])
         .join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    edges = joined.filter("s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4")
-    return edges.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.min(F.floor("l_extendedprice")).cast("long").alias("weight"))
+
+
+def _cheapest(sales: DataFrame) -> DataFrame:
+    return sales.groupBy(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).agg(F.min(F.floor("l_extendedprice")).cast("long").alias("weight"))
 
 
 def _nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,6 +248,22 @@ def sssp_nation(spark: SparkSession, sf: str) -> DataFrame:
     return P.single_source(nation_edges(spark, sf), 0)
 
 
+def apsp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return P.all_pairs(all_nation_edges(spark, sf), _nations(spark, sf))
+
+
+def apsp_all_orders_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return P.dense(apsp_all_orders(spark, sf), _nations(spark, sf))
+
+
+def apsp_all_orders_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    return P.all_pairs_blocked(all_nation_edges(spark, sf), _nations(spark, sf), size=16).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "dist")
+
+
+def sssp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
+    return P.single_source(all_nation_edges(spark, sf), 0)
+
+
 # -- sorting --------------------------------------------------------------------------------------------------------
 
 
@@ -224,6 +283,14 @@ def position_diff(spark: SparkSession, sf: str) -> DataFrame:
     return C.positional_difference(first.select("pos", "value"), second.select("pos", "value"))
 
 
+def position_diff_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Two orderings of all parts."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("value"), "p_size")
+    first = C.positions(part, F.col("p_size").asc(), F.col("value").asc())
+    second = C.positions(part, F.col("p_size").asc(), F.col("value").desc())
+    return C.positional_difference(first.select("pos", "value"), second.select("pos", "value"))
+
+
 # -- grids and numbers ----------------------------------------------------------------------------------------------
 
 WIDTH, HEIGHT, MOST = 48, 32, 60
@@ -268,6 +335,8 @@ def queries() -> dict[str, Query]:
         first_letter_count, first_letter_partitioned, first_letter_ordered, word_average, word_average_sorted, key_mod_partition,
         average_range_partition, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages, out_degree, adjacency,
         pagerank_pages_k5, pagerank_events_k5, pagerank_ranked, pagerank_buckets, pagerank_error_trace, pagerank_converged,
+        pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
+        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, position_diff_whole,
         apsp_nation, apsp_nation_dense, apsp_blocked, sssp_nation, float_sort, block_assign, position_diff,
         mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, pi_riemann, prime_count, primes,
     ]

@@ -25,6 +25,11 @@ n AS (SELECT DISTINCT user_id AS id FROM events),
 q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase'),
 e AS (SELECT * FROM q WHERE dst IS NOT NULL AND src % 7 <> 0),
 s AS (SELECT count(*)::DOUBLE AS pages, (SELECT count(*) FROM n WHERE id NOT IN (SELECT src FROM e))::DOUBLE AS lone FROM n)"""
+ALL_EVENTS = """
+n AS (SELECT DISTINCT user_id AS id FROM events),
+q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events),
+e AS (SELECT * FROM q WHERE dst IS NOT NULL),
+s AS (SELECT count(*)::DOUBLE AS pages, (SELECT count(*) FROM n WHERE id NOT IN (SELECT src FROM e))::DOUBLE AS lone FROM n)"""
 PAGE_GRAPH = """
 n AS (SELECT DISTINCT title AS id FROM p),
 e AS (SELECT title AS src, link AS dst FROM v),
@@ -35,6 +40,12 @@ e AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(min(floor(l_extendedpr
       WHERE o_orderpriority = '1-URGENT' AND s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4 GROUP BY ALL),
 d0 AS (SELECT i, j, min(d) AS dist FROM (SELECT src AS i, dst AS j, weight AS d FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation) GROUP BY ALL)"""
 
+ALL_NATIONS = """
+e AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(min(floor(l_extendedprice)) AS BIGINT) AS weight
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+d0 AS (SELECT src AS i, dst AS j, weight AS dist FROM e
+       UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT src FROM e WHERE src = dst))"""
+
 
 def _steps(count: int) -> str:
     """Unrolled PageRank: ``r0`` to ``r<count>`` over ``n, e, s``."""
@@ -54,6 +65,15 @@ def _squared(count: int) -> str:
     return out
 
 
+def _squared_with_loops(count: int) -> str:
+    """Where loops stand on the diagonal, shorter paths must be carried along."""
+    out = ""
+    for i in range(1, count + 1):
+        through = f"SELECT a.i, b.j, a.dist + b.dist AS dist FROM d{i - 1} a JOIN d{i - 1} b ON a.j = b.i"
+        out += f", d{i} AS (SELECT i, j, min(dist) AS dist FROM (SELECT * FROM d{i - 1} UNION ALL {through}) GROUP BY i, j)"
+    return out
+
+
 def _converged(most: int) -> str:
     """The ranks before the first step whose input error is below the tolerance."""
     found = " UNION ALL ".join(f"SELECT {i} AS step, sum(abs(pr - old)) AS error FROM r{i}" for i in range(most + 1))
@@ -82,6 +102,7 @@ SELECT x::INT AS x, y::INT AS y, r, g, bl AS b FROM o"""
 def sql() -> dict[str, str]:
     by_pages, by_events = f"WITH {PAGES}, {PAGE_GRAPH}, {_steps(5)}", f"WITH {EVENTS}, {_steps(5)}"
     nation = f"WITH {NATIONS}{_squared(5)}"
+    by_all_events, all_nations = f"WITH {ALL_EVENTS}, {_steps(5)}", f"WITH {ALL_NATIONS}{_squared_with_loops(5)}"
     pairs = "SELECT i, j, dist FROM d5"
     trace = " UNION ALL ".join(f"SELECT {i} AS step, round(sum(abs(pr - old)), 9) AS error FROM r{i}" for i in range(5))
     return {
@@ -109,6 +130,19 @@ SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step)
         "pagerank_buckets": f"{by_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, CAST(CASE WHEN pr < 0 OR pr >= 31e-3 THEN 31 ELSE floor(pr / 1e-3) END AS INT) AS bucket FROM x",
         "pagerank_error_trace": f"{by_events} {trace}",
         "pagerank_converged": f"WITH {EVENTS}, {_steps(12)}, {_converged(12)}",
+        "pagerank_all_events_k5": f"{by_all_events} SELECT id, round(pr, 9) AS pr FROM r5",
+        "pagerank_all_events_ranked": f"{by_all_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, row_number() OVER (ORDER BY pr DESC, id) AS pos FROM x",
+        "pagerank_all_events_buckets": f"{by_all_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, CAST(CASE WHEN pr < 0 OR pr >= 31e-3 THEN 31 ELSE floor(pr / 1e-3) END AS INT) AS bucket FROM x",
+        "pagerank_all_events_error_trace": f"{by_all_events} {trace}",
+        "pagerank_all_events_converged": f"WITH {ALL_EVENTS}, {_steps(12)}, {_converged(12)}",
+        "apsp_all_orders": f"{all_nations} {pairs}",
+        "apsp_all_orders_dense": f"{all_nations} SELECT a.n_nationkey AS i, b.n_nationkey AS j, coalesce(dist, 999999999) AS dist FROM nation a CROSS JOIN nation b LEFT JOIN d5 ON i = a.n_nationkey AND j = b.n_nationkey",
+        "apsp_all_orders_blocked": f"{all_nations} {pairs}",
+        "sssp_all_orders": f"{all_nations} SELECT j AS id, CASE WHEN j = 0 THEN 0 ELSE dist END AS dist FROM d5 WHERE i = 0",
+        "position_diff_whole": """
+WITH a AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos, p_partkey AS left_value FROM part),
+b AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey DESC) - 1 AS pos, p_partkey AS right_value FROM part)
+SELECT pos, left_value, right_value FROM a FULL JOIN b USING (pos) WHERE left_value IS DISTINCT FROM right_value""",
         "apsp_nation": f"{nation} {pairs}",
         "apsp_nation_dense": f"{nation} SELECT a.n_nationkey AS i, b.n_nationkey AS j, coalesce(dist, 999999999) AS dist FROM nation a CROSS JOIN nation b LEFT JOIN d5 ON i = a.n_nationkey AND j = b.n_nationkey",
         "apsp_blocked": f"{nation} {pairs}",

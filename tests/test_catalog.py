@@ -23,3 +23,19 @@ def test_entry_runs(spark, small):
     rows = __spark_entry__.entry(spark).collect()
     assert rows and abs(sum(r["pr"] for r in rows) - 1) < 1e-6
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_graphs_leave_no_row_out(spark, small):
+    con = duck(small)
+    events, days = con.sql("SELECT count(*), count(DISTINCT ts::DATE) FROM events").fetchall()[0]
+    assert catalog.all_event_graph(spark, small).edges.count() == events - days
+    sales = con.sql("""SELECT DISTINCT s_nationkey, c_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                       JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey""").fetchall()
+    found = {(r["src"], r["dst"]) for r in catalog.all_nation_edges(spark, small).collect()}
+    assert found == set(sales) and any(a == b for a, b in found) and any(a % 5 == 4 for a, _ in found)
+
+
+def test_entry_covers_all_events(spark, small):
+    import __spark_entry__
+
+    assert_same(__spark_entry__.entry(spark), duck(small).sql(SQL["pagerank_all_events_k5"]))
