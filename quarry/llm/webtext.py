@@ -4,8 +4,9 @@ A page is read once into text blocks, each with its root-to-leaf tag path. Subtr
 says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments) are set aside. Over the
 remaining blocks, text length and punctuation are summed per tag path; the two ratios (per block of the path) are
 smoothed along the page, fused by multiplication and cut at a share of their spread. The blocks above the threshold
-name the content element: the deepest one that holds nearly all their text. Everything in it that was not set aside
-is the main text, so short paragraphs and headings stay. Paths that hold little but links count as menus.
+name the content element: the article or main element that holds nearly all their text; on pages without one, the
+deepest element that holds all of it, widened while that adds headings and paragraphs only. Everything in it that was
+not set aside is the main text, so short paragraphs and headings stay. Paths that hold little but links count as menus.
 """
 
 from __future__ import annotations
@@ -213,6 +214,22 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
+def _widened(content: _Element, kept: list[Block], chosen: set[int]) -> _Element:
+    """The highest element above ``content`` that adds nothing but chosen text, headings, paragraphs and single lines
+    beside it. Lists of links and text that stands in containers of its own end the climb."""
+    inside = {id(b) for b in kept if any(e is content for e in b.element.chain())}
+    while (above := content.parent) is not None:
+        added = [b for b in kept if id(b) not in inside and any(e is above for e in b.element.chain())]
+        line = above.tag not in ("", "html", "body")
+        for b in added:
+            prose = b.element.tag == "p" or b.element.tag in HEADINGS or (line and (b.element is above or b.element.parent is above))
+            if id(b) not in chosen and (not prose or b.links >= LINKS * len(b.text)):
+                return content
+        inside.update(id(b) for b in added)
+        content = above
+    return content
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; empty for a page that has none."""
     kept: list[Block] = []
@@ -249,10 +266,13 @@ def main_text(page: str | None) -> str:
         for e in b.element.chain():
             weight[id(e)] = weight.get(id(e), 0) + len(b.text)
             element[id(e)] = e
-    whole = [element[k] for k, w in weight.items() if w >= HELD * total and element[k].tag not in ("p", "li", *HEADINGS)]
-    content = max(whole, key=lambda e: e.depth)
+
+    def deepest(least: float) -> _Element:
+        return max((element[k] for k, w in weight.items() if w >= least and element[k].tag not in ("p", "li", *HEADINGS)), key=lambda e: e.depth)
+
+    content = deepest(HELD * total)
     semantic = [e for e in content.chain() if e.tag == "article"] or [e for e in content.chain() if e.tag == "main"]
-    content = semantic[0] if semantic else content
+    content = semantic[0] if semantic else _widened(deepest(total), kept, {id(b) for b in chosen})
     return "\n".join(b.text for b in kept if any(e is content for e in b.element.chain()))
 
 

@@ -245,6 +245,27 @@ def test_main_text(page):
     assert webtext.main_text(page) == TEXT
 
 
+LEAD = ("A lead, of some words. " * 9).strip()
+BODY = [("Body text goes on, and on; it says much. " * 8).strip() + f" {k}." for k in range(20)]
+DIVS = "<div class=body>" + "".join(f"<p>{x}</p>" for x in BODY) + "</div>"
+LINKS = "<div class=more><ul>" + "".join(f"<li><a href=/{k}>Another story {k}</a></li>" for k in range(5)) + "</ul></div>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class=post><h1>T</h1><p class=lead>{LEAD}</p>{DIVS}</div>", ["T", LEAD, *BODY]),
+        (f"<div class=post><h1>T</h1>{DIVS}<p>The end.</p></div>", ["T", *BODY, "The end."]),
+        (f"<div class=post><div class=top><h1>T</h1></div><div class=date>1 May</div>{DIVS}</div>{LINKS}", ["T", "1 May", *BODY]),
+        (f"<div class=wrap><div class=post><div class=lead>{LEAD}</div>{DIVS}</div>{LINKS}</div>", [LEAD, *BODY]),
+        (f"<div class=post>{DIVS}</div><div class=box><div>Weather</div><div>Mild</div></div>", BODY),
+        (f"<article><h1>T</h1>{DIVS}</article><div class=box><p>{LEAD}</p></div>", ["T", *BODY]),
+    ],
+)
+def test_title_and_lead_beside_a_long_body(page, want):
+    assert webtext.main_text(FRAME.format(page)) == "\n".join(want)
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!-- <p>x</p>", "<script>x", "<nav><p>Menu, only.</p></nav>"])
 def test_pages_without_text(page):
     assert webtext.main_text(page) in ("", "<", "<p")
