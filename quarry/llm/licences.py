@@ -48,6 +48,57 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
 }
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_REST = (
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+    "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission. "
+)
+_BSD_REST = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+    "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+    "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT "
+    "LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright "
+    "notice and this permission notice appear in all copies."
+)
+#: For files named as licence files only: whole short licences, their grants, and the titles of long ones.
+FILE_TEMPLATES: dict[str, tuple[str, ...]] = {
+    "MIT": (_MIT, _MIT + _MIT_REST),
+    "BSD-2-Clause": (_BSD + _BSD_REST,),
+    "BSD-3-Clause": (_BSD + _BSD_NAMES + _BSD_REST,),
+    "ISC": (_ISC,),
+    "Apache-2.0": ("Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",),
+    "GPL-2.0": ("GNU General Public License Version 2, June 1991",),
+    "GPL-3.0": ("GNU General Public License Version 3, 29 June 2007",),
+    "LGPL-2.1": ("GNU Lesser General Public License Version 2.1, February 1999",),
+    "LGPL-3.0": ("GNU Lesser General Public License Version 3, 29 June 2007",),
+    "AGPL-3.0": ("GNU Affero General Public License Version 3, 19 November 2007",),
+    "MPL-2.0": ("Mozilla Public License Version 2.0",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+}
 TERM = "[a-z]+|[0-9]+(?:\\.[0-9]+)*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -76,35 +127,14 @@ def telling_terms(vectors: list[dict[str, float]], threshold: float) -> set[str]
     return out
 
 
-def licence_scan(
-    files: DataFrame,
-    id_col: str = "doc_id",
-    path_col: str = "path",
-    text_col: str = "text",
-    templates: dict[str, tuple[str, ...]] | None = None,
-    threshold: float = 0.6,
-    whole_file: Column | None = None,
-) -> DataFrame:
-    """One row for each input row: ``doc_id, path, licence, cosine, licence_file, inherited, inherited_from``.
-
-    ``licence`` is the file's own best match, null if none reaches ``threshold``; equal cosines go to the first name.
-    ``licence_file`` tells that the file's whole text matches and that it counts for its directory: by its name, or where
-    ``whole_file`` holds. ``inherited`` and ``inherited_from`` (the licence file's path) are set for files without a
-    match of their own; of several licence files in one directory the highest cosine counts, then the smallest path.
-    Null text is empty and matches nothing; a null path has no directory. Repeated rows get equal results, an empty
-    table an empty result; further columns are not read.
-    """
-    spark = files.sparkSession
-    rows = files.select(
-        F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        (F.coalesce(F.col(path_col).rlike(LICENCE_FILE), F.lit(False)) | (F.coalesce(whole_file, F.lit(False)) if whole_file is not None else F.lit(False))).alias("whole"),
-    )
-    rows = rows.withColumns({"k1": F.xxhash64("path", "text", "whole"), "k2": F.xxhash64(F.lit(2), "whole", "text", "path")})
-
-    counted = [(name, i, _counts(t)) for name, texts in (templates or TEMPLATES).items() for i, t in enumerate(texts)]
+def _matches(rows: DataFrame, templates: dict[str, tuple[str, ...]], threshold: float) -> DataFrame:
+    """``k1, k2, licence, cosine, file_licence, file_cosine`` of the rows of which a unit reaches the threshold; the last
+    two are of whole texts."""
+    spark = rows.sparkSession
+    counted = [(name, i, _counts(t)) for name, texts in templates.items() for i, t in enumerate(texts)]
     vocabulary = sorted({t for _, _, c in counted for t in c})
     known = F.array(*map(F.lit, vocabulary))
-    total = files.count()
+    total = rows.count()
     seen = rows.select(F.explode(F.array_intersect(terms(F.col("text")), known)).alias("term")).groupBy("term").count().collect()  # one row a term
     df = {r["term"]: r["count"] for r in seen}
     idf = {t: math.log((total + 1) / (df.get(t, 0) + 1)) + 1 for t in vocabulary}
@@ -138,7 +168,7 @@ def licence_scan(
     )
     hits = dots.join(norm, ["k1", "k2", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
     best = lambda f: F.max_by(f, F.struct("cosine", F.lit(0) - F.col("order")))
-    names = spark.createDataFrame([(n, k) for k, n in enumerate(sorted(templates or TEMPLATES))], "licence string, order int")
+    names = spark.createDataFrame([(n, k) for k, n in enumerate(sorted(templates))], "licence string, order int")
     hits = hits.join(F.broadcast(names), "licence")
     own = hits.groupBy("k1", "k2").agg(
         best(F.col("licence")).alias("licence"),
@@ -146,9 +176,46 @@ def licence_scan(
         F.max_by(F.when(F.col("kind") == 2, F.col("licence")), F.when(F.col("kind") == 2, F.struct("cosine", F.lit(0) - F.col("order")))).alias("file_licence"),
         F.max(F.when(F.col("kind") == 2, F.col("cosine"))).alias("file_cosine"),
     )
-    own = materialise(own, "licences")
+    return materialise(own, "licences")
+
+
+def licence_scan(
+    files: DataFrame,
+    id_col: str = "doc_id",
+    path_col: str = "path",
+    text_col: str = "text",
+    templates: dict[str, tuple[str, ...]] | None = None,
+    threshold: float = 0.6,
+    whole_file: Column | None = None,
+) -> DataFrame:
+    """One row for each input row: ``doc_id, path, licence, cosine, licence_file, inherited, inherited_from``.
+
+    ``licence`` is the file's own best match, null if none reaches ``threshold``; equal cosines go to the first name.
+    ``licence_file`` tells that the file counts for its directory: one named as a licence file by its best match of any
+    kind, with ``FILE_TEMPLATES`` (idf from such files) where those are nearer; one where ``whole_file`` holds if its whole
+    text matches. ``inherited`` and ``inherited_from`` (the licence file's path) are set for files without a
+    match of their own; of several licence files in one directory the highest cosine counts, then the smallest path.
+    Null text is empty and matches nothing; a null path has no directory. Repeated rows get equal results, an empty
+    table an empty result; further columns are not read.
+    """
+    rows = files.select(
+        F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        (F.coalesce(F.col(path_col).rlike(LICENCE_FILE), F.lit(False)) | (F.coalesce(whole_file, F.lit(False)) if whole_file is not None else F.lit(False))).alias("whole"),
+    )
+    rows = rows.withColumns({"k1": F.xxhash64("path", "text", "whole"), "k2": F.xxhash64(F.lit(2), "whole", "text", "path")})
+
+    named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
+    own = _matches(rows, templates or TEMPLATES, threshold)
+    if templates is None and rows.filter(named).limit(1).count():
+        full = _matches(materialise(rows.filter(named), "licence-texts"), FILE_TEMPLATES, threshold)
+        full = full.select("k1", "k2", F.col("licence").alias("full_licence"), F.col("cosine").alias("full_cosine"))
+        nearer = F.coalesce(F.col("full_cosine") > F.coalesce("cosine", F.lit(0.0)), F.lit(False))
+        both = own.join(full, ["k1", "k2"], "full_outer").withColumn("nearer", nearer)
+        own = both.withColumns({c: F.when(F.col("nearer"), F.col(f"full_{c}")).otherwise(F.col(c)) for c in ("licence", "cosine")})
+        own = materialise(own.drop("nearer", "full_licence", "full_cosine"), "licences")
 
     slim = rows.select("doc_id", "path", "k1", "k2").join(own, ["k1", "k2"], "left")
+    slim = slim.withColumns({f"file_{c}": F.when(named, F.col(c)).otherwise(F.col(f"file_{c}")) for c in ("licence", "cosine")})
     slim = materialise(slim, "licence-files")
     held = slim.filter("file_licence IS NOT NULL AND path IS NOT NULL").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("file_cosine")).alias("c"), "path", "file_licence")).alias("best"))

@@ -206,6 +206,57 @@ def test_licences(spark):
     assert {d for d, r in found.items() if r["licence_file"]} == {1, 6}
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+@pytest.mark.parametrize("text", [MIT_TEXT, MIT_TEXT.replace("\n", "\r\n"), re.sub(r"(?<=\S)\n(?=\S)", " ", MIT_TEXT)], ids=["wrapped", "crlf", "unwrapped"])
+@pytest.mark.parametrize("others", [3, 300])
+def test_complete_licence_texts_count_for_their_directory(spark, text, others):
+    rows = [(1, "a/LICENSE", text), (2, "b/readme.txt", text), *((10 + k, f"{'ab'[k % 2]}/src/f{k}.py", f"plain words of file {k}") for k in range(others))]
+    found = {r["doc_id"]: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert (found[1]["licence"], found[1]["licence_file"], found[2]["licence_file"]) == ("MIT", True, False)
+    for k in range(others):
+        want = ("MIT", "a/LICENSE") if k % 2 == 0 else (None, None)
+        assert (found[10 + k]["inherited"], found[10 + k]["inherited_from"]) == want
+
+
+TITLES = {
+    "LGPL-2.1": "                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n\n"
+    "    This library is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2.\n",
+    "CC0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\n    CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE\n    LEGAL SERVICES.\n",
+    "BSD-2-Clause": "Copyright (c) 2020, Somebody\n\n" + licences.FILE_TEMPLATES["BSD-2-Clause"][0],
+    "BSD-3-Clause": "Copyright (c) 2020, Somebody\n\n" + licences.FILE_TEMPLATES["BSD-3-Clause"][0],
+}
+
+
+def test_titles_and_short_licences_count_for_their_directory(spark):
+    rows = [(i, f"{n}/COPYING", t) for i, (n, t) in enumerate(TITLES.items())] + [(100 + i, f"{n}/x/y.py", "words") for i, n in enumerate(TITLES)]
+    found = {r["doc_id"]: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for i, n in enumerate(TITLES):
+        assert (found[i]["licence"], found[i]["licence_file"], found[100 + i]["inherited"], found[100 + i]["inherited_from"]) == (n, True, n, f"{n}/COPYING")
+
+
 def test_licences_of_nothing(spark):
     assert licences.licence_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 
