@@ -4,7 +4,8 @@
    table of all distinct words, and each is encoded once.
 2. The ``hot_words`` most frequent words, a fixed bound, are sent to all tasks; a text becomes the list of their numbers
    with holes at other words. A frequent word therefore never is a join key.
-3. The words in the holes, the rare tail, join the table by word and return to their text by key and position.
+3. The words in the holes, the rare tail, join the table by word and return to their text by key and position. A word
+   that is frequent but too long for the table of step 2 is salted.
 4. Ids are put together for each text and joined to the tokenizer's id-to-piece table, which is as long as the
    vocabulary and hence held by each task, to give the decoded text.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import pieces, release
 from quarry.llm.store import materialise
-from quarry.llm.words import _BYTE, _LOWER, SLICE, _buffers, _power_tables, mix
+from quarry.llm.words import _LOWER, SLICE, _buffers, span_hashes
 
 LONGEST_HOT = 64
 HOT_WORDS = 1 << 18
@@ -31,19 +32,14 @@ _U = np.uint64
 _tables: dict[str, HotTable] = {}
 
 
-def hash_words(words: pa.Array) -> np.ndarray:
-    """The hash that ``vocab.cut`` gives a piece, for each word of a column."""
+def hash_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pair of hashes that ``vocab.cut`` gives a piece, for each word of a column."""
     offsets, data = _buffers(words)
-    at, raw = offsets[:-1] - offsets[0], data[offsets[0] : offsets[-1]]
-    out, full = np.zeros(len(at), _U), np.flatnonzero(np.diff(offsets))
-    if len(full):
-        power, inverse = _power_tables(len(raw))
-        out[full] = mix(np.add.reduceat(_BYTE[raw] * power[: len(raw)], at[full]) * inverse[at[full]])
-    return out
+    return span_hashes(data, offsets[:-1], offsets[1:])
 
 
-def split_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """Slices of a text column: word hashes, first word of each text, and the buffer with starts and ends of words.
+def split_words(column: pa.Array) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], np.ndarray, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of a text column: pairs of word hashes, first word of each text, and the buffer with starts and ends of words.
     A text that the tokenizer must see whole (special tokens, combining marks) is one word."""
     from quarry.llm.vocab import cut
 
@@ -59,58 +55,65 @@ def split_words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, byte
         low = _LOWER[raw]
         for i in whole:
             low[at[i] : at[i + 1]] = raw[at[i] : at[i + 1]]
-        keys, starts, ends, first = cut(low, at) if len(low) else (np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64))
+        none = np.zeros(0, np.int64)
+        keys, starts, ends, first = cut(low, at) if len(low) else ((none.astype(_U), none.astype(_U)), none, none, np.zeros(len(at), np.int64))
         if len(whole):
-            keep = np.ones(len(keys), dtype=bool)
+            keep = np.ones(len(starts), dtype=bool)
             for i in whole:
                 keep[first[i] + 1 : first[i + 1]] = False
                 starts[first[i]], ends[first[i]] = at[i], at[i + 1]
-                keys[first[i]] = hash_words(pa.array([low[at[i] : at[i + 1]].tobytes()], pa.binary()))[0]
+                for key, x in zip(keys, span_hashes(low, at[i : i + 1], at[i + 1 : i + 2]), strict=True):
+                    key[first[i]] = x[0]
             first = np.concatenate([[0], np.cumsum(keep)])[first]
-            keys, starts, ends = keys[keep], starts[keep], ends[keep]
+            keys, starts, ends = (keys[0][keep], keys[1][keep]), starts[keep], ends[keep]
         yield keys, first, low.tobytes(), starts, ends, at
 
 
-def _counted(text: bytes, starts: np.ndarray, ends: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    words = [text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "n": pa.array(times, pa.int64())})
-
-
 def count_words(docs: DataFrame, text_col: str, bits: int = 18) -> DataFrame:
-    """``word, n`` of all texts, counted in each task before the shuffle. A task's table of ``2 ** (bits - 1)`` words is
-    emitted and begun anew when full; Spark's partial sums then merge what it emitted."""
+    """``word, n`` of all texts, counted in each task before the shuffle. When a task's table of ``2 ** (bits - 1)`` words
+    is full, its less frequent three quarters are emitted and leave; Spark's partial sums then merge what it emitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from quarry.llm.vocab import Table
+        from quarry.llm.vocab import Table, distinct
 
         table, counts, words = Table(bits), np.zeros(1 << (bits - 1), np.int64), []
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(words), 50_000):
-                some = words[k : k + 50_000]
-                yield pa.RecordBatch.from_pydict({"word": pa.array(some, pa.binary()), "n": pa.array(counts[k : k + len(some)])})
+        def rows(which: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(which), 50_000):
+                some = which[k : k + 50_000]
+                yield pa.RecordBatch.from_pydict({"word": pa.array([words[i] for i in some.tolist()], pa.binary()), "n": pa.array(counts[some])})
 
         for batch in batches:
             for part in pieces(batch, "text"):
                 for keys, _, text, starts, ends, _ in split_words(part.column("text")):
-                    entry = table.find(keys)
+                    entry, where = table.find(keys), np.zeros(0, np.int64)
                     if (entry < 0).any():
-                        new, where, times = np.unique(keys, return_index=True, return_counts=True)
-                        if len(new) > table.room:  # one very long text
-                            yield _counted(text, starts[where], ends[where], times)
-                            continue
-                        fresh = table.find(new) < 0
-                        if table.size + int(fresh.sum()) > table.room:
-                            yield from rows()
-                            table, words = Table(bits), []
+                        where = np.flatnonzero(entry < 0)
+                        where = where[distinct((keys[0][where], keys[1][where]))]
+                        if table.room // 2 >= len(where) > table.room - table.size:
+                            order = np.argsort(-counts[: table.size], kind="stable")
+                            stay = order[: table.room // 4]
+                            yield from rows(order[table.room // 4 :])
+                            words, held = [words[i] for i in stay.tolist()], counts[stay]
                             counts[:] = 0
-                            fresh[:] = True
-                        table.add(new[fresh])
-                        where = where[fresh]
+                            counts[: len(stay)] = held
+                            table = Table(bits)
+                            table.add(hash_words(pa.array(words, pa.binary())))
+                            entry = table.find(keys)
+                            where = np.flatnonzero(entry < 0)
+                            where = where[distinct((keys[0][where], keys[1][where]))]
+                    if len(where) <= table.room - table.size:
+                        table.add((keys[0][where], keys[1][where]))
                         words += [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
                         entry = table.find(keys)
+                    else:  # a text with very many words of its own: they are emitted without the table
+                        at = np.flatnonzero(entry < 0)
+                        found = pa.table({"word": pa.array([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())})
+                        found = found.group_by("word").aggregate([([], "count_all")])
+                        yield pa.RecordBatch.from_pydict({"word": found["word"].combine_chunks(), "n": found["count_all"].combine_chunks()})
+                        entry = entry[entry >= 0]
                     counts[: table.size] += np.bincount(entry, minlength=table.size)
-        yield from rows()
+        yield from rows(np.arange(table.size))
         del table, words
         release()
 
@@ -175,19 +178,18 @@ def pieces_of(flat: np.ndarray, sizes: np.ndarray, names: list[bytes]) -> list[b
 class HotTable:
     """The frequent words' numbers, ids and decoded bytes in a Python worker; the last table used is kept."""
 
-    def __init__(self, data: bytes, names: list[bytes], width: int):
+    def __init__(self, data: bytes, names: list[bytes], width: int, heavy: tuple[np.ndarray, np.ndarray, np.ndarray]):
         from quarry.llm.vocab import Table
 
         rows = pa.ipc.open_stream(data).read_all().combine_chunks()
         self.names, self.width = [x + b" " for x in names], width
         self.ids, self.sizes = id_bytes(rows["ids"], width)
         self.table = Table(max(8, (2 * rows.num_rows).bit_length() + 1))
-        keys, one = np.unique(hash_words(rows["word"]), return_index=True)
-        order = np.argsort(one)
-        if len(order) != rows.num_rows:
-            raise ValueError("two frequent words share a hash")
-        self.table.add(keys[order])
+        self.table.add(hash_words(rows["word"]))
         self._texts = None
+        self.heavy = Table(max(8, (2 * len(heavy[0])).bit_length() + 1))
+        self.heavy.add(heavy[:2])
+        self.ways = heavy[2]
 
     @classmethod
     def of(cls, name: str, data: tuple) -> HotTable:
@@ -196,6 +198,11 @@ class HotTable:
             _tables[name] = cls(*data)
         return _tables[name]
 
+    def salts(self, keys: tuple[np.ndarray, np.ndarray], own: np.ndarray) -> np.ndarray:
+        """For words without a number the part, by a hash ``own``, of a heavy word's rows; 0 for other words."""
+        at = self.heavy.find(keys)
+        return np.where(at >= 0, own.view(_U) % np.append(self.ways, 1)[at], 0).astype(np.int32)
+
     @property
     def texts(self) -> list[bytes]:
         if self._texts is None:
@@ -213,10 +220,12 @@ def unsqueezed(data: bytes) -> np.ndarray:
     return planes[0] + (planes[1] << 8) + (planes[2] << 16) - 1
 
 
-def _hot(table: DataFrame, most: int) -> tuple[bytes, DataFrame]:
-    """The most frequent words, at most ``most``, as an Arrow stream, and the rest of ``table``."""
+def _hot(table: DataFrame, most: int, share: int = 1 << 16) -> tuple[bytes, tuple[np.ndarray, ...], DataFrame]:
+    """The most frequent words, at most ``most``, as an Arrow stream; hashes and ways of the heavy words, which are too
+    long for that table and stand ``share`` times or more (or in a ``share``-th of all places, so that they are at most
+    ``share``); and the rest of ``table`` with a row for each ``salt`` of a word."""
     level = F.when(F.length("word") <= LONGEST_HOT, F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")).otherwise(-1)
-    levels = table.groupBy(level.alias("level")).count().collect()  # a few hundred at most
+    levels = table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n")).collect()  # a few hundred at most
     cut, held = 1 << 30, 0
     for r in sorted(levels, key=lambda r: -r["level"]):
         if r["level"] < 0 or held + r["count"] > most:
@@ -226,7 +235,19 @@ def _hot(table: DataFrame, most: int) -> tuple[bytes, DataFrame]:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, found.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(found.combine_chunks())
-    return sink.getvalue().to_pybytes(), table.filter(level < cut)
+    part = max(share, sum(r["n"] for r in levels) // share)
+    rest = table.filter(level < cut)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = hash_words(batch.column("word"))
+            yield pa.RecordBatch.from_pydict({"one": pa.array(one.view(np.int64)), "two": pa.array(two.view(np.int64)), "n": batch.column("n")})
+
+    many = rest.filter(F.col("n") >= part).select("word", "n").mapInArrow(hashed, "one long, two long, n long").toArrow()
+    column = lambda c: np.asarray(many[c], dtype=np.int64)
+    ways = F.when(F.col("n") >= part, F.floor(F.col("n") / part) + 1).otherwise(F.lit(1)).cast("int")
+    salted = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return sink.getvalue().to_pybytes(), (column("one").view(_U), column("two").view(_U), (column("n") // part + 1).astype(_U)), salted
 
 
 def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", hot_words: int = HOT_WORDS) -> DataFrame:
@@ -238,13 +259,13 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     table = materialise(encode_words(count_words(docs, text_col), tokenizer), "word-table")
-    data, rare = _hot(table, hot_words)
+    data, heavy, rare = _hot(table, hot_words)
     names = piece_names(tokenizer)
     width = 2 if len(names) <= 65536 else 4
-    name, hot = uuid.uuid4().hex, spark.sparkContext.broadcast((data, names, width))
+    name, hot = uuid.uuid4().hex, spark.sparkContext.broadcast((data, names, width, heavy))
 
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
-        {"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")}
+        {"k1": F.xxhash64("doc_id", "text"), "k2": F.hash(F.lit(7), "text", "doc_id")}  # 96 bits
     )
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,13 +284,14 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
         known = HotTable.of(name, hot.value)
         for batch in batches:
             for part in pieces(batch, "text"):
-                row, k1, k2 = 0, np.asarray(part.column("k1")), np.asarray(part.column("k2"))
+                row, k1, k2 = 0, np.asarray(part.column("k1"), dtype=np.int64), np.asarray(part.column("k2"), dtype=np.int32)
                 for keys, first, text, starts, ends, _ in split_words(part.column("text")):
                     at = np.flatnonzero(known.table.find(keys) < 0)
                     doc = np.searchsorted(first, at, side="right") - 1
+                    salt = known.salts((keys[0][at], keys[1][at]), k1[row + doc] + at - first[doc])
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "k1": pa.array(k1[row + doc]), "k2": pa.array(k2[row + doc]), "pos": pa.array(at - first[doc], pa.int32()),
+                            "k1": pa.array(k1[row + doc]), "k2": pa.array(k2[row + doc]), "pos": pa.array(at - first[doc], pa.int32()), "salt": pa.array(salt),
                             "word": pa.array([text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary()),
                         }
                     )
@@ -292,6 +314,8 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                 owner = np.repeat(np.arange(len(rest)), np.diff(np.asarray(rest.offsets, dtype=np.int64)))
                 tail = rest.flatten()
                 at = edges[owner] + np.asarray(tail.field("pos"), dtype=np.int64)
+                if not np.array_equal(np.sort(at), np.flatnonzero(entry < 0)):
+                    raise RuntimeError("the words found do not fill the places left open in their texts")
                 own, own_sizes = id_bytes(tail.field("ids"), width)
                 entry[at] = len(sizes) + np.arange(len(at))
                 ids_of = np.concatenate([flat, own])
@@ -310,10 +334,10 @@ def bpe(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
                     }
                 )
 
-    found = keyed.select("k1", "k2", "text").mapInArrow(holes, "k1 long, k2 long, pos int, word binary")
-    found = found.join(rare.select("word", "ids"), "word")
+    found = keyed.select("k1", "k2", "text").mapInArrow(holes, "k1 long, k2 int, pos int, salt int, word binary")
+    found = found.join(rare.select("word", "salt", "ids"), ["word", "salt"])
     found = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("pos", "ids")).alias("rest"))
-    rows = keyed.mapInArrow(numbers, "doc_id long, k1 long, k2 long, numbers binary").join(found, ["k1", "k2"], "left")
+    rows = keyed.mapInArrow(numbers, "doc_id long, k1 long, k2 int, numbers binary").join(found, ["k1", "k2"], "left")
     nothing = F.array().cast("array<struct<pos:int,ids:binary>>")
     rows = rows.select("doc_id", "numbers", F.coalesce("rest", nothing).alias("rest"))
     return rows.mapInArrow(assemble, "doc_id long, ids array<int>, decoded string")

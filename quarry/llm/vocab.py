@@ -2,8 +2,8 @@
 
 The tokenizer drops white space, ignores the case of letters and keeps runs of letters apart from what follows them, so
 a text's ids are the ids of its pieces one after another. Texts are cut in NumPy: at white space, before a closing mark
-that follows a letter, and before a letter that follows a closing mark. Pieces are known by a 64-bit hash; a bounded
-open-addressing table leads from it to the ids, and only pieces not seen before reach the tokenizer library. A text that
+that follows a letter, and before a letter that follows a closing mark. Pieces are known by 128 bits of hashes; a bounded
+open-addressing table leads from them to the ids, and only pieces not seen before reach the tokenizer library. A text that
 may hold a special token, or a combining mark (where case and composition interact), goes to the library whole.
 """
 
@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from quarry.llm.words import _BYTE, _LOWER, _SPACE, SLICE, _buffers, _power_tables, mix
+from quarry.llm.words import _LOWER, _SPACE, SLICE, _buffers, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
@@ -51,47 +51,59 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def distinct(keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where each distinct pair of hashes stands first."""
+    order = np.lexsort((keys[1], keys[0]))
+    a, b = keys[0][order], keys[1][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order[new]
+
+
 class Table:
-    """Open addressing from 64-bit hashes to entry numbers."""
+    """Open addressing from 128-bit keys (pairs of hashes) to entry numbers."""
 
     def __init__(self, bits: int):
         self.mask = _U((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, dtype=_U)
+        self.more = np.zeros(1 << bits, dtype=_U)
         self.entry = np.full(1 << bits, -1, dtype=np.int32)
         self.room = 1 << (bits - 1)
         self.size = 0
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         """Entry numbers; -1 where a key is not known."""
-        slot = (keys & self.mask).astype(np.int64)
+        one, two = keys
+        slot = (one & self.mask).astype(np.int64)
         out = self.entry[slot]
-        open_ = np.flatnonzero((self.keys[slot] != keys) & (out >= 0))
+        open_ = np.flatnonzero(((self.keys[slot] != one) | (self.more[slot] != two)) & (out >= 0))
         while len(open_):
             slot[open_] = (slot[open_] + 1) & int(self.mask)
             at = slot[open_]
             out[open_] = self.entry[at]
-            open_ = open_[(self.keys[at] != keys[open_]) & (out[open_] >= 0)]
+            open_ = open_[((self.keys[at] != one[open_]) | (self.more[at] != two[open_])) & (out[open_] >= 0)]
         return out
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: tuple[np.ndarray, np.ndarray]) -> None:
         """Give distinct unknown keys the next entry numbers, in order."""
-        entry = np.arange(self.size, self.size + len(keys), dtype=np.int32)
-        slot = (keys & self.mask).astype(np.int64)
-        self.size += len(keys)
-        left = np.arange(len(keys))
+        one, two = keys
+        entry = np.arange(self.size, self.size + len(one), dtype=np.int32)
+        slot = (one & self.mask).astype(np.int64)
+        self.size += len(one)
+        left = np.arange(len(one))
         while len(left):
             free = left[self.entry[slot[left]] < 0]
             _, first = np.unique(slot[free], return_index=True)
             won = free[first]
-            self.entry[slot[won]], self.keys[slot[won]] = entry[won], keys[won]
-            lost = np.ones(len(keys), dtype=bool)
+            self.entry[slot[won]], self.keys[slot[won]], self.more[slot[won]] = entry[won], one[won], two[won]
+            lost = np.ones(len(one), dtype=bool)
             lost[won] = False
             left = left[lost[left]]
             slot[left] = (slot[left] + 1) & int(self.mask)
 
 
-def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of consecutive texts in a lower-cased buffer: hashes, starts, ends, and the piece at which each text
+def cut(data: np.ndarray, at: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of consecutive texts in a lower-cased buffer: pairs of hashes, starts, ends, and the piece at which each text
     begins. ``at`` holds the texts' offsets and the buffer's length."""
     n = len(data)
     inside = ~_SPACE[data]
@@ -106,11 +118,9 @@ def cut(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     starts = np.flatnonzero(opens)
     first = np.searchsorted(starts, at)
     if not len(starts):
-        return np.zeros(0, _U), starts, starts, first
+        return (np.zeros(0, _U), np.zeros(0, _U)), starts, starts, first
     last = np.flatnonzero(np.concatenate([opens[1:] | ~inside[1:] | before[1:n], [True]]) & inside)
-    power, inverse = _power_tables(n)
-    hashes = mix(np.add.reduceat(_BYTE[data] * power[:n], starts) * inverse[starts])
-    return hashes, starts, last + 1, first
+    return span_hashes(data, starts, last + 1), starts, last + 1, first
 
 
 class Encoder:
@@ -159,7 +169,7 @@ class Encoder:
             out[i] = x
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+    def _learn(self, keys: tuple[np.ndarray, np.ndarray], pieces: list[bytes]) -> None:
         ids = self.pieces(pieces)
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         total = int(sizes.sum())
@@ -193,13 +203,13 @@ class Encoder:
         keys, starts, ends, first = cut(data, at)
         entry = self.table.find(keys)
         if (entry < 0).any():
-            new, where = np.unique(keys[entry < 0], return_index=True)
-            if self.table.size + len(new) > self.table.room:
-                new, where = np.unique(keys, return_index=True)
-                self._empty(len(new))
-            else:
-                where = np.flatnonzero(entry < 0)[where]
+            where = np.flatnonzero(entry < 0)
+            where = where[distinct((keys[0][where], keys[1][where]))]
+            if self.table.size + len(where) > self.table.room:
+                where = distinct(keys)
+                self._empty(len(where))
             text = data.tobytes()
+            new = keys[0][where], keys[1][where]
             self._learn(new, [text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             entry = self.table.find(keys)
         sizes = self.sizes[entry]

@@ -65,6 +65,27 @@ def test_bpe(spark, hot):
     assert got == want
 
 
+def thue_morse(n):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("hot", [bpe.HOT_WORDS, 0])
+def test_unlike_words_keep_their_ids(spark, hot):
+    rows = [(k, t, None, None, None) for k, t in enumerate([*thue_morse(1024), *thue_morse(64), " ".join(thue_morse(1024))])]
+    found = {r["doc_id"]: (r["ids"], r["decoded"]) for r in bpe.bpe(frame(spark, rows, 1), PATH, hot_words=hot).collect()}
+    assert found == {r[0]: library(r[1]) for r in rows}
+    for text, ids in zip(rows, vocab.Encoder(PATH).encode(pa.array([r[1] for r in rows])), strict=True):
+        assert ids.tolist() == library(text[1])[0]
+
+
+def test_a_frequent_long_word_is_salted(spark, monkeypatch):
+    monkeypatch.setattr(bpe._hot, "__defaults__", (8,))
+    rows = [(k, "x" * 70 + f" w{k} J\u030c" + " y" * (k % 3), None, None, None) for k in range(60)] + [(100 + k, "J\u030c whole", None, None, None) for k in range(30)]
+    found = sorted((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in bpe.bpe(frame(spark, rows), PATH).collect())
+    assert found == sorted((r[0], *(lambda x: (tuple(x[0]), x[1]))(library(r[1]))) for r in rows)
+
+
 def test_bpe_empty(spark):
     assert bpe.bpe(frame(spark, []), PATH).count() == 0
 
