@@ -1,15 +1,17 @@
 """Operator 5: near-duplicate classes with HyperMinHash signatures.
 
 One pass hashes the five-word shingles of each text. The distinct hashes fall into ``BUCKETS`` buckets; of each
-bucket's smallest hash the leading-zero count (6 bits) and the next 10 bits are kept as a 16-bit register. Eight
-consecutive registers form a band; for bands, empty buckets borrow a full one's register. At a similarity of 0.85 two texts share none of the 48 bands with a probability
-below 3e-7, at 0.5 they share one in six.
+bucket's smallest hash the leading-zero count (6 bits) and the next 10 bits are kept as a 16-bit register. Consecutive
+registers form a band; for bands, empty buckets borrow a full one's register. A band is as long as the threshold allows
+with two texts just reaching it sharing none with a probability below ``MISS``: 48 bands of 8 at a similarity of 0.85
+(3e-7), 54 of 7 at 0.80 (3e-6), 96 of 4 at 0.60 (2e-6). Thresholds below 0.03, which no band serves, are refused.
 
 1. Texts with equal sets collapse into one class; only its smallest id goes on.
 2. Each member of the first six bands' buckets is compared with one bucket's smallest id, the one it meets most often
    (a star, never all pairs), then in the buckets of all bands the members of the smallest and the largest component.
-3. Registers give a Jaccard estimate, corrected for chance collisions; pairs five standard errors too low go. The rest
-   is verified on the full sets, and links are closed into components.
+3. Registers give a Jaccard estimate, corrected for chance collisions; pairs five standard errors too low go (of pairs
+   at the threshold, fewer than one in a million). The rest is verified on the full sets, with two independent 64-bit
+   hashes a shingle, and links are closed into components.
 4. Buckets that still hold several components are the only places where a link can hide. Their members are paired
    across components; where a bucket holds many members or components, a prefix filter takes over (texts that reach
    the threshold must share one of their rarest shingles), which is exact: texts that share one are compared in chunks
@@ -30,14 +32,23 @@ from quarry.llm.components import components
 from quarry.llm.store import materialise
 from quarry.llm.words import mix, scan, shingle_sets
 
-BAND, BANDS = 8, 48
-BUCKETS = BAND * BANDS
+BUCKETS = 384
+MISS = 1e-5
 STAR_BANDS = 6
 CROWD = 12
 MEMBERS = 24
+HOT_CLASSES = 1 << 14
 _U = np.uint64
 
 
+def band_shape(percent: int) -> tuple[int, int]:
+    """Registers in a band, and bands, for a threshold: the longest band that keeps the chance of a miss below ``MISS``."""
+    for rows in range(BUCKETS, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (BUCKETS // rows) <= MISS:
+            return rows, BUCKETS // rows
+    raise ValueError(f"no bands of {BUCKETS} registers find pairs at {percent} %")
+
+
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The 16-bit registers of a sorted set of 64-bit hashes; 0 marks an empty bucket."""
     out = np.zeros(BUCKETS, dtype=np.uint16)
@@ -72,11 +83,11 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray) -> list[int | None]:
-    """A 64-bit key for each band; None for a band without a shingle."""
-    grid = regs.reshape(BANDS, BAND).astype(_U)
-    key = np.arange(1, BANDS + 1, dtype=_U)
-    for j in range(BAND):
+def band_keys(regs: np.ndarray, rows: int, bands: int) -> list[int | None]:
+    """A 64-bit key for each band of ``rows`` registers; None for a band without a shingle."""
+    grid = regs[: rows * bands].reshape(bands, rows).astype(_U)
+    key = np.arange(1, bands + 1, dtype=_U)
+    for j in range(rows):
         key = mix(key * _U(0xD6E8FEB86659FD93) + grid[:, j])
     full = grid.any(axis=1)
     return [int(k) if f else None for k, f in zip(key.view(np.int64), full, strict=True)]
@@ -94,23 +105,24 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.maximum(0.0, (same - chance) / np.maximum(1.0, total - chance)), total
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, registers, bands``; the last three are null for an empty set."""
+    rows, count = band_shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
                 n, key, regs, bands = [], [], [], []
                 for w in scan(batch.column("text"), lower=True):
-                    for s in shingle_sets(w, words):
+                    for s, t in zip(shingle_sets(w, words), shingle_sets(w, words, second=True), strict=True):
                         n.append(len(s))
                         if len(s):
                             r = registers(s)
                             with np.errstate(over="ignore"):
-                                ends = [s.sum(dtype=_U), mix(s + _U(0x632BE59BD9B4E019)).sum(dtype=_U), _U(len(s))]
+                                ends = [s.sum(dtype=_U), mix(s + _U(0x632BE59BD9B4E019)).sum(dtype=_U), t.sum(dtype=_U), _U(len(s))]
                             key.append(np.array(ends, dtype=_U).tobytes())
                             regs.append(r.tobytes())
-                            bands.append(band_keys(filled(r)))
+                            bands.append(band_keys(filled(r), rows, count))
                         else:
                             key.append(None), regs.append(None), bands.append(None)
                 yield pa.RecordBatch.from_pydict(
@@ -128,43 +140,50 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``doc_id, full``: the sorted 64-bit shingle hashes of the documents whose id is in ``wanted(doc_id)``."""
+    """``doc_id, full``, ``more``: the sorted 64-bit shingle hashes of the documents whose id is in ``wanted(doc_id)``, and
+    the sorted second hashes of the same shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "text"):
-                full = [s.tobytes() for w in scan(batch.column("text"), lower=True) for s in shingle_sets(w, words)]
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "full": pa.array(full, pa.binary())})
+                full, more = [], []
+                for w in scan(batch.column("text"), lower=True):
+                    full += [s.tobytes() for s in shingle_sets(w, words)]
+                    more += [s.tobytes() for s in shingle_sets(w, words, second=True)]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "full": pa.array(full, pa.binary()), "more": pa.array(more, pa.binary())})
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, full binary")
+    return picked.join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, full binary, more binary")
+
+
+def _reaches(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sorted sets of hashes reach the threshold."""
+    left, right = np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)
+    short, long = sorted((len(left), len(right)))
+    if not short or 100 * short < percent * long:
+        return False
+    both = np.concatenate([left, right])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (short + long - common)
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets reach the threshold."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("full").alias("full_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("full").alias("full_b"))
+    """The pairs ``(a, b)`` whose full sets reach the threshold, by the first and by the second hashes."""
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("full").alias(f"full_{x}"), F.col("more").alias(f"more_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, last, left = [], None, None
-            for i, (x, y) in enumerate(zip(batch.column("full_a"), batch.column("full_b"), strict=True)):
-                raw = x.as_py()
-                if raw is not last and raw != last:
-                    last, left = raw, np.frombuffer(raw, dtype=_U)
-                right = np.frombuffer(y.as_py(), dtype=_U)
-                short, long = sorted((len(left), len(right)))
-                if short and 100 * short >= percent * long:
-                    both = np.concatenate([left, right])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (short + long - common):
-                        keep.append(i)
+            keep = []
+            for i, (x, y, z, w) in enumerate(zip(*(batch.column(c) for c in ("full_a", "full_b", "more_a", "more_b")), strict=True)):
+                if _reaches(x.as_py(), y.as_py(), percent) and _reaches(z.as_py(), w.as_py(), percent):
+                    keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(at), "b": batch.column("b").take(at)})
             release()
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "full_a", "full_b").mapInArrow(run, "a long, b long")
+    joined = pairs.join(side("b"), "b").join(side("a"), "a")
+    return joined.select("a", "b", "full_a", "full_b", "more_a", "more_b").mapInArrow(run, "a long, b long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -318,7 +337,7 @@ def _pairs_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 85) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """One row for each input row: ``doc_id, n_shingles, component_id, kept``.
 
     Documents are linked when ``100 * intersection >= percent * union`` of their sets of ``words``-word shingles
@@ -327,8 +346,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a null id is linked with nothing and kept, its component is null. Repeated rows share their component. Empty input
     gives an empty result; further columns are not read.
     """
-    sig = materialise(signatures(docs, id_col, text_col, words), "signatures")
-    classes = sig.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    sig = materialise(signatures(docs, id_col, text_col, words, percent), "signatures")
+    classes = sig.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = materialise(classes, "classes")
     rep = classes.select(F.col("rep").alias("doc_id"), "set_key")
     nodes = sig.join(rep, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id", "set_key"])
@@ -363,12 +382,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = full_sets(docs, crowd.select("doc_id"), id_col, text_col, words).dropDuplicates(["doc_id"]).join(crowd, "doc_id")
         own = materialise(own, "crowd-sets")
         rare = materialise(_prefixes(own, percent), "prefixes")
-        more = more.unionByName(materialise(_linked(rare, own, percent), "crowd-links"))
+        joined = materialise(_linked(rare, own, percent).distinct(), "crowd-pairs")
+        more = more.unionByName(materialise(_similar(joined, own, percent), "crowd-links"))
     if more.limit(1).count():
         comps = components(links.unionByName(more))
 
-    top = classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "set_key").join(top, "set_key", "left")
+    top = classes.join(comps, classes["rep"] == comps["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("component"), "n")
+    # A class with a great share of the rows would be an unsplit join key: there are at most HOT_CLASSES of them, so they
+    # are broadcast. Rows without a set take no part in the join.
+    share = max(1 << 12, (classes.agg(F.sum("n")).head()[0] or 0) // HOT_CLASSES)
+    top = materialise(top, "tops")
+    slim = sig.select("doc_id", "n_shingles", "set_key")
+    full = slim.filter("set_key IS NOT NULL")
+    hot = F.broadcast(top.filter(F.col("n") > share).select("set_key", "component"))
+    out = full.join(hot, "set_key").unionByName(full.join(hot, "set_key", "left_anti").join(top.select("set_key", "component"), "set_key", "left"))
+    out = out.unionByName(slim.filter("set_key IS NULL").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
@@ -376,6 +404,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class; all columns stay."""
-    gone = near_groups(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each class, that with the smallest id; all columns stay, whatever their names. Rows
+    with a null id, null text or no words stay; rows that repeat a kept id stay all; an empty table stays empty."""
+    gone = near_groups(docs, id_col, text_col, **options).filter(~F.col("kept")).select("doc_id").distinct()
+    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own"))
+    return boxed.join(gone, boxed["own"] == gone["doc_id"], "left_anti").select("row.*")
