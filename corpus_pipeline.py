@@ -13,7 +13,12 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts, with their columns."""
+    """Documents that the quality classifier accepts, with their columns.
+
+    Null texts, texts without words and documents with a posterior below one half go; null hosts and languages are sites of
+    their own; rows that repeat fare alike; without labels of both classes nothing but blank texts goes; an empty table
+    stays empty.
+    """
     from quarry.llm.quality import keep_good, train
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,28 +26,41 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
+    """One document of each set of equal texts (``A-Z`` in lower case), that with the largest id.
+
+    Null texts equal empty ones; a null id ranks below every other; of rows that tie on text and id one stays; an empty
+    table stays empty.
+    """
     from quarry.llm.exact import drop_exact
 
     return drop_exact(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: five words a shingle, Jaccard similarity of 0.8 or more.
+
+    The smallest id of a class stays. Null ids, null texts and texts without words are linked with nothing and stay; rows
+    that repeat a kept id stay all; an empty table stays empty.
+    """
     from quarry.llm.neardup import drop_near
 
-    return drop_near(docs, words=5, percent=85)
+    return drop_near(docs, words=5, percent=80)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each reading of a document in the mix; a document that the mix cuts keeps the words taken."""
+    """A row for each reading of a document in the mix; a document that the mix cuts keeps the words taken.
+
+    Sources stand in code-point order, null last. Texts without words are never taken; rows that repeat id and text are cut
+    together; a document is read at most twice; an empty table stays empty.
+    """
     from quarry.llm.mixing import apply_mix
 
     return apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids, decoded_sha256`` of every row."""
+    """``doc_id, n_tokens, ids, decoded_sha256`` of every row. Null text is empty, null ids and repeated rows stay, an empty
+    table gives an empty one."""
     from quarry.llm.bpe import bpe
 
     coded = bpe(docs, word_tokenizer())
