@@ -37,7 +37,7 @@ def test_stages(spark, small):
         best[lower(r[1])] = max(best.get(lower(r[1]), r), r, key=lambda x: x[0])
     assert Counter(outputs[1]) == Counter(best.values())
 
-    top = near_components(inputs[2], 85)
+    top = near_components(inputs[2], 80)
     assert Counter(outputs[2]) == Counter(r for r in inputs[2] if top[r[0]] == r[0])
 
     sizes, taken = defaultdict(int), defaultdict(int)
