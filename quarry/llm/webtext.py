@@ -1,12 +1,18 @@
 """Operator 9: main text of web pages by tag-path ratios.
 
-A page is read once into text blocks, each with its root-to-leaf tag path. Subtrees whose element, role, class or id
-says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments) are set aside. Over the
-remaining blocks, text length and punctuation are summed per tag path; the two ratios (per block of the path) are
-smoothed along the page, fused by multiplication and cut at a share of their spread. The blocks above the threshold
-name the content element: the article or main element that holds nearly all their text; on pages without one, the
-deepest element that holds all of it, widened while that adds headings and paragraphs only. Everything in it that was
-not set aside is the main text, so short paragraphs and headings stay. Paths that hold little but links count as menus.
+A page is read once into text blocks, each with its root-to-leaf tag path (classes included). Over the blocks, text length
+outside links and punctuation are summed per tag path; the two ratios (per block of the path) are smoothed along the page,
+fused by multiplication and averaged per path. What an element's name, role, class or id says (menus, headers, footers,
+sidebars, notices, adverts, comments) is a prior on the score of the paths through it: strong for containers, weak for
+paragraphs, list items and the like, where the ratios decide. Paths at or above a share of the best score are chosen.
+
+The content element is the deepest that holds nearly all chosen text, if it stands in an ``article`` or ``main`` that
+element; else the deepest that holds all of it, widened while that adds headings and paragraphs only. Its blocks are the
+main text, short paragraphs, headings and lists of links too; only blocks below a named element whose paths do not reach the
+threshold are left out, and on pages without a container of the text also lists that hold little but links.
+
+Scripts, styles, forms and hidden elements are never read. Each page takes time in proportion to its length: ends of tags
+are found once, and elements carry what their ancestors would tell.
 """
 
 from __future__ import annotations
@@ -22,11 +28,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.arrow import pieces
 
-_MARKUP = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
-    r"""|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""",
-    re.S,
-)
+_TAG = re.compile(r"[A-Za-z][^\s/<>]*")
+_END = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _NAMES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
@@ -50,44 +53,45 @@ SIBLINGS = {
     "th": ({"td", "th"}, {"table", "tr"}),
     "option": ({"option"}, {"select"}),
 }
-ASIDE_TAGS = frozenset(
-    "nav header footer aside form script style noscript template iframe object svg canvas button select textarea "
-    "dialog menu head fieldset datalist audio video map".split()
-)
-ASIDE_ROLES = frozenset(
-    "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note "
-    "status".split()
+HARD_TAGS = frozenset("form script style noscript template iframe object svg canvas button select textarea dialog head fieldset datalist audio video map".split())
+STRONG_TAGS = frozenset("nav header footer aside menu".split())
+STRONG_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+WEAK_ROLES = frozenset("note status".split())
+STRONG_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner "
+    "banners cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login sidebar sidebars "
+    "aside menu menus nav navbar navigation breadcrumb breadcrumbs masthead topbar footer comment comments commentlist replies "
+    "disqus respond pagination pager paging toolbar topnav subnav sitenav mainnav mainmenu submenu megamenu adbox adslot adunit "
+    "form share sharing social notification".split()
 )
-ASIDE_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion "
-    "banner banners cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe "
-    "subscription signup login sidebar sidebars side aside rail menu menus nav navbar navigation breadcrumb "
-    "breadcrumbs masthead topbar header footer foot copyright legal comment comments commentlist reply replies disqus "
-    "respond discussion related recommended recommendations share sharing social pagination pager paging search toolbar "
-    "disclaimer alert form topnav subnav sitenav mainnav mainmenu submenu megamenu adbox adslot adunit".split()
+WEAK_NAMES = frozenset(
+    "notice notices side rail header foot copyright legal reply discussion related recommended recommendations search "
+    "disclaimer alert".split()
 )
 NEGATED = frozenset("has with no without not non".split())
 KEEPERS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = frozenset("p li dt dd td th blockquote pre figcaption address".split())
+NOT_CONTENT = frozenset(("p", "li", *HEADINGS))
+#: Factors of a path's score: for a container that is named, and for one or for a paragraph whose name may mislead.
+STRONG, WEAK = 1e-3, 0.2
 SPREAD, HELD, LINKS = 0.25, 0.9, 0.8
 
 
 class _Element:
-    __slots__ = ("tag", "step", "aside", "parent", "depth")
-
-    def __init__(self, tag: str, step: str, aside: bool, parent: _Element | None):
-        self.tag, self.step, self.aside, self.parent = tag, step, aside, parent
-        self.depth = parent.depth + 1 if parent else 0
+    __slots__ = ("tag", "path", "hard", "prior", "parent", "holder", "inside", "level", "first", "last")
 
-    def chain(self) -> Iterator[_Element]:
-        at = self
-        while at is not None:
-            yield at
-            at = at.parent
+    def __init__(self, tag: str, path: int, hard: bool, prior: float, parent: _Element | None, first: int):
+        self.tag, self.path, self.hard, self.prior, self.parent = tag, path, hard, prior, parent
+        inline = tag in INLINE and parent is not None
+        self.holder = parent.holder if inline else self  # the nearest element that is not inline
+        self.level = (parent.level if parent else 0) + (not inline)  # how many such elements there are down to here
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        self.first, self.last = first, None  # the blocks within
 
 
 class Block:
-    __slots__ = ("element", "parts", "links", "text", "path")
+    __slots__ = ("element", "parts", "links", "text")
 
     def __init__(self, element: _Element):
         self.element, self.parts, self.links = element, [], 0
@@ -97,80 +101,142 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(text)} if text else {}
 
 
-def _set_aside(tag: str, attrs: dict[str, str], within: _Element) -> bool:
-    inside = any(e.tag in ("article", "main") for e in within.chain())
-    if tag in ASIDE_TAGS:
-        return True
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
-        return True
-    if attrs.get("role", "").lower() in ASIDE_ROLES:
-        return True
-    if tag in KEEPERS and not (tag == "article" and inside):
-        return False
+def _hard(tag: str, attrs: dict[str, str]) -> bool:
+    return tag in HARD_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")) is not None
+
+
+def _prior(tag: str, attrs: dict[str, str], within: _Element) -> float:
+    """What the element says of itself, as a factor of the scores of the paths through it."""
+    if tag in INLINE:
+        return 1.0
+    role = attrs.get("role", "").lower()
+    if tag in STRONG_TAGS or role in STRONG_ROLES:
+        return STRONG
+    if tag in HEADINGS or (tag in KEEPERS and not (tag == "article" and within.inside)):
+        return 1.0
+    found = WEAK if role in WEAK_ROLES else 1.0
     for value in (attrs.get("class", ""), attrs.get("id", "")):
         for token in value.split():
-            names = [x.lower() for x in _NAMES.findall(token)]
-            if NEGATED.isdisjoint(names) and not ASIDE_NAMES.isdisjoint(names):
-                if tag in HEADINGS or (inside and "header" in names and ASIDE_NAMES.isdisjoint(set(names) - {"header"})):
-                    continue
-                return True
-    return False
-
-
-def blocks(page: str) -> list[Block]:
-    """Text blocks of a page in order: runs of text and inline markup between block-level tags."""
-    top = _Element("", "", False, None)
-    stack, out, block, links = [top], [], None, 0
+            names = {x.lower() for x in _NAMES.findall(token)}
+            if not NEGATED.isdisjoint(names) or (within.inside and names & (STRONG_NAMES | WEAK_NAMES) == {"header"}):
+                continue
+            if not STRONG_NAMES.isdisjoint(names):
+                found = min(found, WEAK if tag in TEXTUAL else STRONG)
+            elif not WEAK_NAMES.isdisjoint(names):
+                found = min(found, WEAK)
+    return found
+
+
+class _TagEnds:
+    """Where tags end: at the first ``>`` outside quotes. What one search has passed, no later one passes again."""
+
+    def __init__(self, page: str):
+        self.page, self.known, self.seen = page, {}, (0, 0)
+
+    def _next(self, at: int) -> int:
+        a, b = self.seen
+        if not a <= at <= b:
+            m = _END.search(self.page, at)
+            self.seen = (at, m.start() if m else len(self.page))
+        return self.seen[1]
+
+    def find(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 for a tag that never ends."""
+        passed, end = [], -1
+        while (spot := self._next(at)) < len(self.page):
+            if spot in self.known:
+                end = self.known[spot]
+                break
+            passed.append(spot)
+            if self.page[spot] == ">":
+                end = spot
+                break
+            close = self.page.find(self.page[spot], spot + 1)
+            if close < 0:
+                break
+            at = close + 1
+        for spot in passed:
+            self.known[spot] = end
+        return end
+
+
+class _Stack:
+    """Open elements, and where those of each tag stand."""
+
+    def __init__(self, top: _Element):
+        self.open, self.where = [top], {}
+
+    def push(self, e: _Element) -> None:
+        self.where.setdefault(e.tag, []).append(len(self.open))
+        self.open.append(e)
+
+    def last(self, tags) -> int:
+        """The place of the innermost open element of some tags; 0 if there is none."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def cut(self, k: int, blocks: int) -> int:
+        """Close all from place ``k`` on; the number of links among them."""
+        links = 0
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.where[e.tag].pop()
+            e.last = blocks
+            links += e.tag == "a"
+        return links
+
+
+def blocks(page: str) -> tuple[list[Block], _Element]:
+    """Text blocks of a page in order (runs of text and inline markup between block-level tags), and the page's root."""
+    top = _Element("", 0, False, 1.0, None, 0)
+    stack, ends, out, block, links = _Stack(top), _TagEnds(page), [], None, 0
+    paths: dict[tuple[int, str], int] = {}
+    raw_ends: dict[str, re.Pattern] = {}
     at, end = 0, len(page)
-
-    def pop_to(k: int) -> None:
-        nonlocal links
-        for e in stack[k:]:
-            links -= e.tag == "a"
-        del stack[k:]
-
-    def find(tags: set[str] | frozenset[str], stop: set[str] | frozenset[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in tags:
-                return k
-            if stack[k].tag in stop:
-                return 0
-        return 0
-
     while at < end:
-        m = _MARKUP.match(page, at)
-        if m is None:  # a tag that never ends: its "<" is text
-            text, at = "<", at + 1
+        text = tag = None
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = end if to < 0 else to
+            text, at = page[at:to], to
+        elif page.startswith("<!--", at):
+            to = page.find("-->", at + 4)
+            at = end if to < 0 else to + 3
+            continue
+        elif page.startswith("<![CDATA[", at):
+            to = page.find("]]>", at + 9)
+            text, at = page[at + 9 : end if to < 0 else to], end if to < 0 else to + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            to = page.find(">", at)
+            at = end if to < 0 else to + 1
+            continue
         else:
-            at = m.end()
-            text = m["text"] if m["text"] is not None else m["cdata"]
+            close = page[at + 1 : at + 2] == "/"
+            m = _TAG.match(page, at + 1 + close)
+            to = ends.find(m.end()) if m else -1
+            if to < 0:  # no tag, or one that never ends: its "<" is text
+                text, at = "<", at + 1
+            else:
+                tag, attributes, at = m[0].lower(), page[m.end() : to], to + 1
+        above = stack.open[-1]
         if text is not None:
-            if text.isspace() and block is None:
+            if above.hard or (block is None and (not text or text.isspace())):
                 continue
             if block is None:
-                holder = stack[-1]
-                while holder.tag in INLINE and holder.parent is not None:
-                    holder = holder.parent
-                block = Block(stack[-1] if stack[-1].aside else holder)
+                block = Block(above.holder)
                 out.append(block)
-            elif stack[-1].aside and not block.element.aside:
-                continue  # set-aside inline markup within a block
             text = html.unescape(text)
             block.parts.append(text)
             if links:
                 block.links += len(text)
             continue
-        if not m["tag"]:
-            continue
-        tag = m["tag"].lower()
-        if m["close"]:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
+        if close:
+            k = stack.last((tag,))
             if tag not in INLINE:
                 block = None
-            elif k and any(e.tag not in INLINE for e in stack[k + 1 :]):
+            elif k and above.level > stack.open[k].level:
                 k = 0  # an inline end tag does not close blocks
             if k:
-                pop_to(k)
+                links -= stack.cut(k, len(out))
             continue
         if tag == "br":
             if block is not None:
@@ -180,31 +246,33 @@ def blocks(page: str) -> list[Block]:
             block = None
         if tag in VOID:
             continue
-        if tag in CLOSES_P and (k := find({"p"}, {"button", "table", "td", "th", "object", "article", "section", "div", "li"})):
-            pop_to(k)
-        if tag in SIBLINGS and (k := find(*SIBLINGS[tag])):
-            pop_to(k)
-        attrs = _attributes(m["attrs"])
-        aside = stack[-1].aside or _set_aside(tag, attrs, stack[-1])
-        if aside and tag in HEADINGS and stack[-1].tag == "header" and _article_header(stack[-1]):
-            aside = False
-        name = attrs.get("class", "").split()
-        element = _Element(tag, f"{tag}.{name[0]}" if name else tag, aside, stack[-1])
+        if tag in CLOSES_P and (k := stack.last(("p",))) > stack.last(_P_STOPS):
+            links -= stack.cut(k, len(out))
+        if tag in SIBLINGS and (k := stack.last(SIBLINGS[tag][0])) > stack.last(SIBLINGS[tag][1]):
+            links -= stack.cut(k, len(out))
+        above = stack.open[-1]
+        attrs = _attributes(attributes)
         if tag in RAW:
-            close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-            at = page.find(">", close.end()) + 1 or end if close else end
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+            m = raw_ends[tag].search(page, at)
+            at = page.find(">", m.end()) + 1 or end if m else end
             continue
-        if m["attrs"].endswith("/") and tag in ("svg", "path", "g"):
+        if attributes.endswith("/") and tag in ("svg", "path", "g"):
             continue
-        stack.append(element)
+        prior = above.prior * _prior(tag, attrs, above)
+        if tag in HEADINGS and above.tag == "header" and above.parent.inside:
+            prior = above.parent.prior  # the heading in an article's header is the article's title
+        name = attrs.get("class", "").split()
+        path = paths.setdefault((above.path, f"{tag}.{name[0]}" if name else tag), len(paths) + 1)
+        stack.push(_Element(tag, path, above.hard or _hard(tag, attrs), prior, above, len(out)))
         links += tag == "a"
-    return out
+    stack.cut(1, len(out))
+    top.last = len(out)
+    return out, top
 
 
-def _article_header(header: _Element) -> bool:
-    """A ``header`` directly inside the article: its heading is the article's title."""
-    above = header.parent
-    return above is not None and not above.aside and any(e.tag in ("article", "main") for e in above.chain())
+_P_STOPS = ("button", "table", "td", "th", "object", "article", "section", "div", "li")
 
 
 def _smoothed(x: np.ndarray) -> np.ndarray:
@@ -214,66 +282,94 @@ def _smoothed(x: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
-def _widened(content: _Element, kept: list[Block], chosen: set[int]) -> _Element:
+def path_scores(path: np.ndarray, size: np.ndarray, links: np.ndarray, marks: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """For each block the score of its path: sums of text outside links and of punctuation per path, over the path's
+    blocks; both ratios smoothed along the page and fused; the path's mean of that, times its prior."""
+    _, which = np.unique(path, return_inverse=True)
+    n = np.bincount(which)
+    text = _smoothed((np.bincount(which, size - links) / n)[which])
+    stops = _smoothed((np.bincount(which, marks) / n)[which])
+    return (np.bincount(which, text * (1 + stops)) / n)[which] * prior
+
+
+class _Kept:
+    """The blocks with text of a page, by their place in the page."""
+
+    def __init__(self, page: str):
+        found, self.top = blocks(page)
+        self.blocks: list[Block] = []
+        before = [0]  # how many kept blocks come before each block
+        for b in found:
+            b.text = " ".join("".join(b.parts).split())
+            if b.text:
+                self.blocks.append(b)
+            before.append(len(self.blocks))
+        self.before = before
+
+    def span(self, e: _Element) -> tuple[int, int]:
+        return self.before[e.first], self.before[e.last]
+
+
+def _widened(kept: _Kept, content: _Element, chosen: np.ndarray, plain: np.ndarray) -> _Element:
     """The highest element above ``content`` that adds nothing but chosen text, headings, paragraphs and single lines
-    beside it. Lists of links and text that stands in containers of its own end the climb."""
-    inside = {id(b) for b in kept if any(e is content for e in b.element.chain())}
+    beside it. Lists of links, named elements and text that stands in containers of its own end the climb."""
     while (above := content.parent) is not None:
-        added = [b for b in kept if id(b) not in inside and any(e is above for e in b.element.chain())]
+        (a, b), (i, j) = kept.span(above), kept.span(content)
         line = above.tag not in ("", "html", "body")
-        for b in added:
-            prose = b.element.tag == "p" or b.element.tag in HEADINGS or (line and (b.element is above or b.element.parent is above))
-            if id(b) not in chosen and (not prose or b.links >= LINKS * len(b.text)):
+        for k in (*range(a, i), *range(j, b)):
+            e = kept.blocks[k]
+            prose = e.element.tag == "p" or e.element.tag in HEADINGS or (line and (e.element is above or e.element.parent is above))
+            if not chosen[k] and not (prose and plain[k] and e.links < LINKS * len(e.text)):
                 return content
-        inside.update(id(b) for b in added)
         content = above
     return content
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page; empty for a page that has none."""
-    kept: list[Block] = []
-    for b in blocks(page or ""):
-        b.text = " ".join("".join(b.parts).split())
-        if b.text and not b.element.aside:
-            b.path = "/".join(e.step for e in b.element.chain())
-            kept.append(b)
-    if not kept:
+    kept = _Kept(page or "")
+    own = kept.blocks
+    if not own:
+        return ""
+    size = np.array([len(b.text) for b in own], dtype=float)
+    links = np.minimum([b.links for b in own], size)
+    marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in own], dtype=float)
+    path = np.array([b.element.path for b in own])
+    prior = np.array([b.element.prior for b in own])
+    plain = prior >= 1
+    if not (prior > STRONG).any():
         return ""
-    sums: dict[str, list[float]] = {}
-    for b in kept:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
-        s[0] += len(b.text)
-        s[1] += len(_PUNCTUATION.findall(b.text))
-        s[2] += 1
-        s[3] += min(b.links, len(b.text))
-    menus = {p for p, s in sums.items() if s[3] >= LINKS * s[0]}
-    kept = [b for b in kept if b.path not in menus] or kept
-    text = _smoothed(np.array([sums[b.path][0] / sums[b.path][2] for b in kept]))
-    marks = _smoothed(np.array([sums[b.path][1] / sums[b.path][2] for b in kept]))
-    fused = text * (1 + marks)
-    by_path: dict[str, list[float]] = {}
-    for b, f in zip(kept, fused, strict=True):
-        by_path.setdefault(b.path, []).append(f)
-    means = {p: float(np.mean(f)) for p, f in by_path.items()}
-    threshold = SPREAD * max(means.values())
-    chosen = [b for b in kept if means[b.path] >= threshold]
-    weight: dict[int, int] = {}
-    element: dict[int, _Element] = {}
-    total = 0
-    for b in chosen:
-        total += len(b.text)
-        for e in b.element.chain():
-            weight[id(e)] = weight.get(id(e), 0) + len(b.text)
-            element[id(e)] = e
-
-    def deepest(least: float) -> _Element:
-        return max((element[k] for k, w in weight.items() if w >= least and element[k].tag not in ("p", "li", *HEADINGS)), key=lambda e: e.depth)
-
-    content = deepest(HELD * total)
-    semantic = [e for e in content.chain() if e.tag == "article"] or [e for e in content.chain() if e.tag == "main"]
-    content = semantic[0] if semantic else _widened(deepest(total), kept, {id(b) for b in chosen})
-    return "\n".join(b.text for b in kept if any(e is content for e in b.element.chain()))
+    scores = path_scores(path, size, links, marks, prior * np.where([b.element.inside for b in own], 2.0, 1.0))
+    chosen = scores >= SPREAD * scores[prior > STRONG].max()
+    weight = np.concatenate([[0], np.cumsum(np.where(chosen, size, 0))])
+    at = np.flatnonzero(chosen)
+
+    def deepest(share: float) -> _Element:
+        """The deepest element that holds so much of the chosen text: above the block in its middle, as it holds that."""
+        e = own[int(np.searchsorted(weight, weight[-1] / 2))  - 1].element if share < 1 else own[at[0]].element
+        while e.parent is not None:
+            a, b = kept.span(e)
+            whole = a <= at[0] and at[-1] < b if share == 1 else weight[b] - weight[a] >= share * weight[-1]
+            if whole and e.tag not in NOT_CONTENT:
+                break
+            e = e.parent
+        return e
+
+    content, e = None, deepest(HELD)
+    main = None
+    while e is not None:
+        if e.tag == "article" and e.prior >= 1:
+            content = content or e
+        elif e.tag == "main":
+            main = main or e
+        e = e.parent
+    content = content or main or _widened(kept, deepest(1), chosen, plain)
+    a, b = kept.span(content)
+    out = chosen | plain
+    if content.tag in ("", "html", "body"):  # no container of the text: lists of links are menus
+        _, which = np.unique(path, return_inverse=True)
+        out &= chosen | (np.bincount(which, links)[which] < LINKS * np.bincount(which, size)[which])
+    return "\n".join(own[k].text for k in range(a, b) if out[k])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
