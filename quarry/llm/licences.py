@@ -1,6 +1,7 @@
 """Operator 2: licence scans with sparse TF-IDF vectors, in DataFrame functions only.
 
-Every line of a file, every paragraph of several lines and, for licence files, the whole text is a unit. A unit's
+Every line of a file, every paragraph of several lines and, for licence files, the whole text is a unit. Whole texts of
+licence files are also compared with whole licences (``full_texts``), which come first where one is near. A unit's
 sparse vector holds ``tf * idf`` of its terms; document frequencies of the templates' terms are counted over all files,
 other terms weigh like a term of no file. Units match the template with the highest cosine of at least ``threshold``.
 
@@ -15,6 +16,7 @@ are joined to licences by the path of each ancestor.
 from __future__ import annotations
 
 import math
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -100,6 +102,40 @@ FILE_TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
 TERM = "[a-z]+|[0-9]+(?:\\.[0-9]+)*"
+#: Whole short licences, beside the texts in the folder ``licence_texts``.
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from "
+    "the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+    "redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you "
+    "wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+    "required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may "
+    "not be removed or altered from any source distribution."
+)
+_ISC_REST = (
+    " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+    "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+    "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+    "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+    "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that "
+    "recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make "
+    "this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act "
+    "of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT "
+    "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_AFFERO = (
+    " Remote Network Interaction; Use with the GNU General Public License. Notwithstanding any other provision of this License, if you modify the Program, "
+    "your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such "
+    "interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server "
+    "at no charge, through some standard or customary means of facilitating copying of software. "
+)
+#: A whole text counts as a licence from this cosine on.
+FULL = 0.85
+_COPYRIGHT = r"(?i)(^|\n)[ \t]*copyright\b[^\n]*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 
@@ -107,6 +143,69 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
+def full_texts() -> dict[str, str]:
+    """Whole licences by name: those of the folder ``licence_texts``, the short ones above, and the Affero licence, which is
+    the GPL 3 under its own name with one more section."""
+    folder, out = os.path.join(os.path.dirname(__file__), "licence_texts"), {}
+    for name in sorted(os.listdir(folder)):
+        if name.endswith(".txt"):
+            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+                out[name.removesuffix(".txt")] = f.read()
+    out["AGPL-3.0"] = re.sub(r"(?i)GNU\s+General\s+Public", "GNU Affero General Public", out["GPL-3.0"]) + _AFFERO
+    out |= {"MIT": "MIT License " + _MIT + _MIT_REST, "BSD-2-Clause": _BSD + _BSD_REST, "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_REST}
+    return out | {"ISC": "ISC License " + _ISC + _ISC_REST, "Unlicense": _UNLICENSE, "Zlib": _ZLIB}
+
+
+def full_counts() -> dict[str, dict[str, int]]:
+    """Terms of each whole licence and how often they stand in it, without lines that begin with "Copyright"."""
+    return {name: _counts(re.sub(_COPYRIGHT, " ", text)) for name, text in full_texts().items()}
+
+
+def _full_matches(rows: DataFrame) -> DataFrame:
+    """``k1, k2, full_licence, full_cosine`` of the rows whose whole text, lines of copyright apart, is near a licence.
+
+    A text that holds few of a licence's rarest terms cannot reach ``FULL``: its cosine is at most the root of the share of
+    the licence's squared weights on terms it holds. So only texts with ``least`` of the rare terms are looked at further."""
+    spark = rows.sparkSession
+    counted = full_counts()
+    vocabulary = spark.createDataFrame([(t,) for t in sorted({t for c in counted.values() for t in c})], "term string")
+    words = terms(F.regexp_replace("text", _COPYRIGHT, " "))
+    total = rows.count()
+    held = rows.select(F.explode(F.array_distinct(words)).alias("term")).join(F.broadcast(vocabulary), "term").groupBy("term").count().collect()  # one row a term
+    df = {r["term"]: r["count"] for r in held}
+    idf = {r: math.log((total + 1) / (df.get(r, 0) + 1)) + 1 for c in counted.values() for r in c}
+    foreign = math.log(total + 1) + 1
+    weights, rare, least = [], set(), 1 << 30
+    for name, c in counted.items():
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        w = {t: n * idf[t] / norm for t, n in c.items()}
+        weights += [(t, name, x, idf[t]) for t, x in w.items()]
+        own, mass = [], 0.0
+        for t in sorted(w, key=lambda t: (df.get(t, 0), -w[t], t)):
+            own.append(w[t] ** 2)
+            rare.add(t)
+            mass += own[-1]
+            if mass > 0.5:
+                break
+        reach, need = 1 - mass, 0
+        for x in sorted(own, reverse=True):
+            if reach >= FULL * FULL * (1 - 1e-9):
+                break
+            reach, need = reach + x, need + 1
+        least = min(least, need)
+    some = F.split(F.lit(" ".join(sorted(rare))), " ")
+    near = rows.filter(F.size(F.array_intersect(words, some)) >= least).dropDuplicates(["k1", "k2"])
+    tf = near.select("k1", "k2", F.explode(words).alias("term")).groupBy("k1", "k2", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = materialise(tf, "licence-words")
+    table = spark.createDataFrame(weights, "term string, licence string, weight double, idf double")
+    norm = tf.join(F.broadcast(table.select("term", "idf").distinct()), "term", "left")
+    norm = norm.groupBy("k1", "k2").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(foreign)), 2))).alias("norm"))
+    dots = tf.join(F.broadcast(table), "term").groupBy("k1", "k2", "licence").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
+    hits = dots.join(norm, ["k1", "k2"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= FULL)
+    best = hits.groupBy("k1", "k2").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"))
+    return materialise(best.select("k1", "k2", F.col("best.licence").alias("full_licence"), (-F.col("best.c")).alias("full_cosine")), "licence-wholes")
+
+
 def _counts(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for t in re.findall(TERM, text.lower()):
@@ -193,7 +292,8 @@ def licence_scan(
     ``licence`` is the file's own best match, null if none reaches ``threshold``; equal cosines go to the first name.
     ``licence_file`` tells that the file counts for its directory: one named as a licence file by its best match of any
     kind, with ``FILE_TEMPLATES`` (idf from such files) where those are nearer; one where ``whole_file`` holds if its whole
-    text matches. ``inherited`` and ``inherited_from`` (the licence file's path) are set for files without a
+    text matches. The whole text of either is first compared with ``full_texts`` (idf from such files, lines of copyright
+    left out); a cosine of ``FULL`` or more decides, as its name. ``inherited`` and ``inherited_from`` (the licence file's path) are set for files without a
     match of their own; of several licence files in one directory the highest cosine counts, then the smallest path.
     Null text is empty and matches nothing; a null path has no directory. Repeated rows get equal results, an empty
     table an empty result; further columns are not read.
@@ -206,6 +306,7 @@ def licence_scan(
 
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     own = _matches(rows, templates or TEMPLATES, threshold)
+    nothing = rows.sparkSession.createDataFrame([], "k1 long, k2 long, full_licence string, full_cosine double")
     if templates is None and rows.filter(named).limit(1).count():
         full = _matches(materialise(rows.filter(named), "licence-texts"), FILE_TEMPLATES, threshold)
         full = full.select("k1", "k2", F.col("licence").alias("full_licence"), F.col("cosine").alias("full_cosine"))
@@ -213,9 +314,13 @@ def licence_scan(
         both = own.join(full, ["k1", "k2"], "full_outer").withColumn("nearer", nearer)
         own = both.withColumns({c: F.when(F.col("nearer"), F.col(f"full_{c}")).otherwise(F.col(c)) for c in ("licence", "cosine")})
         own = materialise(own.drop("nearer", "full_licence", "full_cosine"), "licences")
+    wholes = _full_matches(rows.filter("whole")) if templates is None else nothing
 
     slim = rows.select("doc_id", "path", "k1", "k2").join(own, ["k1", "k2"], "left")
     slim = slim.withColumns({f"file_{c}": F.when(named, F.col(c)).otherwise(F.col(f"file_{c}")) for c in ("licence", "cosine")})
+    whole = F.col("full_licence").isNotNull()
+    slim = slim.join(wholes, ["k1", "k2"], "left").withColumns({f"{f}{c}": F.when(whole, F.col(f"full_{c}")).otherwise(F.col(f"{f}{c}")) for f in ("", "file_") for c in ("licence", "cosine")})
+    slim = slim.drop("full_licence", "full_cosine")
     slim = materialise(slim, "licence-files")
     held = slim.filter("file_licence IS NOT NULL AND path IS NOT NULL").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("file_cosine")).alias("c"), "path", "file_licence")).alias("best"))

@@ -136,10 +136,12 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def _licence_sql() -> str:
-    from quarry.llm.licences import TEMPLATES, TERM
+    from quarry.llm.licences import FULL, TEMPLATES, TERM, full_counts
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for n, texts in TEMPLATES.items() for i, t in enumerate(texts))
+    # The same table of whole licences, as their terms' counts.
+    full = ", ".join(f"({quoted(name)}, {quoted(' '.join(c))}, {list(c.values())})" for name, c in full_counts().items())
     terms = lambda x: f"unnest(regexp_extract_all(lower({x}), '{TERM}'))"
     return f"""
 WITH t(licence, k, txt) AS (VALUES {values}),
@@ -159,13 +161,24 @@ hit AS (SELECT doc_id, kind, licence, round(sum(tf * idf * weight) / any_value(n
         FROM tf JOIN w USING (term) JOIN idf USING (term) JOIN norm USING (spot) GROUP BY doc_id, kind, spot, licence, k),
 own AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence, max(cosine) AS cosine FROM hit WHERE cosine >= 6e-1 GROUP BY doc_id),
 file AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS file_licence, max(cosine) AS file_cosine FROM hit WHERE cosine >= 6e-1 AND kind = 2 GROUP BY doc_id),
+ft AS (SELECT licence, unnest(string_split(ts, ' ')) AS term, unnest(ns) AS tf FROM (VALUES {full}) AS x(licence, ts, ns)),
+wt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms("regexp_replace(text, '(?i)(^|' || chr(10) || ')[ ' || chr(9) || ']*copyright" + chr(92) + "b[^' || chr(10) || ']*', ' ', 'g')")} AS term FROM d) GROUP BY ALL),
+wdf AS (SELECT term, count(*) AS df FROM wt GROUP BY term),
+widf AS (SELECT DISTINCT ft.term, ln(((SELECT count(*) FROM d) + 1) / (coalesce(df, 0) + 1)::DOUBLE) + 1 AS idf FROM ft LEFT JOIN wdf USING (term)),
+wn AS (SELECT doc_id, sqrt(sum(pow(tf * coalesce(idf, ln((SELECT count(*) FROM d) + 1) + 1), 2))) AS norm FROM wt LEFT JOIN widf USING (term) GROUP BY doc_id),
+fw AS (SELECT licence, term, tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY licence)) AS weight FROM ft JOIN widf USING (term)),
+whit AS (SELECT doc_id, licence, round(sum(wt.tf * idf * weight) / any_value(norm), 9) AS cosine
+         FROM wt JOIN fw USING (term) JOIN widf USING (term) JOIN wn USING (doc_id) GROUP BY doc_id, licence),
+wbest AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence, max(cosine) AS cosine FROM whit WHERE cosine >= {FULL} GROUP BY doc_id),
+own0 AS (SELECT doc_id, coalesce(wbest.licence, own.licence) AS licence, coalesce(wbest.cosine, own.cosine) AS cosine FROM own FULL JOIN wbest USING (doc_id)),
+file0 AS (SELECT doc_id, coalesce(wbest.licence, file_licence) AS file_licence, coalesce(wbest.cosine, file_cosine) AS file_cosine FROM file FULL JOIN wbest USING (doc_id)),
 dir AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, arg_min(path, {{'c': -file_cosine, 'p': path}}) AS inherited_from, arg_min(file_licence, {{'c': -file_cosine, 'p': path}}) AS inherited
-        FROM d JOIN file USING (doc_id) GROUP BY 1),
+        FROM d JOIN file0 AS file USING (doc_id) GROUP BY 1),
 near AS (SELECT path, arg_max(inherited, length(dir)) AS inherited, arg_max(inherited_from, length(dir)) AS inherited_from
          FROM d JOIN dir ON dir = '' OR starts_with(path, dir || '/') GROUP BY path)
 SELECT d.doc_id, d.path, own.licence, own.cosine, file_licence IS NOT NULL AS licence_file,
        CASE WHEN own.licence IS NULL THEN near.inherited END AS inherited, CASE WHEN own.licence IS NULL THEN near.inherited_from END AS inherited_from
-FROM d LEFT JOIN own USING (doc_id) LEFT JOIN file USING (doc_id) LEFT JOIN near USING (path)
+FROM d LEFT JOIN own0 AS own USING (doc_id) LEFT JOIN file0 AS file USING (doc_id) LEFT JOIN near USING (path)
 """
 
 
