@@ -1,6 +1,7 @@
 """Operator 8: quality classifier with hierarchical empirical Bayes.
 
-A logistic regression over surface statistics of the whole text gives each document's evidence. Documents sit on sites:
+A logistic regression over surface statistics of the whole text and the shares of its words, hashed into ``BUCKETS``
+buckets, gives each document's evidence. Documents sit on sites:
 a host and a path below it. Sums of the documents' posteriors per path and per host (grouped aggregation, a few numbers
 a site) give site rates; a path's rate is shrunk toward its host's and the host's toward the global rate, each with a
 strength estimated by the method of moments from how much sites really differ. The document's log odds and the site's
@@ -27,12 +28,13 @@ FEATURES = (
     "bars a word", "symbols a word", "exclamation marks a word", "share of capitals", "digits a byte", "repeated neighbours",
     "distinct words", "bytes a word", "line ends a word", "stops a word", "log words", "share of letters",
 )
+BUCKETS = 128
 _SYMBOLS = np.frombuffer(b"%&$#*^~<>=@_{}[]\\", dtype=np.uint8)
 _STOPS = np.frombuffer(b".,;:?", dtype=np.uint8)
 
 
 def features(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """One row of ``FEATURES`` for each text."""
+    """One row for each text: ``FEATURES``, then the root of the share of words in each of ``BUCKETS`` buckets."""
     out = []
     for w in scan(column, histogram=True):
         n = np.maximum(np.diff(w.first), 1).astype(float)
@@ -45,16 +47,18 @@ def features(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         a, b = w.first[:-1], w.first[1:]
         again = np.where(b - a > 1, same[np.maximum(b - 1, 0)] - same[a], 0)
         distinct = np.array([len(np.unique(w.hashes[i:j])) for i, j in zip(a, b, strict=True)])
+        place = np.repeat(np.arange(len(n)) * BUCKETS, b - a) + (w.hashes >> np.uint64(32)).astype(np.int64) % BUCKETS
+        words = np.sqrt(np.bincount(place, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS) / n[:, None])
         out.append(
             np.column_stack(
                 [
                     c[:, ord("|")] / n, c[:, _SYMBOLS].sum(axis=1) / n, c[:, ord("!")] / n, upper / np.maximum(upper + lower, 1),
                     c[:, 48:58].sum(axis=1) / size, again / n, distinct / n, size / n, c[:, 10] / n, c[:, _STOPS].sum(axis=1) / n,
-                    np.log(n), (lower + upper + other) / size,
+                    np.log(n), (lower + upper + other) / size, words,
                 ]
             )
         )
-    return np.concatenate(out) if out else np.zeros((0, len(FEATURES)))
+    return np.concatenate(out) if out else np.zeros((0, len(FEATURES) + BUCKETS))
 
 
 @dataclass(frozen=True)
@@ -73,7 +77,7 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> Model:
     """Newton's method for a ridge-penalised logistic regression."""
-    d = len(FEATURES)
+    d = len(FEATURES) + BUCKETS
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(d), np.ones(d), np.zeros(d), 0.0)
     mean, scale = x.mean(axis=0), x.std(axis=0)
@@ -93,18 +97,21 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> M
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``sample_rows`` labelled documents, those with the smallest hash of their id."""
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
-    sample = known.orderBy(F.xxhash64("_id", F.lit(8)), "_id", "_y").limit(sample_rows)
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.col("_y"), F.col(text_col).cast("string").alias("text"))
+    """Fit on at most ``sample_rows`` labelled documents, those with the smallest hash of their id. Null ids and labels and
+    labels without a document teach nothing; null text is empty; further columns of either table are not read."""
+    known = labels.select(F.col(id_col).alias("own"), F.col(label_col).cast("int").alias("y")).dropna()
+    sample = known.orderBy(F.xxhash64("own", F.lit(8)), "own", "y").limit(sample_rows)
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = picked.join(F.broadcast(sample), F.col("id") == F.col("own")).select("y", "text")
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_pydict({"y": b.column("_y"), "x": pa.array(list(features(b.column("text"))), pa.list_(pa.float64()))})
+                x = features(b.column("text")).astype("<f4")
+                yield pa.RecordBatch.from_pydict({"y": b.column("y"), "x": pa.array([row.tobytes() for row in x], pa.binary())})
 
-    table = rows.mapInArrow(run, "y int, x array<double>").toArrow()
-    x = np.array(table["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+    table = rows.mapInArrow(run, "y int, x binary").toArrow()
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), "<f4").reshape(-1, len(FEATURES) + BUCKETS).astype(float)
     return fit(x, np.asarray(table["y"].to_pylist(), dtype=float))
 
 
