@@ -2,9 +2,10 @@
 
 Texts are normalised (``A-Z`` lower-cased, null as empty), range-partitioned by sampled splitters and sorted
 externally; equal texts are then neighbours and a window over the full text compares them. The range key is a short
-head of the text followed by its 64-bit hash, so splitters stay small however long texts are, while the sort and the
-comparison use the whole text. A text held by many rows would fill one range: hashes are counted first (partial
-aggregation, 16 bytes a row) and the rows of a frequent one are salted into several ranges. At most
+head of the normalised bytes and, among equal heads, their 64-bit hash, so splitters stay small however long texts are; the
+sort inside a range and the comparison of neighbours use the whole text. A text held by many rows would fill one range: hashes are counted first (partial
+aggregation, 16 bytes a row) and the rows of a frequent one are salted into several ranges, whose winners are merged by the
+text's SHA-256. At most
 ``4 * shuffle partitions`` hashes can be that frequent, which bounds both broadcast tables.
 """
 
@@ -81,17 +82,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that an equal text with a larger id replaces; all columns stay. Repeated rows with
-    one id keep one row."""
+    """``docs`` without the rows that an equal text with a larger id replaces; all columns stay, whatever their names. Null
+    text equals empty text and a null id ranks below every other. Repeated rows with one id keep one row; an empty table
+    stays empty."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept"))
     twin = F.col("doc_id").eqNullSafe(F.col("keep_id"))  # the row that stays has this id too
-    key = [F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_digest")]
+    key = ["doc_id", "text_sha256"]
     others, twins = gone.filter(~twin).select(*key).distinct(), gone.filter(twin).select(*key).distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(text_col), 256))
-    same = lambda t: (F.col("_sha") == F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_gone"))
-    left = marked.join(others, same(others), "left_anti")
+    boxed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), F.sha2(normalised(text_col), 256).alias("sha"))
+    same = lambda t: (F.col("sha") == F.col("text_sha256")) & F.col("own").eqNullSafe(F.col("doc_id"))
+    left = boxed.join(others, same(others), "left_anti")
     if twins.limit(1).count():
-        left = left.join(twins, same(twins), "left_anti").unionByName(
-            left.join(twins, same(twins), "left_semi").dropDuplicates([id_col, "_sha"])
-        )
-    return left.drop("_sha")
+        left = left.join(twins, same(twins), "left_anti").unionByName(left.join(twins, same(twins), "left_semi").dropDuplicates(["own", "sha"]))
+    return left.select("row.*")
