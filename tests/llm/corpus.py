@@ -6,7 +6,7 @@ import random
 import re
 from collections import defaultdict
 
-CLASHING = "size kept key node comp a b h term norm head salt word n ids decoded seed next pos part start tokens data _text _row k1 k2".split()
+CLASHING = "size kept key node comp a b h term norm head salt word n ids decoded seed next pos part start tokens data _text _row k1 k2 _gone _digest _sha _id _y own sha row y id place shard src name source_size".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 
