@@ -29,6 +29,41 @@ def average(rows: DataFrame, key: str = "key", value: str = "value") -> DataFram
     return rows.groupBy(F.col(key).alias("key")).agg(F.avg(value).alias("average"))
 
 
+def whole_number(text: Column) -> Column:
+    """P5: the 32-bit number that a text of digits with an optional sign says. Any other text is an error, null too."""
+    wrong = F.raise_error(F.concat(F.lit("not a whole number: "), F.coalesce(text, F.lit("null")))).cast("int")
+    return F.when(text.rlike(r"^[+-]?[0-9]+$"), text.cast("int")).otherwise(wrong)
+
+
+def token_average(lines: DataFrame, column: str = "value") -> DataFrame:
+    """A2 over P1: ``key, average``, how often a token stands in the lines that hold it. That is all its places over all
+    its lines, so two counts are added by token, before and after one shuffle, and no pair of line and token is shuffled."""
+    words = tokens(F.col(column))
+    places = lines.select(F.explode(words).alias("key"), F.lit(1).alias("n"), F.lit(0).alias("held"))
+    held = lines.select(F.explode(F.array_distinct(words)).alias("key"), F.lit(0).alias("n"), F.lit(1).alias("held"))
+    sums = places.unionByName(held).groupBy("key").agg(F.sum("n").alias("n"), F.sum("held").alias("held"))
+    return sums.select("key", (F.col("n").cast("double") / F.col("held")).alias("average"))
+
+
+def successors(rows: DataFrame, group: Column, value: Column, *order: Column) -> DataFrame:
+    """``src, dst``: each row's ``value`` and that of the next row in the order, within ``group``, which leads the order.
+    Rows are range-partitioned, so no group is held in one task; of each part the first row goes to the part before it."""
+    from quarry.store import materialise
+
+    spark = rows.sparkSession
+    placed = rows.select(group.alias("g"), value.alias("src"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
+    placed = placed.orderBy("g", *[f"o{k}" for k in range(len(order))]).select("g", "src", F.monotonically_increasing_id().alias("at"))
+    placed = materialise(placed, "successors").withColumn("part", F.shiftright("at", 33))
+    firsts = placed.groupBy("part").agg(F.min_by(F.struct("g", "src"), "at").alias("first")).orderBy("part").collect()  # one a part
+    kinds = ", ".join(f"{n} {placed.schema[c].dataType.simpleString()}" for n, c in (("next_g", "g"), ("next_src", "src")))
+    follows = [(a["part"], b["first"]["g"], b["first"]["src"]) for a, b in zip(firsts, firsts[1:], strict=False)]
+    border = F.broadcast(spark.createDataFrame(follows, f"part long, {kinds}"))
+    inside = Window.partitionBy("part").orderBy("at")
+    held = placed.select("part", "g", "src", F.lead(F.struct("g", "src")).over(inside).alias("next")).join(border, "part", "left")
+    after = F.coalesce("next", F.struct(F.col("next_g").alias("g"), F.col("next_src").alias("src")))
+    return held.select("g", "src", after.alias("after")).filter(F.col("g").eqNullSafe(F.col("after.g")) & F.col("after.src").isNotNull()).select("src", F.col("after.src").alias("dst"))
+
+
 def by_average(rows: DataFrame) -> DataFrame:
     """O1: average descending, key ascending, as a range-partitioned global sort."""
     return rows.orderBy(F.col("average").desc(), F.col("key").asc())

@@ -43,6 +43,26 @@ def dangling_pages(pages: DataFrame, valid: DataFrame) -> DataFrame:
     return pages.join(valid.select("page"), "page", "left_anti").select("page", "title")
 
 
+def parsed(pages: DataFrame, pattern: str = LINK) -> DataFrame:
+    """``page, title, link`` of each valid link, and one row with a null link for each dangling page: the pages parsed once
+    and kept as a written table, from which nodes, edges and counts are read."""
+    from quarry.store import materialise
+
+    listed = materialise(pages.select("page", "title", F.transform(page_links(F.col("body"), pattern), capitalised).alias("links")), "pages")
+    titles = listed.select(F.col("title").alias("known")).distinct()
+    each = listed.select("page", "title", F.explode("links").alias("link"))
+    valid = each.join(titles, each["link"] == titles["known"], "left_semi")
+    lone = listed.select("page", "title").join(valid.select("page").distinct(), "page", "left_anti")
+    return materialise(valid.unionByName(lone.withColumn("link", F.lit(None).cast("string"))), "links")
+
+
+def graph_of(links_: DataFrame) -> LinkGraph:
+    """The graph of ``parsed`` links."""
+    held = links_.agg(F.count_distinct("page").alias("pages"), F.count(F.when(F.col("link").isNull(), 1)).alias("lone")).head()
+    edges = links_.filter("link IS NOT NULL").select(F.col("title").alias("src"), F.col("link").alias("dst"))
+    return LinkGraph(links_.select(F.col("title").alias("id")).distinct(), edges, held["pages"], held["lone"])
+
+
 def out_degree(edges: DataFrame) -> DataFrame:
     """A10: repeated edges count."""
     return edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
@@ -55,11 +75,4 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def graph_of_pages(lines: DataFrame, column: str = "value", pattern: str = LINK) -> LinkGraph:
     """Distinct titles are nodes, but pages are counted before titles are made distinct."""
-    pages = titled_pages(lines, column)
-    valid = valid_links(links(pages, pattern), pages)
-    return LinkGraph(
-        pages.select(F.col("title").alias("id")).distinct(),
-        valid.select(F.col("title").alias("src"), F.col("link").alias("dst")),
-        pages.count(),
-        dangling_pages(pages, valid).count(),
-    )
+    return graph_of(parsed(titled_pages(lines, column), pattern))

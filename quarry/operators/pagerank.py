@@ -1,8 +1,8 @@
 """PageRank with fixed steps or until convergence.
 
 State is one table ``id, degree, old, rank``. A step joins ranks to edges by source, sums contributions by target (Spark
-adds partial sums before the shuffle, so hubs are cheap) and keeps its state as a written table; the dangling mass and
-the error are single numbers that come back to the driver.
+adds partial sums before the shuffle, so hubs are cheap) and keeps its state as a written table, of which the last two stay
+(K3); the dangling mass and the error are single numbers that come back to the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.counting import rank_bucket
 from quarry.operators.linkgraph import LinkGraph, out_degree
-from quarry.store import materialise
+from quarry.store import Rolling, materialise
 
 #: Damping and the error at which iteration stops.
 DAMPING, TOLERANCE = 0.85, 0.001
@@ -32,14 +32,15 @@ def pagerank(graph: LinkGraph, steps: int | None = None, tolerance: float = TOLE
     """``steps`` updates, or, if None, updates until the reported error falls below ``tolerance``.
 
     The error that a step reports is that of its input, and the converged result is the input of the last step: the step
-    that finds convergence is not applied. Page counts, not title counts, enter the formula, so ranks sum to one only
+    that finds convergence is not applied; ranks that have not converged after ``most`` steps are an error. Page counts, not title counts, enter the formula, so ranks sum to one only
     where titles are unique. ``steps`` of zero or less returns the initial ranks.
     """
     n = graph.pages
     if not n:
         return Ranks(graph.nodes.withColumn("rank", F.lit(0.0)), [])
     nodes = graph.nodes.join(out_degree(graph.edges).withColumnRenamed("src", "id"), "id", "left")
-    state = materialise(nodes.select("id", "degree", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("rank")), "ranks")
+    rolling = Rolling("ranks")
+    state = rolling.step(nodes.select("id", "degree", F.lit(0.0).alias("old"), F.lit(1.0 / n).alias("rank")))
     pairs = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"))
     pairs = materialise(pairs, "edges")
     mass, errors = graph.dangling / n, []
@@ -58,7 +59,10 @@ def pagerank(graph: LinkGraph, steps: int | None = None, tolerance: float = TOLE
         given = pairs.join(state.select(F.col("id").alias("src"), (F.col("rank") / F.col("degree")).alias("share")), "src")
         received = given.groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("share") * F.col("times")).alias("sum"))
         fresh = (1 - DAMPING) / n + DAMPING * (F.coalesce("sum", F.lit(0.0)) + mass / n)
-        state = materialise(state.join(received, "id", "left").select("id", "degree", F.col("rank").alias("old"), fresh.alias("rank")), "ranks")
+        state = rolling.step(state.join(received, "id", "left").select("id", "degree", F.col("rank").alias("old"), fresh.alias("rank")))
+    else:
+        if steps is None:
+            raise RuntimeError(f"ranks have not converged after {most} steps; the last error was {errors[-1]:g}")
     return Ranks(state.select("id", "rank"), errors)
 
 

@@ -1,14 +1,19 @@
 """Binary sources and sinks.
 
 Files are read through Spark's ``binaryFile`` source, so any store that Spark reads will do; each file is decoded in one
-task by NumPy and leaves it in bounded Arrow batches.
+task by NumPy and leaves it in bounded Arrow batches. The ``write_*_parts`` sinks write a folder of files in parallel, whose
+names hold the number of their first value or row, so that one after another they make the whole; each is written under a
+name of its own attempt and then renamed. ``write_floats`` and ``write_matrix`` make a single local file.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +95,96 @@ def write_matrix(distances: DataFrame, path: str, vertices: int, unreachable: in
 def edge_bytes(vertices: int, edges: list[tuple[int, int, int]]) -> bytes:
     """An edge list in the format of ``read_edges``."""
     return np.array([vertices, len(edges), *(x for e in edges for x in e)], "<i4").tobytes()
+
+
+# -- folders of parts, written in parallel ----------------------------------------------------------------------------
+
+FIRST = r"part-([0-9]+)[^/]*$"
+
+
+def put(folder: str, name: str, data: bytes) -> None:
+    """Write one file of a folder in any store that Arrow knows; a name appears only with all its bytes."""
+    from pyarrow import fs
+
+    where = folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
+    store, path = fs.FileSystem.from_uri(where)
+    store.create_dir(path, recursive=True)
+    held = f"{path}/_{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(held) as out:
+        out.write(data)
+    store.move(held, f"{path}/{name}")
+
+
+def _written(parts: DataFrame) -> int:
+    return parts.agg(F.count(F.lit(1))).head()[0]
+
+
+def _ranged(rows: DataFrame, order: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+
+
+def write_edge_parts(edges: DataFrame, path: str, vertices: int) -> int:
+    """``pos, src, dst, weight`` as edge lists in the order of ``pos``, each with a header of its own; their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                triples = np.column_stack([np.asarray(batch.column(c)) for c in ("src", "dst", "weight")]).astype("<i4")
+                put(path, f"part-{batch.column('pos')[0].as_py():015d}.edges", np.array([vertices, len(triples)], "<i4").tobytes() + triples.tobytes())
+                yield pa.RecordBatch.from_pydict({"n": pa.array([len(triples)], pa.int64())})
+
+    return _written(_ranged(edges.select("pos", "src", "dst", "weight"), "pos").mapInArrow(run, "n long"))
+
+
+def write_float_parts(values: DataFrame, path: str, order: str = "pos", column: str = "value") -> int:
+    """K5: 32-bit floats in order, in files named by the position of their first value; their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                put(path, f"part-{batch.column('at')[0].as_py():015d}.floats", np.asarray(batch.column("value"), dtype="<f4").tobytes())
+                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    picked = values.select(F.col(order).cast("long").alias("at"), F.col(column).cast("float").alias("value"))
+    return _written(_ranged(picked, "at").mapInArrow(run, "n long"))
+
+
+def read_float_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``pos, value`` of such a folder."""
+    first = F.regexp_extract("path", FIRST, 1).cast("long")
+    return read_floats(spark, f"{path}/part-*").select((first + F.col("pos")).alias("pos"), "value")
+
+
+def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachable: int = UNREACHABLE, cells: int = 1 << 22) -> int:
+    """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each written by a task of its
+    own; absent pairs are ``unreachable``. The number of blocks."""
+    high = max(1, min(vertices, cells // max(vertices, 1)))
+    count = -(-vertices // high)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(pdf.block.iloc[0]) * high
+        rows = np.full((min(high, vertices - first), vertices), unreachable, "<i4")
+        pdf = pdf[pdf.i >= 0]
+        rows[pdf.i.to_numpy() - first, pdf.j.to_numpy()] = pdf.dist.to_numpy()
+        put(path, f"part-{first:015d}.rows", rows.tobytes())
+        return pd.DataFrame({"n": [len(rows)]})
+
+    held = distances.select(F.floor(F.col("i") / high).cast("long").alias("block"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("long").alias("dist"))
+    every = distances.sparkSession.range(count).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("dist"))
+    return _written(held.unionByName(every).groupBy("block").applyInPandas(run, "n long"))
+
+
+def read_matrix_parts(spark: SparkSession, path: str, vertices: int) -> DataFrame:
+    """``i, j, dist`` of all cells of such a folder."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, content in zip(batch.column("first").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                values = np.frombuffer(content, "<i4")
+                for a in range(0, len(values), STEP):
+                    at = np.arange(a, min(a + STEP, len(values)))
+                    yield pa.RecordBatch.from_pydict({"i": pa.array((first + at // vertices).astype(np.int32)), "j": pa.array((at % vertices).astype(np.int32)), "dist": pa.array(values[at])})
+
+    files = _files(spark, f"{path}/part-*").select(F.regexp_extract("path", FIRST, 1).cast("long").alias("first"), "content")
+    return files.mapInArrow(decode, "i int, j int, dist int")

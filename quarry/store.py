@@ -8,11 +8,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
+    folder = "/".join(["quarry", *_scopes[-1:]])
+    return f"{shared_dir(spark).rstrip('/')}/{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -36,8 +40,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Rolling:
+    """The state of a loop: each round's table is written, and once it is there, the one before the last is deleted. The
+    last two stay, so a lost executor re-reads what its task needs."""
+
+    def __init__(self, name: str):
+        self.name, self.paths = name, []
+
+    def step(self, df: DataFrame) -> DataFrame:
+        spark, path = df.sparkSession, fresh_path(df.sparkSession, self.name)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        while len(self.paths) > 2:
+            _delete(spark, self.paths.pop(0))
+        return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside lie in a folder of their own, which goes at the end. Results must be written or collected
+    before, as they may read those tables."""
+    _scopes.append(f"scope-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{shared_dir(spark).rstrip('/')}/quarry/{_scopes.pop()}")
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables written here. Results that still read them must have been written elsewhere before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/quarry")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/quarry")
