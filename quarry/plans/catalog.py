@@ -1,15 +1,18 @@
 """Registered queries of the library and the SQL that gives the same rows.
 
-Queries that take a graph build it from the driver's tables: ``events`` gives a user-to-user graph (each user's row points
-to the next row's user of that day), ``pages`` a graph of titles' first words linked by ``href="/word"``, and the order
-tables a nation graph weighted by the cheapest line item.
+Queries that take a graph build it from the driver's whole tables: ``events`` gives a user-to-user graph (each user's row
+points to the next row's user of that day), ``pages`` a graph of titles' first words linked by ``href="/word"``, the order
+tables a nation graph weighted by the cheapest line item, and ``customer`` wiki pages. Queries of sources and sinks write
+files into the shared folder and read them back.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -20,6 +23,10 @@ from quarry.operators import numeric as N
 from quarry.operators import pagerank as R
 from quarry.operators import paths as P
 from quarry.session import table
+from quarry.sources import binary as B
+from quarry.sources import images as I
+from quarry.sources import text as S
+from quarry.store import fresh_path, materialise
 
 Query = Callable[[SparkSession, str], DataFrame]
 HREF = 'href="/([^"]+)"'
@@ -41,13 +48,8 @@ def first_letter_ordered(spark: SparkSession, sf: str) -> DataFrame:
     return C.ranked(first_letter_count(spark, sf), *C.case_paired(F.col("ch")))
 
 
-def _word_counts(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("key"))
-    return words.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("value"))
-
-
 def word_average(spark: SparkSession, sf: str) -> DataFrame:
-    return C.average(_word_counts(spark, sf)).select("key", F.round("average", 9).alias("average"))
+    return C.token_average(table(spark, sf, "documents"), "text").select("key", F.round("average", 9).alias("average"))
 
 
 def word_average_sorted(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,32 +116,29 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return L.adjacency(_page_edges(spark, sf)).select("src", F.array_join("links", "|").alias("links"))
 
 
-# -- PageRank -------------------------------------------------------------------------------------------------------
+def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of all customers in wiki text, with links that have labels or anchors, begin in lower case, or lead nowhere."""
+    key, text = F.col("c_custkey").cast("string"), []
+    for part in ("&lt;title&gt;Customer-", key, "&lt;/title&gt; of [[nation ", F.col("c_nationkey").cast("string"), "]], see [[customer-",
+                 (F.col("c_custkey") + 1).cast("string"), "|the next]], [[Customer-", F.floor(F.col("c_custkey") / 2).cast("string"), "#top]] &amp; [[customer-", key, "]]"):
+        text.append(F.lit(part) if isinstance(part, str) else part)
+    lines = table(spark, sf, "customer").select(F.concat(*text).alias("value"))
+    found = L.parsed(L.titled_pages(lines))
+    return found.filter("link IS NOT NULL").groupBy("title", "link").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
-    pages, valid = _valid(spark, sf)
-    return L.LinkGraph(
-        pages.select(F.col("title").alias("id")).distinct(),
-        valid.select(F.col("title").alias("src"), F.col("link").alias("dst")),
-        pages.count(),
-        L.dangling_pages(pages, valid).count(),
-    )
+# -- PageRank -------------------------------------------------------------------------------------------------------
 
 
-def event_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
-    """Purchases only; every seventh user has no out-links."""
-    return _event_graph(spark, sf, _successors(table(spark, sf, "events").filter("event_type = 'purchase'")).filter("src % 7 <> 0"))
+def page_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
+    return L.graph_of(L.parsed(_pages(spark, sf), HREF))
 
 
 def all_event_graph(spark: SparkSession, sf: str) -> L.LinkGraph:
     """Every event of every user."""
-    return _event_graph(spark, sf, _successors(table(spark, sf, "events")))
-
-
-def _successors(events: DataFrame) -> DataFrame:
-    order = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    return events.select(F.col("user_id").alias("src"), F.lead("user_id").over(order).alias("dst")).filter("dst IS NOT NULL")
+    events = table(spark, sf, "events")
+    edges = C.successors(events, F.to_date("ts"), F.col("user_id"), F.col("ts"), F.col("event_id"))
+    return _event_graph(spark, sf, materialise(edges, "event-edges"))
 
 
 def _event_graph(spark: SparkSession, sf: str, edges: DataFrame) -> L.LinkGraph:
@@ -156,29 +155,6 @@ def pagerank_pages_k5(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.pagerank(page_graph(spark, sf), STEPS).ranks)
 
 
-def pagerank_events_k5(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.pagerank(event_graph(spark, sf), STEPS).ranks)
-
-
-def pagerank_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return C.positions(pagerank_events_k5(spark, sf), F.col("pr").desc(), F.col("id").asc()).withColumn("pos", F.col("pos") + 1)
-
-
-def pagerank_buckets(spark: SparkSession, sf: str) -> DataFrame:
-    ranks = pagerank_events_k5(spark, sf)
-    return ranks.withColumn("bucket", C.rank_bucket(F.col("pr"), 32, 0.001))
-
-
-def pagerank_error_trace(spark: SparkSession, sf: str) -> DataFrame:
-    errors = R.pagerank(event_graph(spark, sf), STEPS).errors
-    rows = spark.createDataFrame(list(enumerate(errors)), "step int, error double")
-    return rows.select("step", F.round("error", 9).alias("error"))
-
-
-def pagerank_converged(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(R.pagerank(event_graph(spark, sf), None).ranks)
-
-
 def pagerank_all_events_k5(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(R.pagerank(all_event_graph(spark, sf), STEPS).ranks)
 
@@ -204,14 +180,9 @@ def pagerank_all_events_converged(spark: SparkSession, sf: str) -> DataFrame:
 # -- paths ----------------------------------------------------------------------------------------------------------
 
 
-def nation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier nation to customer nation of urgent orders, by the smallest whole price of a line item. Spark joins the
-    small tables by broadcast where their size allows."""
-    return _cheapest(_sales(spark, sf).filter("o_orderpriority = '1-URGENT' AND s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4"))
-
-
 def all_nation_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """The same of all orders and nations; sales within a nation are self loops."""
+    """Supplier nation to customer nation of all orders, by the smallest whole price of a line item; sales within a nation
+    are self loops. Spark joins the small tables by broadcast where their size allows."""
     return _cheapest(_sales(spark, sf))
 
 
@@ -232,22 +203,6 @@ def _nations(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"))
 
 
-def apsp_nation(spark: SparkSession, sf: str) -> DataFrame:
-    return P.all_pairs(nation_edges(spark, sf), _nations(spark, sf))
-
-
-def apsp_nation_dense(spark: SparkSession, sf: str) -> DataFrame:
-    return P.dense(apsp_nation(spark, sf), _nations(spark, sf))
-
-
-def apsp_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    return P.all_pairs_blocked(nation_edges(spark, sf), _nations(spark, sf), size=16).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "dist")
-
-
-def sssp_nation(spark: SparkSession, sf: str) -> DataFrame:
-    return P.single_source(nation_edges(spark, sf), 0)
-
-
 def apsp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
     return P.all_pairs(all_nation_edges(spark, sf), _nations(spark, sf))
 
@@ -264,9 +219,59 @@ def sssp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
     return P.single_source(all_nation_edges(spark, sf), 0)
 
 
+def _event_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """``pos, src, dst, weight``: from each event's user to its kind's number among users, every event an edge, so edges
+    repeat and some are loops."""
+    return table(spark, sf, "events").select(
+        F.col("event_id").cast("long").alias("pos"), F.col("user_id").cast("int").alias("src"),
+        F.pmod(F.col("event_id") * 7 + F.col("user_id"), F.lit(USERS)).cast("int").alias("dst"),
+        (F.pmod(F.col("event_id") * 31, F.lit(997)) + 1).cast("int").alias("weight"),
+    )
+
+
+USERS = 61
+
+
+def edge_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """All events as edge lists in files, read back (a wrong length is an error), of repeated edges the last, loops on the
+    diagonal; shortest paths of all pairs; their matrix written in blocks of rows, and all its cells read back."""
+    graph, matrix = fresh_path(spark, "edge-files"), fresh_path(spark, "matrix-files")
+    edges = _event_edges(spark, sf)
+    most = edges.agg(F.max(F.greatest("src", "dst"))).head()[0]
+    vertices = 0 if most is None else most + 1
+    if not vertices:
+        return spark.createDataFrame([], "i int, j int, dist int")
+    B.write_edge_parts(edges, graph, vertices)
+    read = B.read_edges(spark, f"{graph}/part-*").withColumn("pos", F.struct("path", "pos"))
+    ids = spark.range(vertices).select(F.col("id").cast("int").alias("id"))
+    B.write_matrix_parts(P.all_pairs_blocked(P.last_edges(read), ids), matrix, vertices)
+    return B.read_matrix_parts(spark, matrix, vertices)
+
+
 # -- sorting --------------------------------------------------------------------------------------------------------
 
 
+def float_file_sort(spark: SparkSession, sf: str) -> DataFrame:
+    """Values of all events as files of floats, read back, sorted, written in order and read again."""
+    given, done = fresh_path(spark, "float-files"), fresh_path(spark, "sorted-files")
+    if not B.write_float_parts(table(spark, sf, "events"), given, "event_id", "value"):
+        return spark.createDataFrame([], "pos long, value double")
+    values = B.read_float_parts(spark, given).select("value")
+    B.write_float_parts(C.positions(values, F.col("value").asc()), done)
+    return B.read_float_parts(spark, done).select("pos", F.col("value").cast("double").alias("value"))
+
+
+def kv_text_average(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantities of all line items as lines of key and value, read back, parsed (what is no number is an error), averaged
+    by key, sorted, merged into one file of lines and read again."""
+    lines, merged = fresh_path(spark, "key-values"), fresh_path(spark, "averages")
+    items = table(spark, sf, "lineitem").select(F.concat(F.lit("part "), "l_partkey").alias("key"), F.floor("l_quantity").cast("int").alias("value"))
+    S.write_key_values(items, lines)
+    read = S.read_key_values(spark, lines).select("key", C.whole_number(F.col("value")).alias("value"))
+    S.write_merged(C.by_average(C.average(read).select("key", F.round("average", 9).alias("average"))), merged)
+    return S.read_key_values(spark, merged).select("key", F.col("value").cast("double").alias("average"))
+
+
 def float_sort(spark: SparkSession, sf: str) -> DataFrame:
     values = table(spark, sf, "events").select(F.col("value").cast("float").alias("value"))
     return C.positions(values, F.col("value").asc()).select("pos", F.col("value").cast("double").alias("value"))
@@ -276,13 +281,6 @@ def block_assign(spark: SparkSession, sf: str) -> DataFrame:
     return C.blocks(float_sort(spark, sf), 7).select("pos", "block")
 
 
-def position_diff(spark: SparkSession, sf: str) -> DataFrame:
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("value"), "p_size", "p_retailprice")
-    first = C.positions(part, F.col("p_size").asc(), F.col("value").asc())
-    second = C.positions(part.filter("value % 10 <> 0"), F.col("p_size").asc(), F.col("value").desc())
-    return C.positional_difference(first.select("pos", "value"), second.select("pos", "value"))
-
-
 def position_diff_whole(spark: SparkSession, sf: str) -> DataFrame:
     """Two orderings of all parts."""
     part = table(spark, sf, "part").select(F.col("p_partkey").alias("value"), "p_size")
@@ -310,6 +308,31 @@ def _image(spark: SparkSession) -> DataFrame:
     return spark.range(WIDTH * HEIGHT).select(x.cast("int").alias("x"), y.cast("int").alias("y"), value(7, 3).alias("r"), value(2, 11).alias("g"), value(5, 5).alias("b"))
 
 
+def image_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts as pixels of an image ``WIDTH`` wide, written as PNG and as BMP, and both read back."""
+    at = F.col("p_partkey")
+    pixels = table(spark, sf, "part").select(
+        (at % WIDTH).cast("int").alias("x"), F.floor(at / WIDTH).cast("int").alias("y"), (F.col("p_size") * 5 % 256).cast("int").alias("r"),
+        (at * 3 % 256).cast("int").alias("g"), (F.floor(F.col("p_retailprice")) % 256).cast("int").alias("b"),
+    )
+    height = (pixels.agg(F.max("y")).head()[0] or 0) + 1
+    out = None
+    for kind, write in (("png", I.write_png), ("bmp", I.write_bmp)):
+        path = f"{fresh_path(spark, 'images')}.{kind}"
+        B.put(os.path.dirname(path), os.path.basename(path), _drawn(write, pixels, WIDTH, height, kind))
+        read = I.read_pixels(spark, path).select(F.lit(kind).alias("kind"), "x", "y", "r", "g", "b")
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+def _drawn(write: Callable, pixels: DataFrame, width: int, height: int, kind: str) -> bytes:
+    """The file that a writer makes; a store may be no place where the driver can open files."""
+    with tempfile.TemporaryDirectory() as own:
+        write(pixels, f"{own}/image.{kind}", width, height)
+        with open(f"{own}/image.{kind}", "rb") as made:
+            return made.read()
+
+
 def sobel_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.sobel_bands(_image(spark), WIDTH, HEIGHT, band=8)
 
@@ -333,12 +356,12 @@ def primes(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = [
         first_letter_count, first_letter_partitioned, first_letter_ordered, word_average, word_average_sorted, key_mod_partition,
-        average_range_partition, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages, out_degree, adjacency,
-        pagerank_pages_k5, pagerank_events_k5, pagerank_ranked, pagerank_buckets, pagerank_error_trace, pagerank_converged,
+        average_range_partition, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
+        out_degree, adjacency, wiki_links, pagerank_pages_k5,
         pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
-        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, position_diff_whole,
-        apsp_nation, apsp_nation_dense, apsp_blocked, sssp_nation, float_sort, block_assign, position_diff,
-        mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, pi_riemann, prime_count, primes,
+        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, edge_file_roundtrip,
+        float_sort, float_file_sort, block_assign, position_diff_whole,
+        mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, image_roundtrip, pi_riemann, prime_count, primes,
     ]
     return {f.__name__: f for f in listed}
 

@@ -20,11 +20,6 @@ p AS (SELECT page_id AS page, regexp_extract(whole, '^[^ ]*') AS title, body FRO
 k AS (SELECT page, title, unnest(regexp_extract_all(body, 'href="/([^"]+)"', 1)) AS raw FROM p),
 l AS (SELECT page, title, CASE WHEN substr(raw, 1, 1) BETWEEN 'a' AND 'z' THEN upper(substr(raw, 1, 1)) || substr(raw, 2) ELSE raw END AS link FROM k),
 v AS (SELECT * FROM l WHERE link IN (SELECT title FROM p))"""
-EVENTS = """
-n AS (SELECT DISTINCT user_id AS id FROM events),
-q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events WHERE event_type = 'purchase'),
-e AS (SELECT * FROM q WHERE dst IS NOT NULL AND src % 7 <> 0),
-s AS (SELECT count(*)::DOUBLE AS pages, (SELECT count(*) FROM n WHERE id NOT IN (SELECT src FROM e))::DOUBLE AS lone FROM n)"""
 ALL_EVENTS = """
 n AS (SELECT DISTINCT user_id AS id FROM events),
 q AS (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY ts::DATE ORDER BY ts, event_id) AS dst FROM events),
@@ -34,18 +29,18 @@ PAGE_GRAPH = """
 n AS (SELECT DISTINCT title AS id FROM p),
 e AS (SELECT title AS src, link AS dst FROM v),
 s AS (SELECT count(*)::DOUBLE AS pages, (SELECT count(*) FROM p WHERE page NOT IN (SELECT page FROM v))::DOUBLE AS lone FROM p)"""
-NATIONS = """
-e AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(min(floor(l_extendedprice)) AS BIGINT) AS weight
-      FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-      WHERE o_orderpriority = '1-URGENT' AND s_nationkey <> c_nationkey AND s_nationkey % 5 <> 4 GROUP BY ALL),
-d0 AS (SELECT i, j, min(d) AS dist FROM (SELECT src AS i, dst AS j, weight AS d FROM e UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation) GROUP BY ALL)"""
-
 ALL_NATIONS = """
 e AS (SELECT s_nationkey AS src, c_nationkey AS dst, CAST(min(floor(l_extendedprice)) AS BIGINT) AS weight
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
 d0 AS (SELECT src AS i, dst AS j, weight AS dist FROM e
        UNION ALL SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey NOT IN (SELECT src FROM e WHERE src = dst))"""
 
+EVENT_EDGES = """
+e0 AS (SELECT event_id AS pos, user_id::INT AS src, ((event_id * 7 + user_id) % 61)::INT AS dst, event_id * 31 % 997 + 1 AS weight FROM events),
+v AS (SELECT i::INT AS i FROM range((SELECT greatest(max(src), max(dst)) + 1 FROM e0)) t(i)),
+e AS (SELECT src, dst, arg_max(weight, pos) AS weight FROM e0 GROUP BY src, dst),
+d0 AS (SELECT src AS i, dst AS j, weight AS dist FROM e UNION ALL SELECT i, i, 0 FROM v WHERE i NOT IN (SELECT src FROM e WHERE src = dst))"""
+
 
 def _steps(count: int) -> str:
     """Unrolled PageRank: ``r0`` to ``r<count>`` over ``n, e, s``."""
@@ -58,13 +53,6 @@ r{i} AS (SELECT r.id, r.pr AS old, 15e-2 / s.pages + 85e-2 * (coalesce(got, 0) +
     return out
 
 
-def _squared(count: int) -> str:
-    out = ""
-    for i in range(1, count + 1):
-        out += f", d{i} AS (SELECT a.i, b.j, min(a.dist + b.dist) AS dist FROM d{i - 1} a JOIN d{i - 1} b ON a.j = b.i GROUP BY a.i, b.j)"
-    return out
-
-
 def _squared_with_loops(count: int) -> str:
     """Where loops stand on the diagonal, shorter paths must be carried along."""
     out = ""
@@ -100,8 +88,7 @@ SELECT x::INT AS x, y::INT AS y, r, g, bl AS b FROM o"""
 
 
 def sql() -> dict[str, str]:
-    by_pages, by_events = f"WITH {PAGES}, {PAGE_GRAPH}, {_steps(5)}", f"WITH {EVENTS}, {_steps(5)}"
-    nation = f"WITH {NATIONS}{_squared(5)}"
+    by_pages = f"WITH {PAGES}, {PAGE_GRAPH}, {_steps(5)}"
     by_all_events, all_nations = f"WITH {ALL_EVENTS}, {_steps(5)}", f"WITH {ALL_NATIONS}{_squared_with_loops(5)}"
     pairs = "SELECT i, j, dist FROM d5"
     trace = " UNION ALL ".join(f"SELECT {i} AS step, round(sum(abs(pr - old)), 9) AS error FROM r{i}" for i in range(5))
@@ -116,6 +103,18 @@ def sql() -> dict[str, str]:
 WITH a AS (SELECT l_partkey AS key, round(sum(l_quantity) / count(*), 9) AS average FROM lineitem GROUP BY 1),
 s AS (SELECT *, (average - 10) / (30e0 / 8) AS step FROM a)
 SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step) ELSE floor(step) END) - 1, 0), 7) AS INT) AS part FROM s""",
+        "kv_text_average": "SELECT 'part ' || l_partkey AS key, round(avg(floor(l_quantity)), 9) AS average FROM lineitem GROUP BY 1",
+        "wiki_links": """
+WITH p AS (SELECT c_custkey AS k, 'Customer-' || c_custkey AS title FROM customer),
+l AS (SELECT title, unnest(['Nation ' || c_nationkey, 'Customer-' || (c_custkey + 1), 'Customer-' || (c_custkey // 2), title]) AS link FROM p JOIN customer ON k = c_custkey)
+SELECT title, link, count(*) AS n FROM l WHERE link IN (SELECT title FROM p) GROUP BY ALL""",
+        "edge_file_roundtrip": f"WITH {EVENT_EDGES}{_squared_with_loops(11)} SELECT a.i, b.i AS j, CAST(coalesce(dist, 999999999) AS INT) AS dist FROM v a CROSS JOIN v b LEFT JOIN d11 ON d11.i = a.i AND d11.j = b.i",
+        "float_file_sort": "SELECT row_number() OVER (ORDER BY value::FLOAT) - 1 AS pos, value::FLOAT::DOUBLE AS value FROM events",
+        "image_roundtrip": """
+WITH p AS (SELECT p_partkey % 48 AS x, p_partkey // 48 AS y, p_size * 5 % 256 AS r, p_partkey * 3 % 256 AS g, floor(p_retailprice)::BIGINT % 256 AS b FROM part),
+f AS (SELECT x, y FROM range(48) a(x), range((SELECT max(y) + 1 FROM p)) c(y))
+SELECT kind, f.x::INT AS x, f.y::INT AS y, coalesce(r, 0)::INT AS r, coalesce(g, 0)::INT AS g, coalesce(b, 0)::INT AS b
+FROM f CROSS JOIN (VALUES ('png'), ('bmp')) t(kind) LEFT JOIN p USING (x, y)""",
         "xml_unescape": f"SELECT page_id, {UNESCAPED} AS body FROM pages",
         "page_titles": f"WITH {PAGES} SELECT DISTINCT title FROM p",
         "title_count": f"WITH {PAGES} SELECT count(*) AS n_pages FROM p",
@@ -125,11 +124,6 @@ SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step)
         "out_degree": f"WITH {PAGES} SELECT title AS src, count(*) AS degree FROM v GROUP BY 1",
         "adjacency": f"WITH {PAGES} SELECT title AS src, string_agg(link, '|' ORDER BY link) AS links FROM v GROUP BY 1",
         "pagerank_pages_k5": f"{by_pages} SELECT id, round(pr, 9) AS pr FROM r5",
-        "pagerank_events_k5": f"{by_events} SELECT id, round(pr, 9) AS pr FROM r5",
-        "pagerank_ranked": f"{by_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, row_number() OVER (ORDER BY pr DESC, id) AS pos FROM x",
-        "pagerank_buckets": f"{by_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, CAST(CASE WHEN pr < 0 OR pr >= 31e-3 THEN 31 ELSE floor(pr / 1e-3) END AS INT) AS bucket FROM x",
-        "pagerank_error_trace": f"{by_events} {trace}",
-        "pagerank_converged": f"WITH {EVENTS}, {_steps(12)}, {_converged(12)}",
         "pagerank_all_events_k5": f"{by_all_events} SELECT id, round(pr, 9) AS pr FROM r5",
         "pagerank_all_events_ranked": f"{by_all_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, row_number() OVER (ORDER BY pr DESC, id) AS pos FROM x",
         "pagerank_all_events_buckets": f"{by_all_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5) SELECT id, pr, CAST(CASE WHEN pr < 0 OR pr >= 31e-3 THEN 31 ELSE floor(pr / 1e-3) END AS INT) AS bucket FROM x",
@@ -143,16 +137,8 @@ SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step)
 WITH a AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos, p_partkey AS left_value FROM part),
 b AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey DESC) - 1 AS pos, p_partkey AS right_value FROM part)
 SELECT pos, left_value, right_value FROM a FULL JOIN b USING (pos) WHERE left_value IS DISTINCT FROM right_value""",
-        "apsp_nation": f"{nation} {pairs}",
-        "apsp_nation_dense": f"{nation} SELECT a.n_nationkey AS i, b.n_nationkey AS j, coalesce(dist, 999999999) AS dist FROM nation a CROSS JOIN nation b LEFT JOIN d5 ON i = a.n_nationkey AND j = b.n_nationkey",
-        "apsp_blocked": f"{nation} {pairs}",
-        "sssp_nation": f"{nation} SELECT j AS id, dist FROM d5 WHERE i = 0",
         "float_sort": "SELECT row_number() OVER (ORDER BY value::FLOAT) - 1 AS pos, value::FLOAT::DOUBLE AS value FROM events",
         "block_assign": "SELECT row_number() OVER (ORDER BY value::FLOAT) - 1 AS pos, CAST(ntile(7) OVER (ORDER BY value::FLOAT) - 1 AS INT) AS block FROM events",
-        "position_diff": """
-WITH a AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos, p_partkey AS left_value FROM part),
-b AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey DESC) - 1 AS pos, p_partkey AS right_value FROM part WHERE p_partkey % 10 <> 0)
-SELECT pos, left_value, right_value FROM a FULL JOIN b USING (pos) WHERE left_value IS DISTINCT FROM right_value""",
         "mandelbrot_iters": f"WITH RECURSIVE {MANDELBROT} SELECT x, y, iter FROM m",
         "mandelbrot_rgb": f"""WITH RECURSIVE {MANDELBROT}
 SELECT x, 31 - y AS y, CASE WHEN iter = 60 THEN 0 WHEN iter & 16 <> 0 THEN 240 ELSE iter % 16 * 16 END AS r,
