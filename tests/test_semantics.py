@@ -192,6 +192,91 @@ def test_pi_and_primes(spark):
     assert N.prime_count(spark, 2).head()["n_primes"] == 0
 
 
+def test_token_average_equals_pairs(spark):
+    lines = spark.createDataFrame([("a b a",), ("a c",), ("",), (None,), ("b b b",)], "value string")
+    assert {tuple(r) for r in C.token_average(lines).collect()} == {("a", 1.5), ("b", 2.0), ("c", 1.0)}
+
+
+def test_whole_numbers(spark):
+    rows = spark.createDataFrame([("7",), ("-3",), ("+12",)], "v string")
+    assert [r[0] for r in rows.select(C.whole_number(F.col("v"))).collect()] == [7, -3, 12]
+    for wrong in ("", "x", "1.5", "99999999999", None):
+        with pytest.raises(Exception, match="whole number|CAST|INVALID"):
+            spark.createDataFrame([(wrong,)], "v string").select(C.whole_number(F.col("v"))).collect()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_successors(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(int(g), int(k), int(rng.integers(0, 9))) for k, g in enumerate(rng.integers(0, 5, 400))]
+    df = spark.createDataFrame(rows, "g int, k int, u int").repartition(parts)
+    found = sorted(map(tuple, C.successors(df, F.col("g"), F.col("u"), F.col("k")).collect()))
+    held = sorted(rows)
+    assert found == sorted((a[2], b[2]) for a, b in zip(held, held[1:], strict=False) if a[0] == b[0])
+    assert C.successors(df.limit(0), F.col("g"), F.col("u"), F.col("k")).count() == 0
+
+
+def test_dangling_nodes_give_their_rank_to_all(spark):
+    """Every third of a ring has no way out: the mass of these nodes goes to all, in each step."""
+    n = 30
+    edges = [(i, (i * 7 + 1) % n) for i in range(n) if i % 3] + [(i, (i + 1) % n) for i in range(n) if i % 3]
+    graph = L.LinkGraph(spark.range(n), spark.createDataFrame(edges, "src long, dst long"), n, n // 3)
+    rank, degree = [1 / n] * n, [sum(a == i for a, _ in edges) for i in range(n)]
+    for step in range(4):
+        mass = n // 3 / n if not step else sum(r for r, d in zip(rank, degree, strict=True) if not d)
+        rank = [0.15 / n + 0.85 * (sum(rank[a] / degree[a] for a, b in edges if b == i) + mass / n) for i in range(n)]
+    found = {r["id"]: r["rank"] for r in R.pagerank(graph, 4).ranks.collect()}
+    assert np.allclose([found[i] for i in range(n)], rank)
+
+
+def test_ranks_that_do_not_converge_are_an_error(spark):
+    with pytest.raises(RuntimeError, match="not converged"):
+        R.pagerank(triangle(spark), None, tolerance=0.0, most=3)
+
+
+def test_loops_keep_their_last_two_tables(spark, tmp_path):
+    import os
+
+    from quarry import store
+
+    def held():
+        root = store.shared_dir(spark).removeprefix("file://") + "/quarry"
+        return {x for x in os.listdir(root) if x.startswith(("ranks", "blocks", "paths", "distances"))} if os.path.isdir(root) else set()
+
+    before = held()
+    R.pagerank(triangle(spark), 6)
+    assert len(held() - before) == 2
+    before = held()
+    with store.scope(spark):
+        rows = P.all_pairs(P.last_edges(edges_of(spark, EDGES)), vertices_of(spark, 9)).collect()
+    assert len(rows) == 9 + 6 and held() == before
+
+
+def test_folders_of_parts(spark, tmp_path):
+    values = np.random.default_rng(0).normal(size=500).astype("<f4")
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "pos long, value double").repartition(6)
+    binary.write_float_parts(df, str(tmp_path / "floats"))
+    assert [r["value"] for r in binary.read_float_parts(spark, str(tmp_path / "floats")).orderBy("pos").collect()] == values.tolist()
+    whole = b"".join(p.read_bytes() for p in sorted((tmp_path / "floats").glob("part-*")))
+    assert whole == values.tobytes()
+    pairs = spark.createDataFrame([(0, 3, 5), (4, 1, 7)], "i int, j int, dist long")
+    assert binary.write_matrix_parts(pairs, str(tmp_path / "matrix"), 5, cells=10) == 3
+    found = {(r["i"], r["j"]): r["dist"] for r in binary.read_matrix_parts(spark, str(tmp_path / "matrix"), 5).collect()}
+    assert found == {(i, j): {(0, 3): 5, (4, 1): 7}.get((i, j), binary.UNREACHABLE) for i in range(5) for j in range(5)}
+    binary.write_edge_parts(edges_of(spark, EDGES * 20), str(tmp_path / "edges"), 4)
+    read = binary.read_edges(spark, str(tmp_path / "edges" / "part-*")).orderBy("path", "pos").collect()
+    assert [tuple(r)[2:] for r in read] == EDGES * 20
+    assert not list(tmp_path.glob("*/_part*"))
+
+
+def test_large_images(spark, tmp_path):
+    rows = spark.range(130 * 150).select(*[(F.expr(e)).cast("int").alias(c) for c, e in zip("xyrgb", ("id % 130", "id div 130", "id % 256", "id * 7 % 256", "id * 13 % 251"), strict=True)])
+    for write, name in ((images.write_png, "i.png"), (images.write_bmp, "i.bmp")):
+        write(rows.filter("y <> 70"), str(tmp_path / name), 130, 150)
+        found = {tuple(r) for r in images.read_pixels(spark, str(tmp_path / name)).drop("path").collect()}
+        assert found == {tuple(r) if r["y"] != 70 else (r["x"], 70, 0, 0, 0) for r in rows.collect()}
+
+
 def test_text_round_trip(spark, tmp_path):
     (tmp_path / "in.txt").write_text("a\t1\t2\nb\nc\t\n")
     found = S.read_key_values(spark, str(tmp_path / "in.txt"))
