@@ -135,6 +135,7 @@ _AFFERO = (
 )
 #: A whole text counts as a licence from this cosine on.
 FULL = 0.85
+SALTS = 16
 _COPYRIGHT = r"(?i)(^|\n)[ \t]*copyright\b[^\n]*"
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -322,15 +323,23 @@ def licence_scan(
     slim = slim.join(wholes, ["k1", "k2"], "left").withColumns({f"{f}{c}": F.when(whole, F.col(f"full_{c}")).otherwise(F.col(f"{f}{c}")) for f in ("", "file_") for c in ("licence", "cosine")})
     slim = slim.drop("full_licence", "full_cosine")
     slim = materialise(slim, "licence-files")
-    held = slim.filter("file_licence IS NOT NULL AND path IS NOT NULL").withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
+    own_dir = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    held = slim.filter("file_licence IS NOT NULL AND path IS NOT NULL").withColumn("dir", own_dir)
     held = held.groupBy("dir").agg(F.min(F.struct((-F.col("file_cosine")).alias("c"), "path", "file_licence")).alias("best"))
     held = materialise(held.select("dir", F.col("best.path").alias("inherited_from"), F.col("best.file_licence").alias("inherited")), "licence-dirs")
-    steps = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(steps) - 1), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, F.lit(1), i), "/").alias("dir")))
-    lacking = slim.filter("licence IS NULL AND path IS NOT NULL").select("path").distinct()
-    chain = lacking.select("path", F.explode(above).alias("a")).select("path", "a.depth", "a.dir")
-    near = chain.join(held, "dir").groupBy("path").agg(F.max_by(F.struct("inherited", "inherited_from"), "depth").alias("near"))
-    out = slim.join(near, "path", "left")
+    # Directories, not files, are joined to their ancestors. The root, an ancestor of all, is one row that is broadcast; a
+    # directory that holds many files is dealt out over SALTS.
+    steps = F.split("dir", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(steps, F.lit(1), i), "/").alias("above")))
+    lacking = slim.filter("licence IS NULL AND path IS NOT NULL").select(own_dir.alias("dir")).distinct().filter("dir <> ''")
+    chain = lacking.select("dir", F.explode(above).alias("a")).select(F.col("dir").alias("own_dir"), "a.depth", F.col("a.above").alias("dir"))
+    near = chain.join(held.filter("dir <> ''"), "dir").groupBy("own_dir").agg(F.max_by(F.struct("inherited", "inherited_from"), "depth").alias("near"))
+    near = materialise(near, "licence-near").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    root = held.filter("dir = ''").select(F.struct("inherited", "inherited_from").alias("root"))
+    root = F.broadcast(slim.sparkSession.range(1).select().join(root, F.lit(True), "left"))  # exactly one row
+    dealt = slim.withColumns({"own_dir": own_dir, "salt": F.pmod(F.xxhash64("doc_id", "path", "k1"), F.lit(SALTS)).cast("int")})
+    out = dealt.join(near, ["own_dir", "salt"], "left").crossJoin(root)
+    out = out.withColumn("near", F.when(F.col("path").isNotNull(), F.coalesce("near", "root")))
     none = F.col("licence").isNull()
     return out.select(
         "doc_id", "path", "licence", "cosine", F.col("file_licence").isNotNull().alias("licence_file"),

@@ -15,7 +15,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -192,31 +195,40 @@ def write_token_files(
 ) -> None:
     """Encode every text, append ``end_id`` and write the ids below ``path`` in ascending id order.
 
-    Null text is empty. Documents with a null id come first; documents that tie on the id are ordered by their ids'
-    bytes. Empty input writes a folder without segments. Parts hold equal ranges of ids, found from the id column
-    alone (approximate percentiles); texts are encoded before the shuffle, which moves compressed ids only.
+    Null text is empty. Documents with a null id come first; documents that tie on the id are ordered by a hash of their
+    token ids and then by these. Empty input writes a folder without segments. Parts hold equal ranges of ids, found from
+    the id column alone (approximate percentiles); an id, or null, that many rows share has several parts, by ranges of that
+    hash. Texts are encoded before the shuffle, which moves compressed ids only.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(F.col(id_col), [i / parts for i in range(1, parts)], 10_000)).head()[0] if parts > 1 else []
-    bounds = sorted(set(cuts or []))
+    # Where a part ends: (not null, id, hash). An id that is a cut more than once is hot: each of its repeats is a cut inside.
+    nulls, total = docs.agg(F.count(F.when(F.col(id_col).isNull(), 1)), F.count(F.lit(1))).head()
+    times = Counter((1, int(c)) for c in cuts or [])
+    if nulls:
+        times[0, 0] = -(-nulls * parts // total)
+    whole = 1 << 62
+    bounds = sorted((*key, whole * j // n) for key, n in times.items() for j in range(1, n + 1))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         from quarry.llm.vocab import Encoder
 
-        encoder, squeeze, edges = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1), np.array(bounds, dtype=np.int64)
+        encoder, squeeze = Encoder.of(tokenizer), zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for batch in pieces(whole, "text"):
                 end = np.array([] if end_id is None else [end_id], dtype=encoder.dtype).tobytes()
                 ids = [x.tobytes() + end for x in encoder.encode(batch.column("text"))]
                 keys = batch.column("doc_id").to_pylist()
-                part = [0 if k is None else int(np.searchsorted(edges, k, side="left")) for k in keys]
+                ties = [int.from_bytes(blake2b(x, digest_size=8).digest()) >> 2 for x in ids]
+                part = [bisect_left(bounds, (0, 0, t) if k is None else (1, k, t)) for k, t in zip(keys, ties, strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "part": pa.array(part, pa.int32()),
                         "doc_id": pa.array(keys, pa.int64()),
+                        "tie": pa.array(ties, pa.int64()),
                         "width": pa.array([encoder.dtype.itemsize] * len(ids), pa.int32()),
                         "ids": pa.array([squeeze.compress(x) for x in ids], pa.binary()),
                     }
@@ -246,9 +258,9 @@ def write_token_files(
             yield flush()
 
     coded = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        encode, "part int, doc_id long, width int, ids binary"
+        encode, "part int, doc_id long, tie long, width int, ids binary"
     )
-    dealt = coded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt = coded.repartitionById(max(parts, len(bounds) + 1), F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie", "ids")
     dealt.mapInArrow(pack, "part int, segment long, start long, tokens long, data binary").write.option(
         "compression", "zstd"
     ).parquet(path)

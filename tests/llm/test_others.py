@@ -346,6 +346,14 @@ def test_whole_licences_count_and_versions_stay_apart(spark, small):
         assert (found[200_000 + i]["inherited"], found[200_000 + i]["inherited_from"]) == (n, f"p{i}/LICENSE")
 
 
+def test_the_root_and_the_nearest_directory(spark):
+    rows = [(1, "LICENSE", MIT_TEXT), (2, "a/LICENSE", APACHE), (3, "x.py", "words"), (4, "b/c/d.py", "words"), (5, "a/b/c.py", None), (6, None, "words"), (7, "/e.py", "words")]
+    rows += [(10 + k, f"a/n/f{k}.py", "words") for k in range(40)]
+    found = {r["doc_id"]: (r["inherited"], r["inherited_from"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    root, near = ("MIT", "LICENSE"), ("Apache-2.0", "a/LICENSE")
+    assert found == {1: (None, None), 2: (None, None), 3: root, 4: root, 5: near, 6: (None, None), 7: root, **{10 + k: near for k in range(40)}}
+
+
 def test_licences_of_nothing(spark):
     assert licences.licence_scan(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
 

@@ -132,5 +132,16 @@ def test_token_files(spark, tmp_path):
     assert sorted((str(r["doc_id"]), tuple(r["ids"])) for r in found) == want
 
 
+def test_hot_ids_have_several_parts(spark, tmp_path):
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k} of many", None, None, None) for k in range(600)]
+    tokenfile.write_token_files(frame(spark, rows), str(tmp_path / "t"), PATH, segment_tokens=100)
+    sizes = {r["part"]: r["n"] for r in spark.read.parquet(str(tmp_path / "t")).groupBy("part").agg({"tokens": "sum"}).toDF("part", "n").collect()}
+    assert max(sizes.values()) <= 0.5 * sum(sizes.values()) and len(sizes) >= 3
+    found = tokenfile.read_token_files(spark, str(tmp_path / "t")).collect()
+    order = [r["doc_id"] for r in sorted(found, key=lambda r: r["start"])]
+    assert order == sorted((r[0] for r in rows), key=lambda d: (d is not None, d or 0))
+    assert sorted(tuple(r["ids"]) for r in found) == sorted(tuple(library(r[1])[0]) + (2,) for r in rows)
+
+
 def test_token_files_of_nothing(spark):
     assert tokenfile.token_files(frame(spark, []), PATH).count() == 0
