@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -19,8 +20,13 @@ HARD = [
 ]
 
 
+@functools.cache
+def tokenizer():
+    return vocab.load(PATH)
+
+
 def library(text):
-    found = vocab.load(PATH)
+    found = tokenizer()
     ids = found.encode(text or "", add_special_tokens=False).ids
     return ids, found.decode(ids, skip_special_tokens=False)
 
