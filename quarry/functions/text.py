@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,6 +53,13 @@ def capitalised(link: Column) -> Column:
     return F.when(head.between("a", "z"), F.concat(F.upper(head), F.substr(link, F.lit(2)))).otherwise(link)
 
 
+def split_fields(line: Column, mark: str) -> Column:
+    """P10: the fields between marks; empty fields at the end are dropped, so an empty line has none."""
+    fields = F.split(line, re.escape(mark), -1)
+    last = F.array_max(F.transform(fields, lambda x, i: F.when(x != "", i + 1).otherwise(0)))
+    return F.slice(fields, F.lit(1), last.cast("int"))
+
+
 def to_byte(x: Column) -> Column:
     """Truncate and cap at 255."""
     return F.least(F.lit(255.0), F.floor(x)).cast("int")

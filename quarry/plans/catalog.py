@@ -116,6 +116,14 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
     return L.adjacency(_page_edges(spark, sf)).select("src", F.array_join("links", "|").alias("links"))
 
 
+def adjacency_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source's targets as one line of text with bars between them, written, read back, split and counted."""
+    lines = fresh_path(spark, "adjacency")
+    S.write_key_values(adjacency(spark, sf), lines, "src", "links")
+    read = S.read_key_values(spark, lines)
+    return read.select(F.col("key").alias("src"), F.size(T.split_fields(F.col("value"), "|")).alias("degree"))
+
+
 def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of all customers in wiki text, with links that have labels or anchors, begin in lower case, or lead nowhere."""
     key, text = F.col("c_custkey").cast("string"), []
@@ -232,6 +240,13 @@ def _event_edges(spark: SparkSession, sf: str) -> DataFrame:
 USERS = 61
 
 
+def edges_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """All event edges in eight ranges of sources, sorted by source inside each: edges and weights of each source."""
+    edges = _event_edges(spark, sf)
+    vertices = (edges.agg(F.max(F.greatest("src", "dst"))).head()[0] or 0) + 1
+    return P.by_source(edges, vertices, 8).groupBy("part", "src").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
+
+
 def edge_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """All events as edge lists in files, read back (a wrong length is an error), of repeated edges the last, loops on the
     diagonal; shortest paths of all pairs; their matrix written in blocks of rows, and all its cells read back."""
@@ -357,9 +372,9 @@ def queries() -> dict[str, Query]:
     listed = [
         first_letter_count, first_letter_partitioned, first_letter_ordered, word_average, word_average_sorted, key_mod_partition,
         average_range_partition, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
-        out_degree, adjacency, wiki_links, pagerank_pages_k5,
+        out_degree, adjacency, adjacency_lines, wiki_links, pagerank_pages_k5,
         pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
-        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, edge_file_roundtrip,
+        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,
         float_sort, float_file_sort, block_assign, position_diff_whole,
         mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, image_roundtrip, pi_riemann, prime_count, primes,
     ]

@@ -103,6 +103,11 @@ def sql() -> dict[str, str]:
 WITH a AS (SELECT l_partkey AS key, round(sum(l_quantity) / count(*), 9) AS average FROM lineitem GROUP BY 1),
 s AS (SELECT *, (average - 10) / (30e0 / 8) AS step FROM a)
 SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step) ELSE floor(step) END) - 1, 0), 7) AS INT) AS part FROM s""",
+        "adjacency_lines": f"WITH {PAGES} SELECT title AS src, count(*)::INT AS degree FROM v GROUP BY 1",
+        "edges_by_range": f"""
+WITH {EVENT_EDGES}, s AS (SELECT count(*)::BIGINT // 8 AS small, count(*) % 8 AS extra FROM v)
+SELECT CAST(CASE WHEN src < extra * (small + 1) THEN src // (small + 1) ELSE extra + (src - extra * (small + 1)) // greatest(small, 1) END AS INT) AS part,
+       src, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM e0, s GROUP BY ALL""",
         "kv_text_average": "SELECT 'part ' || l_partkey AS key, round(avg(floor(l_quantity)), 9) AS average FROM lineitem GROUP BY 1",
         "wiki_links": """
 WITH p AS (SELECT c_custkey AS k, 'Customer-' || c_custkey AS title FROM customer),
