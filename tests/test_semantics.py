@@ -192,6 +192,20 @@ def test_pi_and_primes(spark):
     assert N.prime_count(spark, 2).head()["n_primes"] == 0
 
 
+@pytest.mark.parametrize("line, want", [("a|b||c||", ["a", "b", "", "c"]), ("", []), ("||", []), ("x", ["x"]), ("|x", ["", "x"])])
+def test_split_fields(spark, line, want):
+    assert one(spark, T.split_fields(F.col("v"), "|"), v=line) == want
+
+
+@pytest.mark.parametrize("vertices, parts", [(10, 4), (3, 5), (12, 4), (1, 1)])
+def test_source_ranges_and_local_order(spark, vertices, parts):
+    found = [one(spark, P.source_range(F.col("v"), vertices, parts), v=v) for v in range(vertices)]
+    assert found == [k for k in range(parts) for _ in range(vertices // parts + (k < vertices % parts))]
+    edges = edges_of(spark, [(v % vertices, 0, v) for v in (5, 3, 9, 1, 0, 7)])
+    for rows in P.by_source(edges, vertices, parts).rdd.glom().collect():
+        assert [r["src"] for r in rows] == [r["src"] for r in sorted(rows, key=lambda r: (r["part"], r["src"]))]
+
+
 def test_token_average_equals_pairs(spark):
     lines = spark.createDataFrame([("a b a",), ("a c",), ("",), (None,), ("b b b",)], "value string")
     assert {tuple(r) for r in C.token_average(lines).collect()} == {("a", 1.5), ("b", 2.0), ("c", 1.0)}
