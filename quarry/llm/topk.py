@@ -10,8 +10,9 @@ pivots, which are candidates themselves. A block stands in the order of its vect
 passed over as a whole where the least and largest distances to the pivots allow no vector of theirs.
 
 Queries are packed into blocks too and each meets every candidate block, so no task holds more than a block of either.
-There are as many parts as blocks of candidates. Each meeting returns at most k rows a query; a window over those rows
-gives the result. ``elimination`` tells what share of the candidates was evaluated.
+Meetings lie in a grid whose cells have about ``SIDE`` rows of either side (fewer candidates where there are few), so cells
+grow with the data and both sides are copied as little as cells of that work allow. Each meeting returns at most k rows a
+query; a window over those rows gives the result. ``elimination`` tells what share of the candidates was evaluated.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 SLACK = 1e-6
 RUN = 256
 PIVOTS = 256
+SIDE = 1 << 17
 _KEPT = ("dim", "ids", "vectors", "far", "least", "most")
 
 
@@ -208,13 +210,17 @@ def _met(queries: DataFrame, candidates: DataFrame, k: int, scale: float, pivots
     """Meetings of query and candidate blocks, and a function that searches them."""
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     shared = queries.sparkSession.sparkContext.broadcast(_pivots(pick(candidates), scale, pivots, sample_rows))
-    ways = buckets or max(1, -(-candidates.count() // block))
-    side = _pack(pick(candidates), scale, shared, block).withColumn("bucket", F.pmod(F.xxhash64("ids"), F.lit(ways)))
-    asked = _pack(pick(queries), scale, shared, block // 8).select(
-        F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("far").alias("qfar"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ways - 1).cast("long"))).alias("qbucket"),
-    )
-    met = asked.join(side, (F.col("qbucket") == F.col("bucket")) & (F.col("qdim") == F.col("dim")))
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, asks = candidates.count(), queries.count()
+    columns = buckets or max(1, -(-rows // SIDE), min(parts, -(-rows // block)))
+    lines = max(1, -(-asks // SIDE))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n))
+    side = _pack(pick(candidates), scale, shared, block).withColumn("column", own(columns)).withColumn("line", every(lines))
+    asked = _pack(pick(queries), scale, shared, block // 8).withColumn("qline", own(lines)).select(
+        F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vectors").alias("qvectors"), F.col("far").alias("qfar"), "qline", every(columns).alias("qcolumn")
+    )
+    met = asked.join(side, (F.col("qcolumn") == F.col("column")) & (F.col("qline") == F.col("line")) & (F.col("qdim") == F.col("dim")))
 
     def searched(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[Found], int]]:
         for dim, *data in zip(*(batch.column(c).to_pylist() for c in ("dim", "qids", "ids", "qvectors", "vectors", "qfar", "far", "least", "most")), strict=True):
@@ -244,8 +250,7 @@ def top_k(
     Components become ``floor(scale * component)``. Vectors that are null or hold a null or non-finite component, and
     rows with a null id, take no part; only vectors of equal length meet. Rows that repeat an id are candidates each.
     Scores beyond 64 bits are set to the nearest 64-bit value. Queries without candidates and empty tables give no rows.
-    ``sample_rows`` bounds the rows among which pivots are chosen; ``buckets`` is the number of parts, by default one for
-    each block of candidates.
+    ``sample_rows`` bounds the rows among which pivots are chosen; ``buckets`` sets the columns of the grid.
     """
     met, searched = _met(queries, candidates, k, scale, pivots, block, buckets, sample_rows, id_col, vector_col)
 

@@ -110,6 +110,15 @@ def test_top_k(spark):
     assert {tuple(r) for r in found} == brute_top(rows32, lambda i: i % 50 == 0) and len(found) == len(set(found))
 
 
+def test_top_k_over_a_grid(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SIDE", 32)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.3, 6).astype(np.float32)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = [tuple(r) for r in topk.top_k(df.filter("vec_id % 2 = 0"), df, block=16).collect()]
+    assert set(found) == brute_top(rows, lambda i: i % 2 == 0) and len(found) == 500
+
+
 def test_top_k_of_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [-1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df.filter("vec_id = 0"), df).orderBy("rank").collect()] == [(0, 1, 1, 131072), (0, 2, 2, -65536)]
