@@ -27,13 +27,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``path, pos, src, dst, weight`` of edge lists: counts of vertices and edges, then triples, all 32-bit
-    little-endian. A file whose length does not fit its edge count is an error (S3a)."""
+def _edges(files: DataFrame, key: str, kind: str) -> DataFrame:
+    """Decoded edge lists of ``path, content`` and a column that tells the files apart, which stands before the edges."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for name, mark, content in zip(*(batch.column(c).to_pylist() for c in ("path", "mark", "content")), strict=True):
                 head = np.frombuffer(content, "<i4", count=2)
                 if len(content) != 8 + 12 * int(head[1]):
                     raise ValueError(f"{name}: {head[1]} edges announced, {(len(content) - 8) / 12:g} found")
@@ -42,12 +41,24 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
                     part = triples[a : a + STEP]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "path": pa.array([name] * len(part)), "pos": pa.array(np.arange(a, a + len(part))), "src": pa.array(part[:, 0]),
+                            key: pa.array([mark] * len(part)), "pos": pa.array(np.arange(a, a + len(part))), "src": pa.array(part[:, 0]),
                             "dst": pa.array(part[:, 1]), "weight": pa.array(part[:, 2]),
                         }
                     )
 
-    return _files(spark, path).mapInArrow(decode, "path string, pos long, src int, dst int, weight int")
+    return files.mapInArrow(decode, f"{key} {kind}, pos long, src int, dst int, weight int")
+
+
+def read_edges(spark: SparkSession, path: str) -> DataFrame:
+    """S3: ``path, pos, src, dst, weight`` of edge lists: counts of vertices and edges, then triples, all 32-bit
+    little-endian. A file whose length does not fit its edge count is an error (S3a)."""
+    return _edges(_files(spark, path).withColumn("mark", F.col("path")), "path", "string")
+
+
+def read_edge_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``first, pos, src, dst, weight`` of a folder of edge lists; ``first`` is the number in the file's name, by which the
+    files follow one another."""
+    return _edges(_files(spark, f"{path}/part-*").withColumn("mark", F.regexp_extract("path", FIRST, 1).cast("long")), "first", "long")
 
 
 def read_edge_header(spark: SparkSession, path: str) -> DataFrame:
@@ -156,9 +167,10 @@ def read_float_parts(spark: SparkSession, path: str) -> DataFrame:
     return read_floats(spark, f"{path}/part-*").select((first + F.col("pos")).alias("pos"), "value")
 
 
-def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachable: int = UNREACHABLE, cells: int = 1 << 22) -> int:
-    """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each written by a task of its
-    own; absent pairs are ``unreachable``. The number of blocks."""
+def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachable: int = UNREACHABLE, cells: int = 1 << 22, codec: str | None = None) -> int:
+    """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each written as a file of its
+    own; absent pairs are ``unreachable``. With a ``codec`` (``zstd``) files are compressed as a whole, and their names end
+    in it. The number of blocks."""
     high = max(1, min(vertices, cells // max(vertices, 1)))
     count = -(-vertices // high)
 
@@ -167,7 +179,8 @@ def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachab
         rows = np.full((min(high, vertices - first), vertices), unreachable, "<i4")
         pdf = pdf[pdf.i >= 0]
         rows[pdf.i.to_numpy() - first, pdf.j.to_numpy()] = pdf.dist.to_numpy()
-        put(path, f"part-{first:015d}.rows", rows.tobytes())
+        data = rows.tobytes()
+        put(path, f"part-{first:015d}.rows" + (f".{codec}" if codec else ""), pa.Codec(codec, 1).compress(data, asbytes=True) if codec else data)
         return pd.DataFrame({"n": [len(rows)]})
 
     held = distances.select(F.floor(F.col("i") / high).cast("long").alias("block"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("long").alias("dist"))
@@ -176,15 +189,24 @@ def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachab
 
 
 def read_matrix_parts(spark: SparkSession, path: str, vertices: int) -> DataFrame:
-    """``i, j, dist`` of all cells of such a folder."""
+    """``i, j, dist`` of all cells of such a folder. A file is opened as its name ends; one that is no whole rows is an
+    error."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, content in zip(batch.column("first").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                values = np.frombuffer(content, "<i4")
-                for a in range(0, len(values), STEP):
-                    at = np.arange(a, min(a + STEP, len(values)))
-                    yield pa.RecordBatch.from_pydict({"i": pa.array((first + at // vertices).astype(np.int32)), "j": pa.array((at % vertices).astype(np.int32)), "dist": pa.array(values[at])})
-
-    files = _files(spark, f"{path}/part-*").select(F.regexp_extract("path", FIRST, 1).cast("long").alias("first"), "content")
+            for name, first, content in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "content")), strict=True):
+                if not name.endswith(".rows"):
+                    content = pa.CompressedInputStream(pa.BufferReader(content), name.rsplit(".", 1)[1]).read()
+                if len(content) % (4 * vertices):
+                    raise ValueError(f"{name}: {len(content)} bytes are no whole rows of {vertices} cells")
+                rows = np.frombuffer(content, "<i4").reshape(-1, vertices)
+                for left in range(0, vertices, STEP):
+                    wide = min(STEP, vertices - left)
+                    high, j = STEP // wide, np.arange(left, left + wide, dtype="<i4")
+                    for top in range(0, len(rows), high):
+                        part = rows[top : top + high, left : left + wide]
+                        i = np.arange(first + top, first + top + len(part), dtype="<i4")
+                        yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(i, wide)), "j": pa.array(np.tile(j, len(part))), "dist": pa.array(part.ravel())})
+
+    files = _files(spark, f"{path}/part-*").select("path", F.regexp_extract("path", FIRST, 1).cast("long").alias("first"), "content")
     return files.mapInArrow(decode, "i int, j int, dist int")

@@ -159,6 +159,43 @@ def test_random_graph_equals_triple_loop(spark):
         assert {(r["i"], r["j"]): r["dist"] for r in found.collect()} == want
 
 
+def test_only_inner_vertices_are_pivots(spark, monkeypatch):
+    """Vertices that edges only leave or only enter cost rows or columns of blocks, not rounds over the square of all."""
+    rng = np.random.default_rng(5)
+    inner, outer, size = 6, 40, 4
+    edges = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, inner, 15), rng.integers(0, inner, 15), rng.integers(1, 50, 15), strict=True)]
+    edges += [(a, int(rng.integers(0, inner)), int(rng.integers(1, 50))) for a in range(inner, outer) for _ in range(2)]
+    edges += [(int(rng.integers(0, inner)), b, 7) for b in range(outer, outer + 5)] + [(inner, inner, 3), (outer, outer, 4), (outer + 9, outer + 9, 5)]
+    n, held, step = outer + 10, [], P.Rolling.step
+
+    def counted(self, df):
+        out = step(self, df)
+        held.append((self.name, out.count()))
+        return out
+
+    monkeypatch.setattr(P.Rolling, "step", counted)
+    last = P.last_edges(edges_of(spark, edges))
+    found = {(r["i"], r["j"]): r["dist"] for r in P.all_pairs_blocked(last, vertices_of(spark, n), size=size).collect()}
+    rounds, blocks = sum(name == "pivot-lines" for name, _ in held), max(rows for _, rows in held)
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for a, b, w in last.select("src", "dst", "weight").collect():
+        d[a, b] = w
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    assert found == {(i, j): d[i, j] for i in range(n) for j in range(n) if np.isfinite(d[i, j])}
+    assert rounds == 2 and blocks <= 44  # the square of all blocks would be 13 * 13, in 13 rounds
+
+
+def test_edge_parts_follow_one_another(spark, tmp_path):
+    rows = [(k * 3, k % 7, k % 5, k) for k in range(100)]
+    binary.write_edge_parts(spark.createDataFrame(rows, "pos long, src int, dst int, weight int").repartition(5), str(tmp_path), 7)
+    read = binary.read_edge_parts(spark, str(tmp_path))
+    assert [r["weight"] for r in read.orderBy("first", "pos").collect()] == list(range(100))
+    last = P.last_edges(read.withColumn("pos", F.struct("first", "pos")))
+    assert {(r["src"], r["dst"]): r["weight"] for r in last.collect()} == {(k % 7, k % 5): k for k in range(100)}
+
+
 def test_no_edges(spark):
     edges, vertices = P.last_edges(edges_of(spark, EDGES)).filter("src > 99"), vertices_of(spark, 3)
     assert sorted(map(tuple, P.all_pairs(edges, vertices).collect())) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
@@ -283,6 +320,17 @@ def test_folders_of_parts(spark, tmp_path):
     assert not list(tmp_path.glob("*/_part*"))
 
 
+def test_compressed_matrices(spark, tmp_path):
+    pairs = spark.createDataFrame([(0, 3, 5), (4, 1, 7), (4, 4, 0)], "i int, j int, dist long")
+    assert binary.write_matrix_parts(pairs, str(tmp_path), 5, cells=10, codec="zstd") == 3
+    want = np.full((5, 5), binary.UNREACHABLE, "<i4")
+    want[[0, 4, 4], [3, 1, 4]] = 5, 7, 0
+    assert len(list(tmp_path.glob("part-*.rows.zstd"))) == 3
+    assert sorted(map(tuple, binary.read_matrix_parts(spark, str(tmp_path), 5).collect())) == [(i, j, int(want[i, j])) for i in range(5) for j in range(5)]
+    with pytest.raises(Exception, match="no whole rows"):
+        binary.read_matrix_parts(spark, str(tmp_path), 7).collect()
+
+
 def test_large_images(spark, tmp_path):
     rows = spark.range(130 * 150).select(*[(F.expr(e)).cast("int").alias(c) for c, e in zip("xyrgb", ("id % 130", "id div 130", "id % 256", "id * 7 % 256", "id * 13 % 251"), strict=True)])
     for write, name in ((images.write_png, "i.png"), (images.write_bmp, "i.bmp")):
