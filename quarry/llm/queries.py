@@ -86,6 +86,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarry.llm.periodic import periodic_runs, run_digests, with_loops
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", with_loops(F.col("text"), F.col("doc_id")).alias("text"))
+    return run_digests(periodic_runs(docs))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -98,6 +107,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_main_text": op9_main_text,
         "op10_token_files": op10_token_files,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
