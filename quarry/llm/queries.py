@@ -95,6 +95,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(docs))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.vectorcodes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings")).rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -108,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op9_main_text": op9_main_text,
         "op10_token_files": op10_token_files,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -192,5 +199,28 @@ FROM d LEFT JOIN own0 AS own USING (doc_id) LEFT JOIN file0 AS file USING (doc_i
 """
 
 
+def _codes_sql() -> str:
+    far = "list_sum(list_transform(list_zip(p.x, b{r}.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    sql = """
+WITH v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, k, e[k * (len(e) // 4) + 1:(k + 1) * (len(e) // 4)] AS x FROM v, range(4) t(k)),
+b0 AS MATERIALIZED (SELECT k, dense_rank() OVER (ORDER BY vec_id) - 1 AS i, x FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 256))"""
+    for r in range(5):
+        sql += f""",
+a{r} AS MATERIALIZED (SELECT vec_id, p.k, min({{'far': CAST({far.format(r=r)} AS BIGINT), 'i': b{r}.i}}) AS best FROM p JOIN b{r} ON p.k = b{r}.k GROUP BY vec_id, p.k)"""
+        if r < 4:
+            sql += f""",
+s{r} AS (SELECT k, i, spot, CAST(sum(c) AS BIGINT) AS s, count(*) AS n FROM (SELECT p.k, best.i AS i, unnest(p.x) AS c, unnest(range(len(p.x))) AS spot FROM p JOIN a{r} a ON a.vec_id = p.vec_id AND a.k = p.k) GROUP BY ALL),
+m{r} AS (SELECT k, i, list((s - ((s % n) + n) % n) // n ORDER BY spot) AS x FROM s{r} GROUP BY k, i),
+b{r + 1} AS MATERIALIZED (SELECT b.k, b.i, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m ON m.k = b.k AND m.i = b.i)"""
+    return sql + """,
+c AS MATERIALIZED (SELECT vec_id, string_agg(printf('%02x', best.i), '' ORDER BY k) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a4 GROUP BY vec_id),
+l AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM c JOIN v USING (vec_id) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY k, i)) AS codebooks_sha256 FROM b4)
+SELECT c.vec_id, code, error, label_error, codebooks_sha256 FROM c JOIN v USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM v.label, h
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return ORACLE_SQL | {"op2_licences": _licence_sql()}
+    return ORACLE_SQL | {"op2_licences": _licence_sql(), "op12_vector_codes": _codes_sql()}
