@@ -193,14 +193,20 @@ def with_loops(text: Column, key: Column) -> Column:
     """``text`` with loops of words that its key decides upon. With ``h`` the crc32 of the key in decimal digits and ``g`` its
     tenth rounded down, a text of ``n`` words whose ``h`` ends in 0 repeats, from word ``a = g % n`` on, its next
     ``1 + floor((n - a) / (3 + g % 8))`` words to the end. A null text is empty; a null key changes nothing."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n, h = F.size(words).cast("long"), F.crc32(key.cast("string").cast("binary"))
+    h = F.crc32(key.cast("string").cast("binary"))
     g = F.floor(h / 10).cast("long")
-    a = g % n
-    period = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    at = lambda i: F.when(i < a, i).otherwise(a + (i - a) % period)
-    looped = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, at(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(looped, " ")).otherwise(F.coalesce(text, F.lit("")))
+
+    def looped(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        a = (g % n).cast("int")
+        period = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
+        turns = F.ceil((n - a) / period).cast("int")
+        again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, period), turns)), F.lit(1), (n - a).cast("int"))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, F.lit(1), a), again), " ")).otherwise("")
+
+    # As a variable of a lambda the words are found once, not wherever they are named.
+    found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return F.when(h % 10 == 0, F.coalesce(F.get(F.transform(F.array(found), looped), F.lit(0)), F.lit(""))).otherwise(F.coalesce(text, F.lit("")))
 
 
 def run_digests(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
