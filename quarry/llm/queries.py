@@ -101,6 +101,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(_table(spark, sf_dir, "embeddings")).rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.descent import nearest_neighbours
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors.filter("vec_id % 50 = 0"), vectors, k=5)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe": op1_bpe,
@@ -115,6 +122,7 @@ def queries() -> dict[str, Query]:
         "op10_token_files": op10_token_files,
         "op11_periodic_runs": op11_periodic_runs,
         "op12_vector_codes": op12_vector_codes,
+        "op13_neighbours": op13_neighbours,
     }
 
 
