@@ -259,7 +259,7 @@ def edge_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     B.write_edge_parts(edges, graph, vertices)
     read = B.read_edge_parts(spark, graph).withColumn("pos", F.struct("first", "pos"))
     ids = spark.range(vertices).select(F.col("id").cast("int").alias("id"))
-    B.write_matrix_parts(P.all_pairs_blocked(P.last_edges(read), ids), matrix, vertices, codec="zstd")
+    B.write_matrix_parts(P.all_pairs_blocked(P.last_edges(read), ids), matrix, vertices)
     return B.read_matrix_parts(spark, matrix, vertices)
 
 
@@ -269,10 +269,8 @@ def edge_file_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 def float_file_sort(spark: SparkSession, sf: str) -> DataFrame:
     """Values of all events as files of floats, read back, sorted, written in order and read again."""
     given, done = fresh_path(spark, "float-files"), fresh_path(spark, "sorted-files")
-    if not B.write_float_parts(table(spark, sf, "events"), given, "event_id", "value"):
-        return spark.createDataFrame([], "pos long, value double")
-    values = B.read_float_parts(spark, given).select("value")
-    B.write_float_parts(C.positions(values, F.col("value").asc()), done)
+    B.write_float_parts(table(spark, sf, "events"), given, "event_id", "value")
+    B.write_float_parts(B.read_float_parts(spark, given), done, "value")
     return B.read_float_parts(spark, done).select("pos", F.col("value").cast("double").alias("value"))
 
 

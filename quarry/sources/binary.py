@@ -1,9 +1,8 @@
 """Binary sources and sinks.
 
-Files are read through Spark's ``binaryFile`` source, so any store that Spark reads will do; each file is decoded in one
-task by NumPy and leaves it in bounded Arrow batches. The ``write_*_parts`` sinks write a folder of files in parallel, whose
-names hold the number of their first value or row, so that one after another they make the whole; each is written under a
-name of its own attempt and then renamed. ``write_floats`` and ``write_matrix`` make a single local file.
+Files are read by byte ranges and written as folders of parts through the data source of ``ranges``: a task holds no more than
+its own batches or one part, and a folder counts only with the manifest of a finished job. The parts, by name, make the whole
+one after another. ``write_floats`` and ``write_matrix`` make a single local file.
 """
 
 from __future__ import annotations
@@ -13,72 +12,49 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-STEP = 1 << 18
+from quarry.sources import ranges
+
 #: Fixed value: how "unreachable" is written into a distance matrix.
 UNREACHABLE = 999999999
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
+def _read(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    given = {k: str(v) for k, v in options.items() if v is not None}
+    return spark.read.format(ranges.registered(spark)).options(path=path, kind=kind, **given).load()
 
-def _edges(files: DataFrame, key: str, kind: str) -> DataFrame:
-    """Decoded edge lists of ``path, content`` and a column that tells the files apart, which stands before the edges."""
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, mark, content in zip(*(batch.column(c).to_pylist() for c in ("path", "mark", "content")), strict=True):
-                head = np.frombuffer(content, "<i4", count=2)
-                if len(content) != 8 + 12 * int(head[1]):
-                    raise ValueError(f"{name}: {head[1]} edges announced, {(len(content) - 8) / 12:g} found")
-                triples = np.frombuffer(content, "<i4", offset=8).reshape(-1, 3)
-                for a in range(0, len(triples), STEP):
-                    part = triples[a : a + STEP]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            key: pa.array([mark] * len(part)), "pos": pa.array(np.arange(a, a + len(part))), "src": pa.array(part[:, 0]),
-                            "dst": pa.array(part[:, 1]), "weight": pa.array(part[:, 2]),
-                        }
-                    )
-
-    return files.mapInArrow(decode, f"{key} {kind}, pos long, src int, dst int, weight int")
+def _write(rows: DataFrame, path: str, kind: str, **options) -> int:
+    """The rows in the order of their partitions; how many files they make."""
+    given = {k: str(v) for k, v in options.items() if v is not None}
+    rows.write.format(ranges.registered(rows.sparkSession)).mode("append").options(path=path, kind=kind, **given).save()
+    return len(ranges.listed(path))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``path, pos, src, dst, weight`` of edge lists: counts of vertices and edges, then triples, all 32-bit
-    little-endian. A file whose length does not fit its edge count is an error (S3a)."""
-    return _edges(_files(spark, path).withColumn("mark", F.col("path")), "path", "string")
+    little-endian. A file whose length does not fit its edge count is an error (S3a). A path is a file, a folder or a pattern
+    of names."""
+    return _read(spark, path, "edges").drop("first")
 
 
 def read_edge_parts(spark: SparkSession, path: str) -> DataFrame:
-    """``first, pos, src, dst, weight`` of a folder of edge lists; ``first`` is the number in the file's name, by which the
-    files follow one another."""
-    return _edges(_files(spark, f"{path}/part-*").withColumn("mark", F.regexp_extract("path", FIRST, 1).cast("long")), "first", "long")
+    """``first, pos, src, dst, weight`` of a written folder of edge lists; ``first`` is how many edges stand before the file."""
+    return _read(spark, path, "edges").drop("path")
 
 
 def read_edge_header(spark: SparkSession, path: str) -> DataFrame:
-    """``path, v, e`` of edge lists."""
-    word = lambda at: F.conv(F.hex(F.reverse(F.substring("content", at, 4))), 16, 10).cast("int")
-    return _files(spark, path).select("path", word(1).alias("v"), word(5).alias("e"))
-
-
-def read_floats(spark: SparkSession, path: str) -> DataFrame:
-    """``path, pos, value`` of files of 32-bit little-endian floats."""
+    """``path, v, e`` of edge lists, of which only the first eight bytes are read."""
+    return _read(spark, path, "header")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                values = np.frombuffer(content, "<f4")
-                for a in range(0, len(values), STEP):
-                    part = values[a : a + STEP]
-                    yield pa.RecordBatch.from_pydict({"path": pa.array([name] * len(part)), "pos": pa.array(np.arange(a, a + len(part))), "value": pa.array(part)})
 
-    return _files(spark, path).mapInArrow(decode, "path string, pos long, value float")
+def read_floats(spark: SparkSession, path: str, begin: int | None = None, end: int | None = None) -> DataFrame:
+    """``path, pos, value`` of files of 32-bit little-endian floats; of all files' values only those from ``begin`` to
+    before ``end``, if given. A length that is no whole number of floats is an error."""
+    return _read(spark, path, "floats", begin=begin, end=end).drop("first")
 
 
 def write_floats(values: DataFrame, path: str, order: str = "pos", column: str = "value") -> None:
@@ -110,8 +86,6 @@ def edge_bytes(vertices: int, edges: list[tuple[int, int, int]]) -> bytes:
 
 # -- folders of parts, written in parallel ----------------------------------------------------------------------------
 
-FIRST = r"part-([0-9]+)[^/]*$"
-
 
 def put(folder: str, name: str, data: bytes) -> None:
     """Write one file of a folder in any store that Arrow knows; a name appears only with all its bytes."""
@@ -126,87 +100,62 @@ def put(folder: str, name: str, data: bytes) -> None:
     store.move(held, f"{path}/{name}")
 
 
-def _written(parts: DataFrame) -> int:
-    return parts.agg(F.count(F.lit(1))).head()[0]
-
-
-def _ranged(rows: DataFrame, order: str) -> DataFrame:
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, order).sortWithinPartitions(order)
-
-
 def write_edge_parts(edges: DataFrame, path: str, vertices: int) -> int:
-    """``pos, src, dst, weight`` as edge lists in the order of ``pos``, each with a header of its own; their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                triples = np.column_stack([np.asarray(batch.column(c)) for c in ("src", "dst", "weight")]).astype("<i4")
-                put(path, f"part-{batch.column('pos')[0].as_py():015d}.edges", np.array([vertices, len(triples)], "<i4").tobytes() + triples.tobytes())
-                yield pa.RecordBatch.from_pydict({"n": pa.array([len(triples)], pa.int64())})
-
-    return _written(_ranged(edges.select("pos", "src", "dst", "weight"), "pos").mapInArrow(run, "n long"))
+    """``pos, src, dst, weight`` as edge lists in the order of ``pos``, each with a header of its own; their number. Nothing is
+    taken from ``pos`` but the order: ties, gaps, nulls (which come first) and negative ones all keep their edges."""
+    return _write(edges.orderBy("pos").select(*(F.col(c).cast("int").alias(c) for c in ("src", "dst", "weight"))), path, "edges", vertices=vertices, suffix=".edges")
 
 
 def write_float_parts(values: DataFrame, path: str, order: str = "pos", column: str = "value") -> int:
-    """K5: 32-bit floats in order, in files named by the position of their first value; their number."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                put(path, f"part-{batch.column('at')[0].as_py():015d}.floats", np.asarray(batch.column("value"), dtype="<f4").tobytes())
-                yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
-
-    picked = values.select(F.col(order).cast("long").alias("at"), F.col(column).cast("float").alias("value"))
-    return _written(_ranged(picked, "at").mapInArrow(run, "n long"))
+    """K5: 32-bit floats in the order of a column, from which nothing else is taken; the number of files. A null value is written
+    as NaN."""
+    return _write(values.orderBy(order).select(F.col(column).cast("float").alias("value")), path, "floats", suffix=".floats")
 
 
 def read_float_parts(spark: SparkSession, path: str) -> DataFrame:
-    """``pos, value`` of such a folder."""
-    first = F.regexp_extract("path", FIRST, 1).cast("long")
-    return read_floats(spark, f"{path}/part-*").select((first + F.col("pos")).alias("pos"), "value")
+    """``pos, value`` of such a folder; positions run on from file to file."""
+    return _read(spark, path, "floats").select((F.col("first") + F.col("pos")).alias("pos"), "value")
 
 
 def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachable: int = UNREACHABLE, cells: int = 1 << 22, codec: str | None = None) -> int:
-    """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each written as a file of its
-    own; absent pairs are ``unreachable``. With a ``codec`` (``zstd``) files are compressed as a whole, and their names end
-    in it. The number of blocks."""
+    """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each a file of its own; absent
+    pairs are ``unreachable``. Cells are dealt by ranges of blocks and sorted, so a task fills one block at a time. With a
+    ``codec`` (``zstd``) files are compressed as a whole, and their names end in it. The number of blocks."""
     high = max(1, min(vertices, cells // max(vertices, 1)))
     count = -(-vertices // high)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(pdf.block.iloc[0]) * high
-        rows = np.full((min(high, vertices - first), vertices), unreachable, "<i4")
-        pdf = pdf[pdf.i >= 0]
-        rows[pdf.i.to_numpy() - first, pdf.j.to_numpy()] = pdf.dist.to_numpy()
-        data = rows.tobytes()
-        put(path, f"part-{first:015d}.rows" + (f".{codec}" if codec else ""), pa.Codec(codec, 1).compress(data, asbytes=True) if codec else data)
-        return pd.DataFrame({"n": [len(rows)]})
-
-    held = distances.select(F.floor(F.col("i") / high).cast("long").alias("block"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("dist").cast("long").alias("dist"))
-    every = distances.sparkSession.range(count).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("dist"))
-    return _written(held.unionByName(every).groupBy("block").applyInPandas(run, "n long"))
-
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = None, None
 
-def read_matrix_parts(spark: SparkSession, path: str, vertices: int) -> DataFrame:
-    """``i, j, dist`` of all cells of such a folder. A file is opened as its name ends; one that is no whole rows is an
-    error."""
+        def filled() -> pa.RecordBatch:
+            data = rows.tobytes()
+            return pa.RecordBatch.from_pydict({"data": [pa.Codec(codec, 1).compress(data, asbytes=True) if codec else data], "records": [len(rows)]})
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, first, content in zip(*(batch.column(c).to_pylist() for c in ("path", "first", "content")), strict=True):
-                if not name.endswith(".rows"):
-                    content = pa.CompressedInputStream(pa.BufferReader(content), name.rsplit(".", 1)[1]).read()
-                if len(content) % (4 * vertices):
-                    raise ValueError(f"{name}: {len(content)} bytes are no whole rows of {vertices} cells")
-                rows = np.frombuffer(content, "<i4").reshape(-1, vertices)
-                for left in range(0, vertices, STEP):
-                    wide = min(STEP, vertices - left)
-                    high, j = STEP // wide, np.arange(left, left + wide, dtype="<i4")
-                    for top in range(0, len(rows), high):
-                        part = rows[top : top + high, left : left + wide]
-                        i = np.arange(first + top, first + top + len(part), dtype="<i4")
-                        yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(i, wide)), "j": pa.array(np.tile(j, len(part))), "dist": pa.array(part.ravel())})
-
-    files = _files(spark, f"{path}/part-*").select("path", F.regexp_extract("path", FIRST, 1).cast("long").alias("first"), "content")
-    return files.mapInArrow(decode, "i int, j int, dist int")
+            of, i, j, dist = (np.asarray(batch.column(c)) for c in ("block", "i", "j", "dist"))
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), len(of)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if of[a] != block:
+                    if block is not None:
+                        yield filled()
+                    block = of[a]
+                    rows = np.full((min(high, vertices - block * high), vertices), unreachable, "<i4")
+                held = np.arange(a, b)[i[a:b] >= 0]
+                rows[i[held] - block * high, j[held]] = dist[held]
+        if block is not None:
+            yield filled()
+
+    spark = distances.sparkSession
+    held = distances.select(F.floor(F.col("i") / high).cast("long").alias("block"), *(F.col(c).cast("long").alias(c) for c in ("i", "j", "dist")))
+    every = spark.range(count).select(F.col("id").alias("block"), F.lit(-1).cast("long").alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("dist"))
+    parts = max(1, min(count, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = held.unionByName(every).repartitionByRange(parts, "block").sortWithinPartitions("block")
+    return _write(dealt.mapInArrow(fill, "data binary, records long"), path, "blocks", suffix=".rows" + (f".{codec}" if codec else ""))
+
+
+def read_matrix_parts(spark: SparkSession, path: str, vertices: int, codec: str = "zstd") -> DataFrame:
+    """``i, j, dist`` of all cells of such a folder. A file whose name ends in ``codec`` is opened as a whole, any other by
+    ranges; one that is no whole rows is an error."""
+    return _read(spark, path, "matrix", vertices=vertices, codec=codec)
