@@ -12,7 +12,7 @@ import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -66,6 +66,40 @@ def average_range_partition(spark: SparkSession, sf: str) -> DataFrame:
     return averages.select("key", F.round("average", 9).alias("average"), C.range_partition(F.round("average", 9), 8, 10.0, 30.0).alias("part"))
 
 
+# -- rows placed by a partitioner ---------------------------------------------------------------------------------------
+
+
+def _placed(rows: DataFrame, number: Column, parts: int, order: list[Column]) -> DataFrame:
+    """``file, place`` and the fields of the lines of ``rows``, written by a partitioner and read back."""
+    path = fresh_path(rows.sparkSession, "placed")
+    S.write_placed(rows, number, parts, path, order=order)
+    read = S.read_placed(rows.sparkSession, path)
+    field = lambda k: F.get(F.split("value", "\t"), F.lit(k))
+    return read.select("file", "place", *(field(k).cast(kind).alias(c) for k, (c, kind) in enumerate(rows.dtypes)))
+
+
+def placed_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """First letters in the two files of R1, in the order A a B b ... inside each."""
+    return _placed(first_letter_count(spark, sf), C.letter_partition(F.col("ch")), 2, C.case_paired(F.col("ch")))
+
+
+def placed_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """All distinct words in the three files of R2."""
+    keys = table(spark, sf, "documents").select(F.explode(T.tokens(F.col("text"))).alias("key")).distinct()
+    return _placed(keys, C.key_modulo(F.col("key"), 3), 3, [F.col("key").asc()])
+
+
+def placed_averages(spark: SparkSession, sf: str) -> DataFrame:
+    """Average quantities of all parts in the eight files of R3, the highest first, so that files by number are one order."""
+    averages = C.average(table(spark, sf, "lineitem"), "l_partkey", "l_quantity").select("key", F.round("average", 9).alias("average"))
+    return _placed(averages, C.range_partition(F.col("average"), 8, 10.0, 30.0), 8, [F.col("average").desc(), F.col("key").asc()])
+
+
+def placed_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of all users in the files of R4."""
+    return _placed(pagerank_all_events_k5(spark, sf), C.rank_bucket(F.col("pr"), 32, 0.001), 32, [F.col("pr").desc(), F.col("id").asc()])
+
+
 # -- pages ----------------------------------------------------------------------------------------------------------
 
 
@@ -369,7 +403,7 @@ def primes(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = [
         first_letter_count, first_letter_partitioned, first_letter_ordered, word_average, word_average_sorted, key_mod_partition,
-        average_range_partition, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
+        average_range_partition, placed_letters, placed_keys, placed_averages, placed_ranks, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
         out_degree, adjacency, adjacency_lines, wiki_links, pagerank_pages_k5,
         pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
         apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,

@@ -103,6 +103,20 @@ def sql() -> dict[str, str]:
 WITH a AS (SELECT l_partkey AS key, round(sum(l_quantity) / count(*), 9) AS average FROM lineitem GROUP BY 1),
 s AS (SELECT *, (average - 10) / (30e0 / 8) AS step FROM a)
 SELECT key, average, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step) ELSE floor(step) END) - 1, 0), 7) AS INT) AS part FROM s""",
+        "placed_letters": f"""
+WITH {LETTERS}, p AS (SELECT *, CASE WHEN lower(ch) BETWEEN 'a' AND 'g' THEN 0 ELSE 1 END AS file FROM c)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY lower(ch), ch) - 1 AS place, ch, n FROM p""",
+        "placed_keys": f"""
+WITH w AS (SELECT DISTINCT {TOKENS} AS key FROM documents), p AS (SELECT key, CAST(unicode(key) % 3 AS INT) AS file FROM w)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY key) - 1 AS place, key FROM p""",
+        "placed_averages": """
+WITH a AS (SELECT l_partkey AS key, round(sum(l_quantity) / count(*), 9) AS average FROM lineitem GROUP BY 1),
+s AS (SELECT *, (average - 10) / (30e0 / 8) AS step FROM a),
+p AS (SELECT *, CAST(least(greatest(8 - (CASE WHEN step < 0 THEN ceil(step) ELSE floor(step) END) - 1, 0), 7) AS INT) AS file FROM s)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY average DESC, key) - 1 AS place, key, average FROM p""",
+        "placed_ranks": f"""{by_all_events}, x AS (SELECT id, round(pr, 9) AS pr FROM r5),
+p AS (SELECT *, CAST(CASE WHEN pr < 0 OR pr >= 31e-3 THEN 31 ELSE floor(pr / 1e-3) END AS INT) AS file FROM x)
+SELECT file, row_number() OVER (PARTITION BY file ORDER BY pr DESC, id) - 1 AS place, id, pr FROM p""",
         "adjacency_lines": f"WITH {PAGES} SELECT title AS src, count(*)::INT AS degree FROM v GROUP BY 1",
         "edges_by_range": f"""
 WITH {EVENT_EDGES}, s AS (SELECT count(*)::BIGINT // 8 AS small, count(*) % 8 AS extra FROM v)
