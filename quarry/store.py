@@ -11,11 +11,12 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _scopes: list[str] = []
+_tables: dict[str, list[str]] = {}  # by the folder of their files
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once, dealt into buckets by ``keys`` and sorted in each, and return the table. Joins and groupings by the keys
+    take it as it lies, without an exchange; ``buckets`` are as many as shuffles have partitions, unless given. The table is
+    known to this session only; its files lie where all executors reach them."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    count, table = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"quarry_{uuid.uuid4().hex}"
+    dealt = df.repartition(count, *keys)
+    dealt.write.bucketBy(count, *keys).sortBy(*keys).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    _tables.setdefault(path.rsplit("/", 1)[0], []).append(table)
+    return spark.table(table)
+
+
+def _forget(spark: SparkSession, folder: str) -> None:
+    for known in [f for f in _tables if f.startswith(folder)]:
+        for table in _tables.pop(known):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
@@ -53,6 +72,12 @@ class Rolling:
     def __init__(self, name: str):
         self.name, self.paths = name, []
 
+    def counted(self, df: DataFrame, **counters: Column) -> tuple[DataFrame, dict]:
+        """As ``step``, with aggregates of the rows that are gathered by the same job that writes them."""
+        seen = Observation()
+        held = self.step(df.observe(seen, *(c.alias(k) for k, c in counters.items())))
+        return held, seen.get
+
     def step(self, df: DataFrame) -> DataFrame:
         spark, path = df.sparkSession, fresh_path(df.sparkSession, self.name)
         df.write.option("compression", "zstd").parquet(path)
@@ -70,9 +95,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _delete(spark, f"{shared_dir(spark).rstrip('/')}/quarry/{_scopes.pop()}")
+        folder = f"{shared_dir(spark).rstrip('/')}/quarry/{_scopes.pop()}"
+        _forget(spark, folder)
+        _delete(spark, folder)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all tables written here. Results that still read them must have been written elsewhere before."""
+    _forget(spark, f"{shared_dir(spark).rstrip('/')}/quarry")
     _delete(spark, f"{shared_dir(spark).rstrip('/')}/quarry")
