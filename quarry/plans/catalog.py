@@ -8,8 +8,6 @@ files into the shared folder and read them back.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,11 +149,13 @@ def adjacency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def adjacency_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Each source's targets as one line of text with bars between them, written, read back, split and counted."""
+    """Each source's targets as lines of text with bars between them, a line for each chunk, written, read back, split and
+    counted."""
     lines = fresh_path(spark, "adjacency")
-    S.write_key_values(adjacency(spark, sf), lines, "src", "links")
-    read = S.read_key_values(spark, lines)
-    return read.select(F.col("key").alias("src"), F.size(T.split_fields(F.col("value"), "|")).alias("degree"))
+    chunks = L.adjacency_chunks(_page_edges(spark, sf), most=1 << 16)
+    S.write_key_values(chunks.select("src", F.array_join("links", "|").alias("links")), lines, "src", "links")
+    read = S.read_key_values(spark, lines).select(F.col("key").alias("src"), T.split_fields(F.col("value"), "|").alias("links"))
+    return L.joined_chunks(read).select("src", F.col("degree").cast("int").alias("degree"))
 
 
 def wiki_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,6 +257,24 @@ def apsp_all_orders_blocked(spark: SparkSession, sf: str) -> DataFrame:
     return P.all_pairs_blocked(all_nation_edges(spark, sf), _nations(spark, sf), size=16).select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "dist")
 
 
+def user_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """From each user to the one of the next event of the day, for all events, weighed by the two of them."""
+    steps = C.successors(table(spark, sf, "events"), F.to_date("ts"), F.col("user_id"), F.col("ts"), F.col("event_id"))
+    weight = (F.pmod(F.col("src") * 31 + F.col("dst") * 17, F.lit(997)) + 1).cast("long").alias("weight")
+    return steps.select("src", "dst", weight).distinct()
+
+
+def apsp_all_events_blocked(spark: SparkSession, sf: str) -> DataFrame:
+    """All users, in blocks of 64, so that there are several pivot blocks."""
+    users = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
+    return P.all_pairs_blocked(user_edges(spark, sf), users, size=64).select("i", "j", "dist")
+
+
+def apsp_all_events(spark: SparkSession, sf: str) -> DataFrame:
+    users = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
+    return P.all_pairs(user_edges(spark, sf), users)
+
+
 def sssp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
     return P.single_source(all_nation_edges(spark, sf), 0)
 
@@ -366,20 +384,12 @@ def image_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for kind, write in (("png", I.write_png), ("bmp", I.write_bmp)):
         path = f"{fresh_path(spark, 'images')}.{kind}"
-        B.put(os.path.dirname(path), os.path.basename(path), _drawn(write, pixels, WIDTH, height, kind))
+        write(pixels, path, WIDTH, height)
         read = I.read_pixels(spark, path).select(F.lit(kind).alias("kind"), "x", "y", "r", "g", "b")
         out = read if out is None else out.unionByName(read)
     return out
 
 
-def _drawn(write: Callable, pixels: DataFrame, width: int, height: int, kind: str) -> bytes:
-    """The file that a writer makes; a store may be no place where the driver can open files."""
-    with tempfile.TemporaryDirectory() as own:
-        write(pixels, f"{own}/image.{kind}", width, height)
-        with open(f"{own}/image.{kind}", "rb") as made:
-            return made.read()
-
-
 def sobel_edges(spark: SparkSession, sf: str) -> DataFrame:
     return G.sobel_bands(_image(spark), WIDTH, HEIGHT, band=8)
 
@@ -406,7 +416,7 @@ def queries() -> dict[str, Query]:
         average_range_partition, placed_letters, placed_keys, placed_averages, placed_ranks, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
         out_degree, adjacency, adjacency_lines, wiki_links, pagerank_pages_k5,
         pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
-        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,
+        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, apsp_all_events, apsp_all_events_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,
         float_sort, float_file_sort, block_assign, position_diff_whole,
         mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, image_roundtrip, pi_riemann, prime_count, primes,
     ]

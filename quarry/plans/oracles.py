@@ -91,6 +91,9 @@ def sql() -> dict[str, str]:
     by_pages = f"WITH {PAGES}, {PAGE_GRAPH}, {_steps(5)}"
     by_all_events, all_nations = f"WITH {ALL_EVENTS}, {_steps(5)}", f"WITH {ALL_NATIONS}{_squared_with_loops(5)}"
     pairs = "SELECT i, j, dist FROM d5"
+    users = f"""WITH {ALL_EVENTS.rsplit("s AS", 1)[0]}
+f AS (SELECT DISTINCT src, dst, (src * 31 + dst * 17) % 997 + 1 AS weight FROM e),
+d0 AS (SELECT src AS i, dst AS j, weight AS dist FROM f UNION ALL SELECT id, id, 0 FROM n WHERE id NOT IN (SELECT src FROM f WHERE src = dst)){_squared_with_loops(8)}"""
     trace = " UNION ALL ".join(f"SELECT {i} AS step, round(sum(abs(pr - old)), 9) AS error FROM r{i}" for i in range(5))
     return {
         "first_letter_count": f"WITH {LETTERS} SELECT ch, n FROM c",
@@ -151,6 +154,8 @@ FROM f CROSS JOIN (VALUES ('png'), ('bmp')) t(kind) LEFT JOIN p USING (x, y)""",
         "apsp_all_orders": f"{all_nations} {pairs}",
         "apsp_all_orders_dense": f"{all_nations} SELECT a.n_nationkey AS i, b.n_nationkey AS j, coalesce(dist, 999999999) AS dist FROM nation a CROSS JOIN nation b LEFT JOIN d5 ON i = a.n_nationkey AND j = b.n_nationkey",
         "apsp_all_orders_blocked": f"{all_nations} {pairs}",
+        "apsp_all_events": f"{users} SELECT i, j, dist FROM d8",
+        "apsp_all_events_blocked": f"{users} SELECT i, j, dist FROM d8",
         "sssp_all_orders": f"{all_nations} SELECT j AS id, CASE WHEN j = 0 THEN 0 ELSE dist END AS dist FROM d5 WHERE i = 0",
         "position_diff_whole": """
 WITH a AS (SELECT row_number() OVER (ORDER BY p_size, p_partkey) - 1 AS pos, p_partkey AS left_value FROM part),

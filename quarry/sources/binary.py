@@ -7,8 +7,6 @@ one after another. ``write_floats`` and ``write_matrix`` make a single local fil
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -87,19 +85,6 @@ def edge_bytes(vertices: int, edges: list[tuple[int, int, int]]) -> bytes:
 # -- folders of parts, written in parallel ----------------------------------------------------------------------------
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Write one file of a folder in any store that Arrow knows; a name appears only with all its bytes."""
-    from pyarrow import fs
-
-    where = folder if "://" in folder else "file://" + os.path.abspath(folder.removeprefix("file:"))
-    store, path = fs.FileSystem.from_uri(where)
-    store.create_dir(path, recursive=True)
-    held = f"{path}/_{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(held) as out:
-        out.write(data)
-    store.move(held, f"{path}/{name}")
-
-
 def write_edge_parts(edges: DataFrame, path: str, vertices: int) -> int:
     """``pos, src, dst, weight`` as edge lists in the order of ``pos``, each with a header of its own; their number. Nothing is
     taken from ``pos`` but the order: ties, gaps, nulls (which come first) and negative ones all keep their edges."""

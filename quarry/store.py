@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _scopes: list[str] = []
-_tables: dict[str, list[str]] = {}  # by the folder of their files
+_tables: dict[str, str] = {}  # by the folder of their files
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,22 +41,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
-    """Write ``df`` once, dealt into buckets by ``keys`` and sorted in each, and return the table. Joins and groupings by the keys
-    take it as it lies, without an exchange; ``buckets`` are as many as shuffles have partitions, unless given. The table is
-    known to this session only; its files lie where all executors reach them."""
+def _bucketed(df: DataFrame, name: str, keys: tuple[str, ...], buckets: int | None) -> tuple[str, str]:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     count, table = buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), f"quarry_{uuid.uuid4().hex}"
-    dealt = df.repartition(count, *keys)
-    dealt.write.bucketBy(count, *keys).sortBy(*keys).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
-    _tables.setdefault(path.rsplit("/", 1)[0], []).append(table)
-    return spark.table(table)
+    dealt = df.repartition(count, *keys)  # Spark leaves this out where rows lie so already
+    dealt.write.bucketBy(count, *keys).option("compression", "zstd").option("path", path).format("parquet").saveAsTable(table)
+    _tables[path] = table
+    return path, table
+
+
+def in_buckets(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
+    """Write ``df`` once, dealt into buckets by ``keys``, and return the table. Joins and groupings by the keys take it as
+    it lies, without an exchange; ``buckets`` are as many as shuffles have partitions, unless given. The table is known to this
+    session only; its files lie where all executors reach them."""
+    return df.sparkSession.table(_bucketed(df, name, keys, buckets)[1])
 
 
 def _forget(spark: SparkSession, folder: str) -> None:
-    for known in [f for f in _tables if f.startswith(folder)]:
-        for table in _tables.pop(known):
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in [p for p in _tables if p.startswith(folder)]:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -67,10 +70,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 class Rolling:
     """The state of a loop: each round's table is written, and once it is there, the one before the last is deleted. The
-    last two stay, so a lost executor re-reads what its task needs."""
+    last two stay, so a lost executor re-reads what its task needs. With ``keys`` the tables are bucketed by them."""
 
-    def __init__(self, name: str):
-        self.name, self.paths = name, []
+    def __init__(self, name: str, *keys: str, buckets: int | None = None):
+        self.name, self.keys, self.buckets, self.held = name, keys, buckets, []
 
     def counted(self, df: DataFrame, **counters: Column) -> tuple[DataFrame, dict]:
         """As ``step``, with aggregates of the rows that are gathered by the same job that writes them."""
@@ -79,12 +82,20 @@ class Rolling:
         return held, seen.get
 
     def step(self, df: DataFrame) -> DataFrame:
-        spark, path = df.sparkSession, fresh_path(df.sparkSession, self.name)
-        df.write.option("compression", "zstd").parquet(path)
-        self.paths.append(path)
-        while len(self.paths) > 2:
-            _delete(spark, self.paths.pop(0))
-        return spark.read.schema(df.schema).parquet(path)
+        spark = df.sparkSession
+        if self.keys:
+            path, table = _bucketed(df, self.name, self.keys, self.buckets)
+            held = spark.table(table)
+        else:
+            path = fresh_path(spark, self.name)
+            df.write.option("compression", "zstd").parquet(path)
+            held = spark.read.schema(df.schema).parquet(path)
+        self.held.append(path)
+        while len(self.held) > 2:
+            old = self.held.pop(0)
+            _forget(spark, old)
+            _delete(spark, old)
+        return held
 
 
 @contextmanager
