@@ -5,16 +5,17 @@ vector in 16-bit numbers with a scale; codes steer the work, and final scores co
 
 Building. A few passes sort nodes by the signs of random projections and compare consecutive ``BLOCK`` nodes; that gives each
 node a first list of ``degree`` neighbours. Then each round joins neighbours of neighbours: every node is a centre whose list
-are its neighbours and the nodes that have it as a neighbour (``sample`` new and as many old ones of either kind, drawn anew each
-round by a hash; what is not drawn comes up through other centres or later). Lists meet the codes by a join, pairs of a list
-with a new member are compared, and what betters a node's list goes to it by a second join. A pair is new once. Rounds end when
-few lists change.
+are its neighbours (``sample`` new and as many old ones) and the nodes that have it as a neighbour, new ones first, three samples
+in all, drawn anew each round by a hash. What is not drawn comes up through other centres or later. Lists meet the codes by a join,
+pairs of a list with a new member are compared, and what betters a node's list goes to it by a second join. A pair is new once.
+Rounds end when few lists change.
 
 Searching. A query begins at the best of ``ENTRIES`` nodes spread over the index (a fixed number, broadcast) and, where the
 index holds its vector, at that node's list. Each round joins its best ``width`` open nodes with their lists and these with
-their codes; the ``beam`` best stay, until all of them have been opened. The best of the beam are compared as they are.
+their codes; the ``beam`` best stay, until all of them have been opened, or for ``most`` rounds (a query then has opened several
+hundred lists). The best of the beam are compared as they are.
 
-No list is longer than four samples, no beam longer than ``beam``; what goes to a popular node is cut to its best ``degree``
+No list is longer than three samples, no beam longer than ``beam``; what goes to a popular node is cut to its best ``degree``
 in each task before it is shuffled. All rounds' tables are written, and of each loop's the last two stay.
 """
 
@@ -29,11 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.store import Rolling, materialise
+from quarry.llm.arrow import release
+from quarry.llm.store import Rolling, in_buckets, materialise
 from quarry.llm.words import mix
 
 NEAR = np.dtype([("id", "<i8"), ("sim", "<f4"), ("new", "u1")])
-BLOCK, ENTRIES, HELD = 2048, 1024, 1 << 20
+BLOCK, ENTRIES, HELD, ROWS = 512, 1024, 1 << 19, 256
 ARRIVED = 2  # an entry's ``new`` is 0 once it was drawn, 1 before, and this while it comes in
 _U = np.uint64
 
@@ -82,6 +84,14 @@ def _with_codes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{kinds}, code binary")
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``ROWS`` rows at a time; memory goes back to the system at the end, as idle workers would keep it."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+    release()
+
+
 def _unnested(lists: pa.ListArray, ident: str) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], pa.StructArray]]:
     """Of lists of structs with a ``code`` and an id, for each length of codes: the unit vectors, which of all structs they
     are, the number of their list and their id, and the structs."""
@@ -179,7 +189,7 @@ def _drawn(near: np.ndarray, centre: np.ndarray, sample: int, turn: int) -> np.n
 
 @dataclass
 class Index:
-    """``nodes`` (node, _vector, ids, code), ``graph`` (node, code, near) and what the rounds changed."""
+    """``nodes`` (node, _vector, ids, code), ``graph`` (node, code, near, ids; bucketed by node) and what the rounds changed."""
 
     nodes: DataFrame
     graph: DataFrame
@@ -251,7 +261,7 @@ def _bettered(rows: DataFrame, degree: int, sample: int, turn: int) -> DataFrame
     any longer. ``changed`` counts the entries that came in, ``worst`` is the least similarity that would have to be beaten."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             row, own = _lists(batch.column("own").to_pylist())
             if sample and len(own):
                 own = own.copy()
@@ -292,18 +302,17 @@ def _round(graph: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
             taken = _drawn_unordered(near, node, sample, turn)
             centre, member = np.concatenate([node[taken], near["id"]]), np.concatenate([near["id"][taken], node])
             new = np.concatenate([near["new"][taken], near["new"]]).astype(bool)
-            back = np.concatenate([np.zeros(taken.sum(), bool), np.ones(len(near), bool)])
             draw = mix(mix(member.astype(_U) + _U(turn)) ^ mix(centre.astype(_U))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(member), pa.array(new), pa.array(back), pa.array(draw)], names=["centre", "member", "new", "back", "draw"])
+            yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(member), pa.array(new), pa.array(draw)], names=["centre", "member", "new", "draw"])
 
-    listed = graph.select("node", "near").mapInArrow(list_members, "centre long, member long, new boolean, back boolean, draw long")
-    by = Window.partitionBy("centre", "back", "new").orderBy("draw", "member")
-    drawn = listed.withColumn("_at", F.row_number().over(by)).filter(F.col("_at") <= sample)
+    listed = graph.select("node", "near").mapInArrow(list_members, "centre long, member long, new boolean, draw long")
+    by = Window.partitionBy("centre").orderBy(F.col("new").desc(), "draw", "member")
+    drawn = listed.withColumn("_at", F.row_number().over(by)).filter(F.col("_at") <= 3 * sample)
     members = drawn.groupBy("centre", "member").agg(F.max("new").alias("new"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Combiner(degree)
-        for batch in batches:
+        for batch in _slices(batches):
             for x, part, ids, held in _unnested(batch.column("held"), "member"):
                 fresh, worst = (np.asarray(held.field(c))[part] for c in ("new", "worst"))
                 for a, b in _each(ids[0]):
@@ -317,36 +326,44 @@ def _round(graph: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
         yield from out.flush()
 
     codes = graph.select(F.col("node").alias("member"), "code", "worst")
-    lists = members.join(codes, "member").groupBy("centre").agg(F.collect_list(F.struct("member", "new", "worst", "code")).alias("held"))  # four samples at most
+    lists = members.join(codes.hint("shuffle_hash"), "member").groupBy("centre").agg(F.collect_list(F.struct("member", "new", "worst", "code")).alias("held"))  # three samples at most
     found = lists.select("held").mapInArrow(compare, "node long, near binary")
-    nothing = F.lit(None).cast("binary")
-    both = graph.select("node", "code", F.col("near").alias("own"), nothing.alias("near")).unionByName(found.select("node", nothing.alias("code"), nothing.alias("own"), "near"))
-    rows = both.groupBy("node").agg(F.max("code").alias("code"), F.max("own").alias("own"), F.collect_list("near").alias("more"))
+    more = found.groupBy("node").agg(F.collect_list("near").alias("more"))
+    rows = graph.select("node", "code", F.col("near").alias("own")).join(more.hint("shuffle_hash"), "node", "left").select("node", "code", "own", F.coalesce("more", F.array()).alias("more"))
     return _bettered(rows, degree, sample, turn)
 
 
-def build(rows: DataFrame, k: int = 5, degree: int = 32, sample: int = 20, passes: int = 6, most: int = 12, enough: float = 0.06, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
-    """The index of all usable rows. Blocks of ``block`` nodes are compared in ``passes`` passes before the rounds, which end once
-    fewer than ``enough`` of all entries changed, or after ``most``."""
+def _with_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, near = _lists(batch.column("near").to_pylist())
+        ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(near["id"].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "code", "near")), ids], names=["node", "code", "near", "ids"])
+
+
+def build(rows: DataFrame, k: int = 5, degree: int = 32, sample: int = 20, passes: int = 6, enough: float = 0.02, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
+    """The index of all usable rows. Blocks of ``block`` nodes are compared in ``passes`` passes before the rounds, of which there are three
+    or half the binary logarithm of the number of blocks. They end sooner if fewer than ``enough`` of all entries changed."""
     nodes = _nodes(_usable(rows, id_col, vector_col), k + 1)
     size = nodes.count()
-    rolling = Rolling("ann-graph")
+    rolling = Rolling("ann-graph", "node")
     graph, changes = rolling.step(_first_lists(nodes, size, degree, passes, block)), []
+    most = max(3, int(np.ceil(np.log2(max(1, size / block)) / 2)))
     for turn in range(1, most + 1 if size > 1 else 1):
-        graph = rolling.step(_round(graph, degree, sample, turn))
-        changes.append(graph.agg(F.sum("changed")).head()[0] or 0)
+        graph, seen = rolling.counted(_round(graph, degree, sample, turn), changed=F.sum("changed"))
+        changes.append(seen["changed"] or 0)
         if changes[-1] < enough * degree * size:
             break
-    return Index(nodes, graph, changes, size)
+    return Index(nodes, in_buckets(graph.select("node", "code", "near").mapInArrow(_with_ids, "node long, code binary, near binary, ids array<long>"), "ann-lists", "node"), changes, size)
 
 
 # -- searching --------------------------------------------------------------------------------------------------------
 
 
-def search(index: Index, queries: DataFrame, k: int = 5, width: int = 32, beam: int = 128, most: int = 24, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 5, width: int = 128, beam: int = 128, most: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the nearest found for each query, itself left out by its id."""
     spark = queries.sparkSession
-    asked = materialise(_usable(queries, id_col, vector_col), "ann-queries")
+    asked = _usable(queries, id_col, vector_col)
     points = materialise(_with_codes(asked.select("_vector").distinct()).withColumn("q", F.monotonically_increasing_id()), "ann-points")
     few = index.nodes.orderBy(F.xxhash64("node"), "node").limit(ENTRIES).select("node", "code").collect()
     entries: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -369,26 +386,22 @@ def search(index: Index, queries: DataFrame, k: int = 5, width: int = 32, beam:
                 if node is not None:
                     start["new"][start["id"] == node] = 0  # its list is here already
                 beams.append(best_of(np.zeros(len(start), np.int64), start, beam // 2)[1].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), pa.array(beams, pa.binary())], names=["q", "code", "beam"])
+            yield stated(batch, beams)
 
-    own = points.join(index.nodes.select("_vector", "node"), "_vector", "left").join(index.graph.select("node", "near"), "node", "left")
-    rolling = Rolling("ann-beams")
-    state = rolling.step(own.select("q", "code", "node", "near").mapInArrow(begin, "q long, code binary, beam binary"))
+    def stated(batch: pa.RecordBatch, beams: list[bytes]) -> pa.RecordBatch:
+        """A row of the state for each query: ``open`` are the ``width`` best of the beam whose lists have not been met."""
+        row, near = _lists(beams)
+        row, near = best_of(row[near["new"] > 0], near[near["new"] > 0], width)
+        ends = np.searchsorted(row, np.arange(len(beams) + 1)).astype(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(near["id"].astype(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), pa.array(beams, pa.binary()), ids], names=["q", "code", "beam", "open"])
 
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, near = _lists(batch.column("beam").to_pylist())
-            row, near = row[near["new"] > 0], near[near["new"] > 0]
-            row, near = best_of(row, near, width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("q"))[row]), pa.array(near["id"].astype(np.int64))], names=["q", "node"])
-
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, near = _lists(batch.column("near").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("q"))[row]), pa.array(near["id"].astype(np.int64))], names=["q", "node"])
+    own = points.join(index.nodes.select("_vector", "node"), "_vector", "left").join(index.graph.select("node", "near"), "node", "left")
+    rolling, shape, still = Rolling("ann-beams"), "q long, code binary, beam binary, open array<long>", F.sum(F.size("open"))
+    state, seen = rolling.counted(own.select("q", "code", "node", "near").mapInArrow(begin, shape), still=still)
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             codes = batch.column("code").to_pylist()
             row, near = _lists(batch.column("beam").to_pylist())
             near = near.copy()
@@ -405,19 +418,21 @@ def search(index: Index, queries: DataFrame, k: int = 5, width: int = 32, beam:
             beams = [b""] * batch.num_rows
             for r, data in zip(*_packed(*best_of(np.concatenate(rows_), np.concatenate(lists_), beam)), strict=True):
                 beams[r] = data
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), pa.array(beams, pa.binary())], names=["q", "code", "beam"])
+            yield stated(batch, beams)
 
     codes = index.graph.select("node", F.col("code").alias("met"))
     nothing = lambda kind: F.lit(None).cast(kind)
+    buckets = _parts(spark)
     for _ in range(most):
-        frontier = state.mapInArrow(opened, "q long, node long")
-        pairs = frontier.join(index.graph.select("node", "near"), "node").select("q", "near").mapInArrow(lists, "q long, node long").distinct()
-        met = pairs.join(codes, "node").select("q", nothing("binary").alias("code"), nothing("binary").alias("beam"), F.struct("node", F.col("met").alias("code")).alias("met"))
+        if not seen["still"]:
+            break
+        frontier = state.select("q", F.explode("open").alias("node"))
+        pairs = frontier.join(index.graph.select("node", "ids"), "node").select("q", F.explode("ids").alias("node"))
+        met = pairs.repartition(buckets, "node").distinct().join(codes.hint("shuffle_hash"), "node")
+        met = met.select("q", nothing("binary").alias("code"), nothing("binary").alias("beam"), F.struct("node", F.col("met").alias("code")).alias("met"))
         held = state.select("q", "code", "beam", nothing("struct<node:long,code:binary>").alias("met")).unionByName(met)
         held = held.groupBy("q").agg(F.max("code").alias("code"), F.max("beam").alias("beam"), F.collect_list("met").alias("met"))  # width times degree at most
-        state = rolling.step(held.mapInArrow(go_on, "q long, code binary, beam binary"))
-        if state.mapInArrow(opened, "q long, node long").limit(1).count() == 0:
-            break
+        state, seen = rolling.counted(held.mapInArrow(go_on, shape), still=still)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -425,7 +440,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, width: int = 32, beam:
             yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column("q"))[row]), pa.array(near["id"].astype(np.int64))], names=["q", "node"])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             q, found, score = [], [], []
             for at, vector, held in zip(*(batch.column(c).to_pylist() for c in ("q", "_vector", "held")), strict=True):
                 held = [h for h in held if len(h["x"]) == len(vector)]
