@@ -9,7 +9,10 @@ paragraphs, list items and the like, where the ratios decide. Paths at or above
 The content element is the deepest that holds nearly all chosen text, if it stands in an ``article`` or ``main`` that
 element; else the deepest that holds all of it, widened while that adds headings and paragraphs only. Its blocks are the
 main text, short paragraphs, headings and lists of links too; only blocks below a named element whose paths do not reach the
-threshold are left out, and on pages without a container of the text also lists that hold little but links.
+threshold are left out, and on pages without a container of the text also lists that hold little but links. A name counts only
+if all its words name parts of a page. Where it may mislead (``discussion``), a container with a heading and with prose that
+would be chosen without the name stays. Reader comments are told by their structure too: siblings below the text that begin with
+a short line of a name and a time.
 
 Scripts, styles, forms and hidden elements are never read. Each page takes time in proportion to its length: ends of tags
 are found once, and elements carry what their ancestors would tell.
@@ -68,6 +71,12 @@ WEAK_NAMES = frozenset(
     "notice notices side rail header foot copyright legal reply discussion related recommended recommendations search "
     "disclaimer alert".split()
 )
+#: Words that name a part of a layout; with one of the names above they make a name, as in ``sidebar-left``.
+PARTS = frozenset(
+    "area bar block body bottom box col column component container content desktop fixed global group heading holder inner item items "
+    "article blog entry js left link links list main mobile module outer page panel post primary reader readers region right row "
+    "secondary section site slot small sticky story text title top unit user users widget wide wrap wrapper zone".split()
+)
 NEGATED = frozenset("has with no without not non".split())
 KEEPERS = frozenset("html body main article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -120,6 +129,8 @@ def _prior(tag: str, attrs: dict[str, str], within: _Element) -> float:
             names = {x.lower() for x in _NAMES.findall(token)}
             if not NEGATED.isdisjoint(names) or (within.inside and names & (STRONG_NAMES | WEAK_NAMES) == {"header"}):
                 continue
+            if not names <= STRONG_NAMES | WEAK_NAMES | PARTS:  # "related-work" is no "related"
+                continue
             if not STRONG_NAMES.isdisjoint(names):
                 found = min(found, WEAK if tag in TEXTUAL else STRONG)
             elif not WEAK_NAMES.isdisjoint(names):
@@ -325,6 +336,78 @@ def _widened(kept: _Kept, content: _Element, chosen: np.ndarray, plain: np.ndarr
     return content
 
 
+def _spared(kept: _Kept, content: _Element, raw: np.ndarray, prior: np.ndarray, size: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Blocks in containers of the content that a weak name sets back, but that have a heading and prose like the rest: by
+    the ratios alone their blocks would be chosen on the average."""
+    out, known = np.zeros(len(prior), bool), {}
+    a, b = kept.span(content)
+    best = raw[a:b][prior[a:b] >= 1].max(initial=0)
+    for k in range(a, b):
+        if not STRONG < prior[k] < 1:
+            continue
+        e = kept.blocks[k].element
+        while e.parent is not None and e.parent is not content and e.parent.prior < 1:
+            e = e.parent
+        if id(e) not in known:
+            i, j = kept.span(e)
+            prose = np.array([x.element.tag not in HEADINGS for x in kept.blocks[i:j]])
+            alike = 0 < prose.sum() < j - i and raw[i:j][prose].mean() >= SPREAD * best
+            known[id(e)] = alike and e.tag not in TEXTUAL and links[i:j].sum() < 0.5 * size[i:j].sum()
+        out[k] = known[id(e)]
+    return out
+
+
+#: How times are written in a comment's line.
+_MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+_TIME = re.compile(
+    r"\b(?:\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|(?:\d+|an?|one) (?:second|minute|min|hour|hr|day|week|month|year)s? ago|just now|yesterday"
+    rf"|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?\b|\d{{1,2}}\.? {_MONTH})",
+    re.I,
+)
+NAME_LINE, COMMENT = 60, 1000
+
+
+def _comments(kept: _Kept, content: _Element, weight: np.ndarray) -> np.ndarray:
+    """Blocks of reader comments within the content: two or more siblings without headings, of moderate length, each of which
+    begins with a short line that is no sentence and has a time near its begin or at its end. They are most of what stands in their
+    parent and come after half of the chosen text; the heading right before them goes too."""
+    out = np.zeros(len(kept.blocks), bool)
+    a, b = kept.span(content)
+    seen, below = {}, {}
+    length = np.concatenate([[0], np.cumsum([len(x.text) for x in kept.blocks])])
+    for k in range(a, b):
+        e = kept.blocks[k].element
+        while e is not content and e.parent is not None and id(e) not in seen:
+            seen[id(e)] = e
+            below.setdefault(id(e.parent), []).append(e)
+            e = e.parent
+
+    def alike(e: _Element) -> bool:
+        i, j = kept.span(e)
+        first, last = kept.blocks[i : min(i + 4, j)], kept.blocks[j - 1]
+        if j - i < 2 or any(x.element.tag in HEADINGS for x in first):
+            return False
+        name = first[0].text
+        if len(name) > NAME_LINE or name[-1] in ".!?" and len(name.split()) > 3:
+            return False
+        lines = [x.text for x in (*first[:3], last) if len(x.text) <= NAME_LINE]
+        return any(_TIME.search(x) for x in lines) and length[j] - length[i] <= COMMENT * (j - i)
+
+    for children in below.values():
+        found = [e for e in children if alike(e)]
+        if len(found) < 2 or len({e.tag for e in found}) > 1:
+            continue
+        parent = found[0].parent
+        i, j = (kept.span(found[0])[0], kept.span(found[-1])[1]) if parent is content else kept.span(parent)
+        held = sum(y - x for x, y in map(kept.span, found))
+        if held < 0.6 * (j - i) or 2 * (weight[i] - weight[a]) < (weight[b] - weight[a]) - (weight[j] - weight[i]):
+            continue
+        if i > a and kept.blocks[i - 1].element.tag in HEADINGS:
+            i -= 1
+        out[i:j] = True
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page; empty for a page that has none."""
     kept = _Kept(page or "")
@@ -339,7 +422,8 @@ def main_text(page: str | None) -> str:
     plain = prior >= 1
     if not (prior > STRONG).any():
         return ""
-    scores = path_scores(path, size, links, marks, prior * np.where([b.element.inside for b in own], 2.0, 1.0))
+    inside = np.where([b.element.inside for b in own], 2.0, 1.0)
+    scores = path_scores(path, size, links, marks, prior * inside)
     chosen = scores >= SPREAD * scores[prior > STRONG].max()
     weight = np.concatenate([[0], np.cumsum(np.where(chosen, size, 0))])
     at = np.flatnonzero(chosen)
@@ -365,7 +449,8 @@ def main_text(page: str | None) -> str:
         e = e.parent
     content = content or main or _widened(kept, deepest(1), chosen, plain)
     a, b = kept.span(content)
-    out = chosen | plain
+    out = chosen | plain | _spared(kept, content, path_scores(path, size, links, marks, inside), prior, size, links)
+    out &= ~_comments(kept, content, weight)
     if content.tag in ("", "html", "body"):  # no container of the text: lists of links are menus
         _, which = np.unique(path, return_inverse=True)
         out &= chosen | (np.bincount(which, links)[which] < LINKS * np.bincount(which, size)[which])
