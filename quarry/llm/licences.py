@@ -44,12 +44,39 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
-    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "MPL-1.1": (
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License.",
+    ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ),
     "CC0-1.0": ("Dedicated to the public domain under CC0 1.0.",),
 }
+TEMPLATES["Apache-2.0"] += (
+    "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. The ASF licenses this file to you under the Apache "
+    "License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+)
+TEMPLATES["MPL-2.0"] += (
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain "
+    "one at http://mozilla.org/MPL/2.0/.",
+)
+TEMPLATES["MIT"] += ("Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at opensource.org/licenses/MIT.",)
+for _name, _of, _version in (("GPL-1.0", "", "1"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+    TEMPLATES[_name] = TEMPLATES.get(_name, (f"Licensed under the GNU {_of}General Public License, version {_version}.",)) + (
+        f"you can redistribute it and/or modify it under the terms of the GNU {_of}General Public License, either version {_version} of the License, or any later version",
+    )
+for _version, _where in (("4.0", "International"), ("3.0", "Unported")):
+    for _short, _long in (("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"), ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives")):
+        TEMPLATES[f"CC-{_short}-{_version}"] = (f"Licensed under CC {_short} {_version}.", f"This work is licensed under a Creative Commons Attribution{_long} {_version} {_where} License.")
+#: Words that tell licences apart. A unit must hold those of a template and its version; of a family's notice, a unit
+#: that holds another of ``APART`` is of another licence.
+TOLD = frozenset("apache mit lesser library affero mozilla bsd".split())
+APART = frozenset("lesser affero nd nc sa noderivatives noncommercial sharealike".split())
+FAMILIES = frozenset("gnu cc creative".split())
+#: How files name their licence by its identifier, and endings that do not change which it is.
+SPDX, SPDX_END = "SPDX-License-Identifier:[ \t]*[(]?([A-Za-z0-9.+-]+)", "(-only|-or-later|[+])$"
+PARAGRAPH = "\n[ \t\r]*[#*/;%!-]*[ \t\r]*\n"
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
     "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
@@ -207,6 +234,17 @@ def _full_matches(rows: DataFrame) -> DataFrame:
     return materialise(best.select("k1", "k2", F.col("best.licence").alias("full_licence"), (-F.col("best.c")).alias("full_cosine")), "licence-wholes")
 
 
+def told(counts: dict[str, int]) -> tuple[set[str], bool]:
+    """The terms of a template that a unit must hold: its version's numbers and the words that tell licences apart; and whether
+    the template is of a family, of which a unit may not hold other words of ``APART``."""
+    return {t for t in counts if t[0].isdigit() or t in TOLD or t in APART}, not FAMILIES.isdisjoint(counts)
+
+
+def spdx_names() -> list[str]:
+    """Identifiers that count: of all licences that are known here."""
+    return sorted({*TEMPLATES, *FILE_TEMPLATES, *full_texts()})
+
+
 def _counts(text: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for t in re.findall(TERM, text.lower()):
@@ -242,14 +280,14 @@ def _matches(rows: DataFrame, templates: dict[str, tuple[str, ...]], threshold:
     vectors = [{t: n * idf[t] for t, n in c.items()} for _, _, c in counted]
     norms = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
     weights = spark.createDataFrame(
-        [(t, name, i, w / norm, idf[t]) for (name, i, _), v, norm in zip(counted, vectors, norms, strict=True) for t, w in v.items()],
-        "term string, licence string, template int, weight double, idf double",
+        [(t, name, i, w / norm, idf[t], t in told(c)[0], len(told(c)[0]), told(c)[1]) for (name, i, c), v, norm in zip(counted, vectors, norms, strict=True) for t, w in v.items()],
+        "term string, licence string, template int, weight double, idf double, must boolean, need int, family boolean",
     )
     telling = sorted(telling_terms(vectors, threshold))
     pattern = r"(?i)(?<![a-z])(?:" + "|".join(re.escape(t) for t in telling) + ")"
 
     text = F.col("text")
-    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: F.contains(F.trim(p), F.lit("\n")))
+    paragraphs = F.filter(F.split(text, PARAGRAPH), lambda p: F.contains(F.trim(p), F.lit("\n")))
     unit = lambda kind: lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("unit"))
     whole = F.when(F.col("whole"), F.array(F.struct(F.lit(2).alias("kind"), text.alias("unit")))).otherwise(F.array().cast("array<struct<kind:int,unit:string>>"))
     units = (
@@ -262,11 +300,15 @@ def _matches(rows: DataFrame, templates: dict[str, tuple[str, ...]], threshold:
     tf = each.groupBy("k1", "k2", "at", "kind", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = materialise(tf, "licence-terms")
     ideal = F.broadcast(weights.select("term", "idf").distinct())
-    norm = tf.join(ideal, "term", "left").groupBy("k1", "k2", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(foreign)), 2))).alias("norm"))
+    apart = F.col("term").isin(*sorted(APART))
+    norm = tf.join(ideal, "term", "left").groupBy("k1", "k2", "at").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.coalesce("idf", F.lit(foreign)), 2))).alias("norm"), F.count(F.when(apart, 1)).alias("others"))
     dots = (
-        tf.join(F.broadcast(weights), "term").groupBy("k1", "k2", "at", "kind", "licence", "template").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    )
-    hits = dots.join(norm, ["k1", "k2", "at"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
+        tf.join(F.broadcast(weights), "term").groupBy("k1", "k2", "at", "kind", "licence", "template")
+        .agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"), F.count(F.when(F.col("must"), 1)).alias("had"), F.count(F.when(apart, 1)).alias("own"), F.max("need").alias("need"), F.max("family").alias("family"))
+        .filter(F.col("had") == F.col("need"))
+    )
+    hits = dots.join(norm, ["k1", "k2", "at"]).filter(~F.col("family") | (F.col("own") == F.col("others")))
+    hits = hits.withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).filter(F.col("cosine") >= threshold)
     best = lambda f: F.max_by(f, F.struct("cosine", F.lit(0) - F.col("order")))
     names = spark.createDataFrame([(n, k) for k, n in enumerate(sorted(templates))], "licence string, order int")
     hits = hits.join(F.broadcast(names), "licence")
@@ -290,7 +332,9 @@ def licence_scan(
 ) -> DataFrame:
     """One row for each input row: ``doc_id, path, licence, cosine, licence_file, inherited, inherited_from``.
 
-    ``licence`` is the file's own best match, null if none reaches ``threshold``; equal cosines go to the first name.
+    ``licence`` is the file's own best match, null if none reaches ``threshold``; equal cosines go to the first name. A match
+    must hold the version and the words that tell its licence apart (``told``). The first SPDX identifier of a file, if its
+    licence is known here, comes before its notices, with a cosine of 1.
     ``licence_file`` tells that the file counts for its directory: one named as a licence file by its best match of any
     kind, with ``FILE_TEMPLATES`` (idf from such files) where those are nearer; one where ``whole_file`` holds if its whole
     text matches. The whole text of either is first compared with ``full_texts`` (idf from such files, lines of copyright
@@ -307,6 +351,11 @@ def licence_scan(
 
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     own = _matches(rows, templates or TEMPLATES, threshold)
+    if templates is None:
+        said = F.regexp_replace(F.regexp_extract("text", SPDX, 1), SPDX_END, "")
+        said = rows.filter(F.contains("text", F.lit("SPDX-License-Identifier:"))).select("k1", "k2", said.alias("said")).filter(F.col("said").isin(spdx_names())).dropDuplicates(["k1", "k2"])
+        own = own.join(said, ["k1", "k2"], "full_outer")
+        own = own.withColumns({"licence": F.coalesce("said", "licence"), "cosine": F.when(F.col("said").isNotNull(), 1.0).otherwise(F.col("cosine"))}).drop("said")
     nothing = rows.sparkSession.createDataFrame([], "k1 long, k2 long, full_licence string, full_cosine double")
     if templates is None and rows.filter(named).limit(1).count():
         full = _matches(materialise(rows.filter(named), "licence-texts"), FILE_TEMPLATES, threshold)

@@ -161,15 +161,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def _licence_sql() -> str:
-    from quarry.llm.licences import FULL, TEMPLATES, TERM, full_counts
+    from quarry.llm.licences import APART, FULL, PARAGRAPH, SPDX, SPDX_END, TEMPLATES, TERM, _counts, full_counts, spdx_names, told
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(n)}, {i}, {quoted(t)})" for n, texts in TEMPLATES.items() for i, t in enumerate(texts))
     # The same table of whole licences, as their terms' counts.
     full = ", ".join(f"({quoted(name)}, {quoted(' '.join(c))}, {list(c.values())})" for name, c in full_counts().items())
+    needs = [(n, i, told(_counts(t))) for n, texts in TEMPLATES.items() for i, t in enumerate(texts)]
+    musts = ", ".join(f"({quoted(n)}, {i}, {quoted(m)})" for n, i, (must, _) in needs for m in sorted(must))
+    families = ", ".join(f"({quoted(n)}, {i}, {len(must)}, {str(family).lower()})" for n, i, (must, family) in needs)
+    apart = ", ".join(map(quoted, sorted(APART)))
+    spdx = ", ".join(map(quoted, spdx_names()))
     terms = lambda x: f"unnest(regexp_extract_all(lower({x}), '{TERM}'))"
     return f"""
 WITH t(licence, k, txt) AS (VALUES {values}),
+mu(licence, k, term) AS (VALUES {musts}),
+fa(licence, k, need, family) AS (VALUES {families}),
 tt AS (SELECT licence, k, term, count(*) AS tf FROM (SELECT licence, k, {terms("txt")} AS term FROM t) GROUP BY ALL),
 d AS (SELECT doc_id, coalesce(text, '') AS text,
              concat_ws('/', source, lang, CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), doc_id || '.txt') AS path FROM documents),
@@ -178,13 +185,18 @@ idf AS (SELECT DISTINCT tt.term, ln(((SELECT count(*) FROM d) + 1) / (coalesce(d
 w AS (SELECT licence, k, term, tf * idf / sqrt(sum(pow(tf * idf, 2)) OVER (PARTITION BY licence, k)) AS weight FROM tt JOIN idf USING (term)),
 u AS (SELECT doc_id, kind, row_number() OVER () AS spot, unit FROM (
         SELECT doc_id, 0 AS kind, unnest(string_split(text, chr(10))) AS unit FROM d
-        UNION ALL SELECT doc_id, 1, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS p FROM d) WHERE contains(trim(p), chr(10))
+        UNION ALL SELECT doc_id, 1, p FROM (SELECT doc_id, unnest(regexp_split_to_array(text, {quoted(PARAGRAPH)})) AS p FROM d) WHERE contains(trim(p), chr(10))
         UNION ALL SELECT doc_id, 2, text FROM d)),
 tf AS (SELECT doc_id, kind, spot, term, count(*) AS tf FROM (SELECT doc_id, kind, spot, {terms("unit")} AS term FROM u) GROUP BY ALL),
-norm AS (SELECT spot, sqrt(sum(pow(tf * coalesce(idf, ln((SELECT count(*) FROM d) + 1) + 1), 2))) AS norm FROM tf LEFT JOIN idf USING (term) GROUP BY spot),
+norm AS (SELECT spot, sqrt(sum(pow(tf * coalesce(idf, ln((SELECT count(*) FROM d) + 1) + 1), 2))) AS norm, count(*) FILTER (term IN ({apart})) AS others FROM tf LEFT JOIN idf USING (term) GROUP BY spot),
 hit AS (SELECT doc_id, kind, licence, round(sum(tf * idf * weight) / any_value(norm), 9) AS cosine
-        FROM tf JOIN w USING (term) JOIN idf USING (term) JOIN norm USING (spot) GROUP BY doc_id, kind, spot, licence, k),
-own AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence, max(cosine) AS cosine FROM hit WHERE cosine >= 6e-1 GROUP BY doc_id),
+        FROM tf JOIN w USING (term) JOIN idf USING (term) JOIN norm USING (spot) JOIN fa USING (licence, k) LEFT JOIN mu USING (licence, k, term)
+        GROUP BY doc_id, kind, spot, licence, k
+        HAVING count(mu.term) = any_value(need) AND (NOT any_value(family) OR count(*) FILTER (tf.term IN ({apart})) = any_value(others))),
+said AS (SELECT doc_id, regexp_replace(regexp_extract(text, {quoted(SPDX)}, 1), {quoted(SPDX_END)}, '') AS licence FROM d WHERE contains(text, 'SPDX-License-Identifier:')),
+best AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS licence, max(cosine) AS cosine FROM hit WHERE cosine >= 6e-1 GROUP BY doc_id),
+own AS (SELECT doc_id, coalesce(s.licence, best.licence) AS licence, CASE WHEN s.licence IS NULL THEN best.cosine ELSE 1e0 END AS cosine
+        FROM best FULL JOIN (SELECT * FROM said WHERE licence IN ({spdx})) s USING (doc_id)),
 file AS (SELECT doc_id, arg_min(licence, {{'c': -cosine, 'l': licence}}) AS file_licence, max(cosine) AS file_cosine FROM hit WHERE cosine >= 6e-1 AND kind = 2 GROUP BY doc_id),
 ft AS (SELECT licence, unnest(string_split(ts, ' ')) AS term, unnest(ns) AS tf FROM (VALUES {full}) AS x(licence, ts, ns)),
 wt AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {terms("regexp_replace(text, '(?i)(^|' || chr(10) || ')[ ' || chr(9) || ']*copyright" + chr(92) + "b[^' || chr(10) || ']*', ' ', 'g')")} AS term FROM d) GROUP BY ALL),
