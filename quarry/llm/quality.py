@@ -29,6 +29,7 @@ FEATURES = (
     "distinct words", "bytes a word", "line ends a word", "stops a word", "log words", "share of letters",
 )
 BUCKETS = 128
+SITES = 1 << 14  # sites that are broadcast at most
 _SYMBOLS = np.frombuffer(b"%&$#*^~<>=@_{}[]\\", dtype=np.uint8)
 _STOPS = np.frombuffer(b".,;:?", dtype=np.uint8)
 
@@ -140,7 +141,7 @@ def _strength(rate: float, spread: float | None) -> float:
 
 
 def site_rates(scored: DataFrame) -> DataFrame:
-    """``host, path, site_rate, rate`` from ``_host, _path, _evidence, _blank``. Counts and sums are aggregated before
+    """``host, path, n, site_rate, rate`` from ``_host, _path, _evidence, _blank``. Counts and sums are aggregated before
     the shuffle, so a host with a third of the documents costs one row a task."""
     p = F.when(F.col("_blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-F.col("_evidence"))))
     paths = scored.groupBy(F.col("_host").alias("host"), F.col("_path").alias("path")).agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("good"))
@@ -160,14 +161,27 @@ def site_rates(scored: DataFrame) -> DataFrame:
     spread = (within["v"] or 0.0) / n - noise * within["k"] / n if n else 0.0
     path_k = _strength(rate, spread)
     shrunk = (F.col("good") + path_k * F.col("host_rate")) / (F.col("n") + path_k)
-    return materialise(joined.select("host", "path", shrunk.alias("site_rate"), F.lit(rate).alias("rate")), "sites")
+    return materialise(joined.select("host", "path", "n", shrunk.alias("site_rate"), F.lit(rate).alias("rate")), "sites")
 
 
-def _decided(scored: DataFrame, sites: DataFrame, threshold: float) -> DataFrame:
+def _at_sites(scored: DataFrame, site: DataFrame, few: int) -> DataFrame:
+    """``scored`` with the columns of its site. Up to ``few`` sites are broadcast; of more, those that hold more than that share of
+    the documents (fewer than ``few``), so that only documents of sites too small to be hot are shuffled."""
+    same = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))
+    sizes = site.agg(F.count(F.lit(1)).alias("sites"), F.sum("_n").alias("rows")).head()
+    if sizes["sites"] <= few:
+        return scored.join(F.broadcast(site), same).drop("_n")
+    large = F.col("_n") * few > sizes["rows"]
+    met = scored.join(F.broadcast(site.filter(large)), same, "left")
+    rest = met.filter("_n IS NULL").select(scored.columns).join(site.filter(~large), same)
+    return met.filter("_n IS NOT NULL").unionByName(rest).drop("_n")
+
+
+def _decided(scored: DataFrame, sites: DataFrame, threshold: float, few: int = SITES) -> DataFrame:
     odds = lambda x: F.log(x / (1 - x))
     bound = lambda x: F.least(F.greatest(F.col(x), F.lit(1e-6)), F.lit(1 - 1e-6))
-    site = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("site_rate").alias("_site"), F.col("rate").alias("_rate"))
-    joined = scored.join(site, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")))
+    site = sites.select(F.col("host").alias("_h"), F.col("path").alias("_p"), F.col("site_rate").alias("_site"), F.col("rate").alias("_rate"), F.col("n").alias("_n"))
+    joined = _at_sites(scored, site, few)
     total = F.col("_evidence") + odds(bound("_site")) - odds(bound("_rate"))
     joined = joined.withColumn("_good", F.when(F.col("_blank"), F.lit(0.0)).otherwise(1 / (1 + F.exp(-total))))
     return joined.withColumn("_kept", F.col("_good") >= threshold)
@@ -192,12 +206,13 @@ def classify(
     )
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", host_col: str = "source", path_col: str = "lang", few: int = SITES) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their columns. Texts are scored twice, once for the sites and
-    once for the decision, and are never shuffled."""
+    once for the decision (thrice where there are more than ``few`` sites). Only texts of small sites are shuffled, and only
+    where there are more than ``few``."""
     boxed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), F.col(host_col).alias("_h0"), F.col(path_col).alias("_p0"))
     scored = _scored(boxed, model, "_text", "_h0", "_p0")
     sites = site_rates(scored.select("_evidence", "_blank", "_host", "_path"))
-    return _decided(scored, sites, threshold).filter("_kept").select("_row.*")
+    return _decided(scored, sites, threshold, few).filter("_kept").select("_row.*")
 
 
