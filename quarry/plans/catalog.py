@@ -265,14 +265,9 @@ def user_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def apsp_all_events_blocked(spark: SparkSession, sf: str) -> DataFrame:
-    """All users, in blocks of 64, so that there are several pivot blocks."""
+    """All users, in blocks of 128, so that there are several pivot blocks."""
     users = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
-    return P.all_pairs_blocked(user_edges(spark, sf), users, size=64).select("i", "j", "dist")
-
-
-def apsp_all_events(spark: SparkSession, sf: str) -> DataFrame:
-    users = table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()
-    return P.all_pairs(user_edges(spark, sf), users)
+    return P.all_pairs_blocked(user_edges(spark, sf), users, size=128).select("i", "j", "dist")
 
 
 def sssp_all_orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -416,7 +411,7 @@ def queries() -> dict[str, Query]:
         average_range_partition, placed_letters, placed_keys, placed_averages, placed_ranks, kv_text_average, xml_unescape, page_titles, title_count, page_links, valid_links, dangling_pages,
         out_degree, adjacency, adjacency_lines, wiki_links, pagerank_pages_k5,
         pagerank_all_events_k5, pagerank_all_events_ranked, pagerank_all_events_buckets, pagerank_all_events_error_trace, pagerank_all_events_converged,
-        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, apsp_all_events, apsp_all_events_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,
+        apsp_all_orders, apsp_all_orders_dense, apsp_all_orders_blocked, apsp_all_events_blocked, sssp_all_orders, edges_by_range, edge_file_roundtrip,
         float_sort, float_file_sort, block_assign, position_diff_whole,
         mandelbrot_iters, mandelbrot_rgb, sobel_edges, sobel_join, image_roundtrip, pi_riemann, prime_count, primes,
     ]

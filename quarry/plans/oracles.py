@@ -154,7 +154,6 @@ FROM f CROSS JOIN (VALUES ('png'), ('bmp')) t(kind) LEFT JOIN p USING (x, y)""",
         "apsp_all_orders": f"{all_nations} {pairs}",
         "apsp_all_orders_dense": f"{all_nations} SELECT a.n_nationkey AS i, b.n_nationkey AS j, coalesce(dist, 999999999) AS dist FROM nation a CROSS JOIN nation b LEFT JOIN d5 ON i = a.n_nationkey AND j = b.n_nationkey",
         "apsp_all_orders_blocked": f"{all_nations} {pairs}",
-        "apsp_all_events": f"{users} SELECT i, j, dist FROM d8",
         "apsp_all_events_blocked": f"{users} SELECT i, j, dist FROM d8",
         "sssp_all_orders": f"{all_nations} SELECT j AS id, CASE WHEN j = 0 THEN 0 ELSE dist END AS dist FROM d5 WHERE i = 0",
         "position_diff_whole": """
