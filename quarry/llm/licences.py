@@ -284,7 +284,9 @@ def _matches(rows: DataFrame, templates: dict[str, tuple[str, ...]], threshold:
         "term string, licence string, template int, weight double, idf double, must boolean, need int, family boolean",
     )
     telling = sorted(telling_terms(vectors, threshold))
-    pattern = r"(?i)(?<![a-z])(?:" + "|".join(re.escape(t) for t in telling) + ")"
+    # Whole terms: words between other characters than letters, numbers between other characters than digits.
+    words_, numbers = ("|".join(re.escape(t) for t in telling if t[0].isdigit() == digit) or "[^\\s\\S]" for digit in (False, True))
+    pattern = f"(?i)(?<![a-z])(?:{words_})(?![a-z])|(?<![0-9])(?:{numbers})(?![0-9])"
 
     text = F.col("text")
     paragraphs = F.filter(F.split(text, PARAGRAPH), lambda p: F.contains(F.trim(p), F.lit("\n")))
