@@ -161,3 +161,45 @@ def test_heavy_paths_take_wider_blocks(spark):
     ids = spark.range(7).select(F.col("id").cast("int").alias("id"))
     found = {(r["i"], r["j"]): r["dist"] for r in P.all_pairs_blocked(edges, ids, size=2).collect()}
     assert found == {(i, j): (j - i) * 2_000_000_000 for i in range(7) for j in range(i, 7)}
+
+
+def chained(hubs, length, links, rng):
+    """Edges between chains: chain ``c`` is ``c, c + hubs, c + 2 hubs``, and its last member leads to other chains' first."""
+    edges = [(c + k * hubs, c + (k + 1) * hubs, rng.randint(0, 5)) for c in range(hubs) for k in range(length - 1)]
+    return edges + [(c + (length - 1) * hubs, d, rng.randint(0, 9)) for c in range(hubs) for d in rng.sample(range(hubs), links)]
+
+
+def test_chains_are_one_vertex_of_the_matrix(spark, monkeypatch):
+    lines, step = [], P.Rolling.step
+
+    def counted(self, df):
+        lines.append(self.name)
+        return step(self, df)
+
+    monkeypatch.setattr(P.Rolling, "step", counted)
+    monkeypatch.setattr(P, "_PIECE", 4)
+    edges = chained(5, 11, 3, random.Random(1))
+    frame, ids = spark.createDataFrame(edges, "src long, dst long, weight int"), spark.range(58)
+    found = [tuple(r) for r in P.all_pairs_blocked(frame, ids, size=4).collect()]
+    assert len(found) == len(set(found)) and set(found) == closed(edges, 58)
+    assert lines.count("pivot-lines") == 2  # five chains; the 55 vertices would be 14
+
+
+def test_chains_with_loops_rings_and_trees(spark, monkeypatch):
+    monkeypatch.setattr(P, "_PIECE", 3)
+    rng = random.Random(7)
+    ring = [(k, (k + 1) % 9, rng.randint(0, 4)) for k in range(9)]
+    cases = {
+        "two rings": (ring + [(k + 9, 9 + (k + 1) % 2, 3) for k in range(2)] + [(11, 12, 1)], 14),
+        "a ring with a loop": (ring + [(4, 4, 99), (7, 7, 0)], 9),
+        "a ring with a way in and out": (ring + [(9, 10, 2), (10, 3, 5), (6, 11, 1), (11, 12, 1), (12, 13, 0)], 14),
+        "trees": ([((k - 1) // 2, k, rng.randint(0, 5)) for k in range(1, 9)] + [(k + 9, 9 + k // 2, rng.randint(0, 5)) for k in range(1, 9)] + [(18, 19, 1), (19, 20, 2), (8, 18, 3)], 21),
+        "back to its head": ([(0, 1, 1), (1, 2, 1), (2, 3, 1), (3, 0, 1), (3, 4, 1), (4, 5, 2), (5, 3, 2), (0, 0, 7), (6, 0, 1)], 7),
+        "loops with nothing else": ([(0, 0, 3), (1, 2, 3), (2, 2, 8), (2, 3, 0), (3, 4, 0)], 6),
+    }
+    for k in range(3):
+        cases[f"random {k}"] = ([(rng.randrange(24), rng.randrange(24), rng.randint(0, 9)) for _ in range(26)], 24)
+    for name, (edges, n) in cases.items():
+        frame, ids = spark.createDataFrame(edges, "src int, dst int, weight int"), spark.range(n).select(F.col("id").cast("int").alias("id"))
+        found = [tuple(r) for r in P.all_pairs_blocked(frame, ids, size=4).collect()]
+        assert len(found) == len(set(found)) and set(found) == closed(edges, n), name
