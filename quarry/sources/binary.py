@@ -18,6 +18,8 @@ from quarry.sources import ranges
 
 #: Fixed value: how "unreachable" is written into a distance matrix.
 UNREACHABLE = 999999999
+#: Bytes up to which a matrix lies on disk as raw rows.
+RAW = 1 << 28
 
 
 def _read(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
@@ -102,6 +104,12 @@ def read_float_parts(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, "floats").select((F.col("first") + F.col("pos")).alias("pos"), "value")
 
 
+def matrix_codec(vertices: int) -> str | None:
+    """How to write a matrix of so many vertices: raw up to ``RAW`` bytes, else with each file's raw rows compressed by ``zstd``,
+    as the square of the vertices outgrows any disk while few of its cells are reached."""
+    return "zstd" if 4 * vertices * vertices > RAW else None
+
+
 def write_matrix_parts(distances: DataFrame, path: str, vertices: int, unreachable: int = UNREACHABLE, cells: int = 1 << 22, codec: str | None = None) -> int:
     """K4: the row-major matrix of ``i, j, dist`` in blocks of rows of about ``cells`` cells, each a file of its own; absent
     pairs are ``unreachable``. Cells are dealt by ranges of blocks and sorted, so a task fills one block at a time. With a

@@ -129,20 +129,29 @@ class RecordsReader(DataSourceReader):
             whole = pa.CompressedInputStream(pa.BufferReader(file.read()), self.codec).read()
             if len(whole) != (b - a) * self.record:
                 raise ValueError(f"{path}: {len(whole)} bytes are no whole rows of {self.wide} cells")
+        if whole is not None:
+            yield from self._tiles(np.frombuffer(whole, "<i4").reshape(b - a, self.wide), first + a)
+            return
         high = max(1, STEP // max(self.wide, 1))
         for top in range(a, b, high):
             n = min(high, b - top)
             for left in range(0, self.wide, STEP):
                 wide = min(STEP, self.wide - left)  # all of the row, or a piece of a single one
-                at, many = top * self.record + 4 * left, 4 * (n * wide)
-                if whole is None:
-                    file.seek(at)
-                    data = file.read(many)
-                else:
-                    data = whole[at - a * self.record :][:many]
+                file.seek(top * self.record + 4 * left)
+                data = file.read(4 * (n * wide))
                 i, j = np.arange(first + top, first + top + n, dtype="<i4"), np.arange(left, left + wide, dtype="<i4")
                 yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(i, wide)), "j": pa.array(np.tile(j, n)), "dist": pa.array(np.frombuffer(data, "<i4"))})
 
+    def _tiles(self, rows: np.ndarray, first: int) -> Iterator[pa.RecordBatch]:
+        """The cells of a file by columns: runs of equal ``j`` and recurring ``i`` stay small where they are written again."""
+        high, wide = min(len(rows), STEP), max(1, STEP // max(len(rows), 1))
+        for top in range(0, len(rows), high):
+            i = np.arange(first + top, first + min(top + high, len(rows)), dtype="<i4")
+            for left in range(0, self.wide, wide):
+                j = np.arange(left, min(left + wide, self.wide), dtype="<i4")
+                cells = rows[top : top + high, left : left + wide].T.ravel()
+                yield pa.RecordBatch.from_pydict({"i": pa.array(np.tile(i, len(j))), "j": pa.array(np.repeat(j, len(i))), "dist": pa.array(cells)})
+
 
 class RecordsWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):

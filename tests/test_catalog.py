@@ -39,3 +39,14 @@ def test_entry_covers_all_events(spark, small):
     import __spark_entry__
 
     assert_same(__spark_entry__.entry(spark), duck(small).sql(SQL["pagerank_all_events_k5"]))
+
+
+def test_large_matrices_are_compressed_on_disk(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog.B, "RAW", 1000)
+    monkeypatch.setattr(catalog, "fresh_path", lambda spark, name: str(tmp_path / name))
+    found = catalog.edge_file_roundtrip(spark, small)
+    assert_same(found, duck(small).sql(SQL["edge_file_roundtrip"]))
+    parts = list((tmp_path / "matrix-files").glob("part-*"))
+    assert parts and all(p.name.endswith(".rows.zstd") for p in parts)
+    assert sum(p.stat().st_size for p in parts) < 2 * found.count()  # raw cells take 4 bytes
+    assert catalog.B.matrix_codec(15) is None and catalog.B.matrix_codec(90_000) == "zstd"
