@@ -203,3 +203,30 @@ def test_chains_with_loops_rings_and_trees(spark, monkeypatch):
         frame, ids = spark.createDataFrame(edges, "src int, dst int, weight int"), spark.range(n).select(F.col("id").cast("int").alias("id"))
         found = [tuple(r) for r in P.all_pairs_blocked(frame, ids, size=4).collect()]
         assert len(found) == len(set(found)) and set(found) == closed(edges, n), name
+
+
+def test_many_vertices_are_searched_by_sources(spark, monkeypatch):
+    lines, step = [], P.Rolling.step
+
+    def counted(self, df):
+        lines.append(self.name)
+        return step(self, df)
+
+    monkeypatch.setattr(P.Rolling, "step", counted)
+    monkeypatch.setattr(P, "_PIVOTS", 8)
+    rng = random.Random(3)
+    some = lambda weights: [(rng.randrange(30), rng.randrange(30), rng.choice(weights)) for _ in range(120)]
+    cases = {
+        "apart": [(a + 10 * k, b + 10 * k, rng.randint(0, 9)) for k in range(3) for a in range(10) for b in rng.sample(range(10), 3)],
+        "chains": chained(10, 3, 3, rng),
+        "long paths of small weights": some([9000, 16000, 16001]),
+        "wide": some([0, 5, 20_000, 2_000_000_000]),
+        "hub": [(k, 0, 3) for k in range(1, 30)] + [(0, k, k) for k in range(1, 30)] + [(4, 5, 1), (6, 6, 2), (0, 0, 9)],
+    }
+    monkeypatch.setattr(P, "_STRIP", 200)
+    monkeypatch.setattr(P, "_LIGHT", 1)
+    for name, edges in cases.items():
+        frame, ids = spark.createDataFrame(edges, "src int, dst int, weight long"), spark.range(33).select(F.col("id").cast("int").alias("id"))
+        found = [tuple(r) for r in P.all_pairs_blocked(frame, ids, size=4).collect()]
+        assert len(found) == len(set(found)) and set(found) == closed(edges, 33), name
+    assert "pivot-lines" not in lines  # 33 vertices in blocks of 4 would take up to nine rounds over the whole matrix
